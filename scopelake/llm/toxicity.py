@@ -155,14 +155,11 @@ def boost(x: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = 60, depth:
 
 def isotonic(p: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the non-decreasing fit of y on p, by pooling adjacent violators."""
-    order = np.argsort(p, kind="stable")
-    pools: list[list[float]] = []  # mean, weight, last p
-    for a, b, c in zip(p[order].tolist(), y[order].tolist(), w[order].tolist()):
-        if pools and pools[-1][2] == a:
-            pools[-1][0] = (pools[-1][0] * pools[-1][1] + b * c) / (pools[-1][1] + c)
-            pools[-1][1] += c
-        else:
-            pools.append([b, c, a, a])
+    at, group = np.unique(p, return_inverse=True)
+    weight = np.bincount(group, w)
+    pools: list[list[float]] = []  # mean, weight, last p, first p
+    for a, b, c in zip(at.tolist(), (np.bincount(group, w * y) / weight).tolist(), weight.tolist()):
+        pools.append([b, c, a, a])
         while len(pools) > 1 and pools[-2][0] >= pools[-1][0]:
             m, v, last, _ = pools.pop()
             q = pools[-1]
