@@ -15,6 +15,8 @@ an empty table gives an empty one.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -106,6 +108,17 @@ def rules() -> list[tuple[str, str, int, float, str]]:
     return [*NOTICES, *made]
 
 
+def gates() -> list[str]:
+    """Strings of which every text that any rule or base phrase matches holds one, few as they are tried on every text."""
+    found = {p for p in BASE} | {keyword for _, keyword, *_ in NOTICES}
+    for _, keyword, name in FAMILIES:
+        needed = name
+        while (less := re.sub(r"\((?:\?:)?[^()]*\)\?", "", needed)) != needed:
+            needed = less
+        found.add("licen" if "licen[cs]e" in needed and "|" not in needed else keyword)
+    return sorted(g for g in found if not any(h != g and h in g for h in found))
+
+
 def with_words(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with __words: the lower-cased words joined by spaces, with a space at either end (" " if there are none)."""
     joined = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " "))
@@ -170,14 +183,21 @@ def scan(docs: DataFrame, text: str = "text", base: dict[str, str] | None = None
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of every document."""
     base = BASE if base is None else base
     table = rules()
-    literal = F.array(*(F.struct(F.lit(k).alias("order"), F.lit(label).alias("label"), F.lit(f" {key}").alias("keyword"), F.lit(priority).alias("priority"), F.lit(sure).alias("sure"), F.lit(f"(?<= )(?:{regex})(?= )").alias("pattern")) for k, (label, key, priority, sure, regex) in enumerate(table)))
-    df = with_words(docs.select("doc_id", F.col(text).alias("text"))).select("doc_id", "__words")
+    by_key: dict[str, list[F.Column]] = {}
+    for k, (label, key, priority, sure, regex) in enumerate(table):
+        by_key.setdefault(f" {key}", []).append(F.struct(F.lit(k).alias("order"), F.lit(label).alias("label"), F.lit(priority).alias("priority"), F.lit(sure).alias("sure"), F.lit(f"(?<= )(?:{regex})(?= )").alias("pattern")))
+    literal = F.array(*(F.struct(F.lit(key).alias("keyword"), F.array(*own).alias("rules")) for key, own in by_key.items()))
     # lower() may fold more than A-Z; it only decides which rows are looked at with A-Z lowered exactly.
-    gated = _any(F.lower("__words"), sorted({f" {key}" for _, key, *_ in table} | {f" {p} " for p in base}))
+    df = with_words(docs.select("doc_id", F.col(text).alias("text"))).select("doc_id", "__words").withColumn("__folded", F.lower("__words"))
+    gated = _any(F.col("__folded"), gates())
     df = df.select("doc_id", (F.length("__words") - F.length(F.replace("__words", F.lit(" "), F.lit(""))) - 1).cast("long").alias("n_words"), F.when(gated, F.translate("__words", UPPER, LOWER)).alias("__low"))
-    words = F.split(F.trim("__low"), " ")
+    # A column of its own: inside a lambda, Spark would split the text again for every word.
+    df = df.withColumn("__list", F.split(F.trim("__low"), " "))
+    words = F.col("__list")
     based = F.array(*(F.struct(F.lit(label).alias("label"), F.when(F.col("__low").contains(f" {phrase} "), _places(words, phrase)).otherwise(F.array().cast("array<int>")).alias("at")) for phrase, label in base.items()))
-    hits = F.flatten(F.transform(F.filter(literal, lambda r: F.col("__low").contains(r["keyword"])), lambda r: _hits(F.col("__low"), r)))
+    chosen = F.flatten(F.transform(F.filter(literal, lambda r: F.col("__low").contains(r["keyword"])), lambda r: r["rules"]))
+    matching = F.filter(chosen, lambda r: F.rlike(F.col("__low"), r["pattern"]))
+    hits = F.flatten(F.transform(matching, lambda r: _hits(F.col("__low"), r)))
     df = df.select("doc_id", "n_words", F.when(F.col("__low").isNotNull(), F.struct(based.alias("base"), _kept(hits).alias("kept"))).alias("__found"))
     starts = F.flatten(F.transform("__found.base", lambda b: b["at"]))
     of_base = F.transform(F.filter("__found.base", lambda b: F.size(b["at"]) > 0), lambda b: b["label"])
