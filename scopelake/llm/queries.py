@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embed_dedup, licenses, simhash, toxicity, urls
+from . import ann, embed_dedup, licenses, simhash, token_files, toxicity, urls
+from .common import work_path
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +19,13 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.filter("vec_id % 20 = 0"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    path = work_path(spark, "token-files")
+    token_files.write(docs, path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return token_files.read(token_files.keys_of(docs), path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -34,5 +43,5 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op3_toxicity, op5_nearest_neighbours, op7_simhash_near_dedup, op8_url_filters, op9_license_scans, op10_embedding_near_dedup)}
+QUERIES = {f.__name__: f for f in (op3_toxicity, op5_nearest_neighbours, op6_token_files, op7_simhash_near_dedup, op8_url_filters, op9_license_scans, op10_embedding_near_dedup)}
 ORACLES: dict[str, str] = {}
