@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embed_dedup, licenses, simhash, token_files, toxicity, urls
+from . import ann, embed_dedup, licenses, simhash, sp_codec, token_files, toxicity, urls
 from .common import work_path
 
 
@@ -14,6 +14,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp_codec.encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return ann.nearest(vectors, vectors.filter("vec_id % 20 = 0"))
@@ -43,5 +47,5 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op3_toxicity, op5_nearest_neighbours, op6_token_files, op7_simhash_near_dedup, op8_url_filters, op9_license_scans, op10_embedding_near_dedup)}
+QUERIES = {f.__name__: f for f in (op3_toxicity, op4_sentencepiece, op5_nearest_neighbours, op6_token_files, op7_simhash_near_dedup, op8_url_filters, op9_license_scans, op10_embedding_near_dedup)}
 ORACLES: dict[str, str] = {}

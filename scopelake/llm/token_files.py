@@ -82,6 +82,18 @@ class Encoder:
         return [(b"".join(map(get, c)) if c is not None else self.pack(self.tok.encode(t, add_special_tokens=False).ids)) + self.end for t, c in zip(texts, cuts)]
 
 
+#: The encoder of a Python worker, which goes on from task to task with the words it knows.
+_HELD: dict[tuple, Encoder] = {}
+
+
+def _encoder(spec: str, end_id: int) -> Encoder:
+    key = (zlib.crc32(spec.encode()), len(spec), end_id)
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = Encoder(spec, end_id)
+    return _HELD[key]
+
+
 def mix(x: np.ndarray, salt: int) -> np.ndarray:
     """A 64-bit mixer over unsigned integers."""
     with np.errstate(over="ignore"):
@@ -159,7 +171,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, text: str
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        encoder = Encoder(spec.value, end_id)
+        encoder = _encoder(spec.value, end_id)
         width = int(encoder.kind[2])
         held: list[tuple[int, bytes]] = []
         state = {"size": 0, "chunk": 0, "base": 0}
