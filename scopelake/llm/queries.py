@@ -6,8 +6,26 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embed_dedup, licenses, simhash, sp_codec, token_files, toxicity, urls
-from .common import work_path
+from . import ann, embed_dedup, licenses, mixing, rollup, simhash, sp_codec, token_files, toxicity, urls
+from .common import cut, work_path
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents are loaded with a guess of their tokens, then revised to exact counts; both batches are sent twice."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    files = {v: public_tokenizers.path(f"{v}.tiktoken") for v in ("byte_bpe_50k", "byte_bpe_multi_50k")}
+    exact = cut(rollup.token_counts(docs, files, public_tokenizers.PATTERN))
+    guess = exact.withColumn("n_tokens", F.ceil(F.col("n_chars") / 4))
+    kept = rollup.Rollup(spark, work_path(spark, "rollup"))
+    for _ in range(2):
+        kept.commit("load", rollup.inserts(guess))
+        kept.commit("count", rollup.revisions(guess, exact))
+    return kept.totals()
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    return mixing.rates(docs, mixing.quality_domains(labels), mixing.TARGETS)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,5 +65,5 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op3_toxicity, op4_sentencepiece, op5_nearest_neighbours, op6_token_files, op7_simhash_near_dedup, op8_url_filters, op9_license_scans, op10_embedding_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_mixing, op3_toxicity, op4_sentencepiece, op5_nearest_neighbours, op6_token_files, op7_simhash_near_dedup, op8_url_filters, op9_license_scans, op10_embedding_near_dedup)}
 ORACLES: dict[str, str] = {}
