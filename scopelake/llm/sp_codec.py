@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import map_text
 
-CACHE = 200_000
+CACHE = 500_000
 #: Characters matched at once.
 CHUNK = 500_000
 SPACE = "▁"
@@ -214,6 +214,7 @@ class Matcher:
         self.cut = re.compile(f" *[^ {lone}]+| +" + (f"|[{lone}]+" if lone else "")).findall
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}  # what was known before `known` was begun anew
+        self.lossy: set[str] = set()  # segments that do not decode to themselves
 
     def segments(self, text: str) -> list[str]:
         if not text:
@@ -232,15 +233,27 @@ class Matcher:
         part, held = [], 0
         for s in new:
             if part and held + len(s) > CHUNK:
-                self.known.update(zip(part, self.match(part)))
+                self.learn(part)
                 part, held = [], 0
             part.append(s)
             held += len(s) + 1
         if part:
-            self.known.update(zip(part, self.match(part)))
+            self.learn(part)
         get = self.known.__getitem__
         return [b"".join(map(get, c)) for c in cuts]
 
+    def learn(self, segments: list[str]) -> None:
+        coded = self.match(segments)
+        self.known.update(zip(segments, coded))
+        surface = self.t.surface
+        for s, ids in zip(segments, coded):
+            if b"".join([surface[i] for i in np.frombuffer(ids, self.kind).tolist()]) != s.encode("utf-8", "surrogatepass"):
+                self.lossy.add(s)
+
+    def faithful(self, text: str) -> bool:
+        """Whether the ids of a text just encoded decode to it (with U+2581 read as a space)."""
+        return not self.lossy or not any(s in self.lossy for s in self.segments(text))
+
     def match(self, segments: list[str]) -> list[bytes]:
         t = self.t
         points = np.frombuffer("\0".join([*segments, ""]).replace(" ", SPACE).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
@@ -346,22 +359,13 @@ def encode(docs: DataFrame, model: str, keep: list[str] | None = None, text: str
 
     def start():
         matcher = _matcher(shared.value)
-        t = matcher.t
-        width = np.array([len(s) for s in t.surface])
-        at = np.cumsum(width) - width
-        every = np.frombuffer(b"".join(t.surface), np.uint8)
-
-        def decode(ids: np.ndarray) -> bytes:
-            n = width[ids]
-            where = np.repeat(at[ids] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            return every[where].tobytes()
 
         def run(texts: list[str]) -> list:
             packed = [np.frombuffer(x, matcher.kind).astype("<u4") for x in matcher.encode(texts)]
             counts = np.array([len(x) for x in packed], dtype=np.int64)
             flat = np.concatenate(packed) if packed else np.zeros(0, "<u4")
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(flat.astype(np.int32)))
-            same = [decode(i) == ((" " if t.prefix and x else "") + x.replace(SPACE, " ")).encode("utf-8", "surrogatepass") for i, x in zip(packed, texts)]
+            same = [matcher.faithful(x) for x in texts]
             return [counts, lists, np.array([zlib.crc32(i.tobytes()) for i in packed], dtype=np.int64), np.array(same, dtype=bool)]
 
         return run
