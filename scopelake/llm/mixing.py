@@ -19,7 +19,6 @@ to 1. An empty table gives an empty one.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from dataclasses import dataclass
 from zlib import crc32
@@ -31,34 +30,34 @@ from pyspark.sql import functions as F
 
 from .common import cut, map_text
 
-BUCKETS, SAMPLE_ROWS = 1 << 13, 8000
-_WORD = re.compile(r"\w+|[^\w\s]+")
+BITS = 13
+BUCKETS, SAMPLE_ROWS = 1 << BITS, 4000
 
 
 class Hashed(dict):
-    """Feature buckets of words: of the word itself and of its beginning."""
+    """Feature buckets of words: of the word itself and of its beginning, in one number."""
 
-    def __missing__(self, word: str) -> tuple[int, int]:
+    def __missing__(self, word: str) -> int:
         if len(self) > 200_000:
             self.clear()
         raw = word.encode("utf-8", "surrogatepass")
-        self[word] = found = (crc32(raw) % BUCKETS, crc32(b"^" + word[:5].encode("utf-8", "surrogatepass")) % BUCKETS)
+        self[word] = found = crc32(raw) % BUCKETS << BITS | crc32(b"^" + word[:5].encode("utf-8", "surrogatepass")) % BUCKETS
         return found
 
 
 def features(text: str, hashed: Hashed) -> tuple[np.ndarray, np.ndarray, int]:
-    """Buckets, weights (of length 1) and the number of words of a text."""
-    words = Counter(_WORD.findall(text.lower()))
+    """Buckets, weights and the number of words of a text."""
+    words = Counter(text.lower().split())
     if not words:
         return np.zeros(0, np.int32), np.zeros(0, np.float32), 0
-    at = np.array([hashed[w] for w in words], dtype=np.int32)
-    n = np.fromiter(words.values(), dtype=np.float32, count=len(words))
-    spread = np.bincount(at.ravel(), np.repeat(np.log1p(n), 2), BUCKETS)
-    # One more bucket per text tells how often its words repeat.
-    repeat = float(n.max() / n.sum())
-    idx = np.flatnonzero(spread).astype(np.int32)
-    val = spread[idx] / np.linalg.norm(spread[idx])
-    return np.append(idx, [BUCKETS, BUCKETS + 1]).astype(np.int32), np.append(val, [repeat, len(words) / n.sum()]).astype(np.float32), int(n.sum())
+    code = np.fromiter(map(hashed.__getitem__, words), dtype=np.int64, count=len(words))
+    n = np.fromiter(words.values(), dtype=np.float64, count=len(words))
+    weight = np.log1p(n)
+    weight /= np.sqrt(2 * (weight @ weight))
+    total = n.sum()
+    # Two more buckets tell how often the words repeat. A bucket may be named twice; its weights add up.
+    idx = np.concatenate([code >> BITS, code & (BUCKETS - 1), (BUCKETS, BUCKETS + 1)])
+    return idx.astype(np.int32), np.concatenate([weight, weight, (n.max() / total, len(words) / total)]).astype(np.float32), int(total)
 
 
 @dataclass
@@ -86,7 +85,8 @@ def fit(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...], rows: in
         return none
     y = got["domain"].map({d: k for k, d in enumerate(domains)}).to_numpy()
     size = np.array([len(x) for x in got["idx"]])
-    row, idx, val = np.repeat(np.arange(len(got)), size), np.concatenate(got["idx"].to_numpy()), np.concatenate(got["val"].to_numpy())
+    row, idx, val = np.repeat(np.arange(len(got), dtype=np.int32), size), np.concatenate(got["idx"].to_numpy()), np.concatenate(got["val"].to_numpy())
+    del got
     k = len(domains)
     prior = np.bincount(y, minlength=k) / len(y)
     w, b = np.zeros((BUCKETS + 2, k)), np.log(np.maximum(prior, 1e-12))
