@@ -11,6 +11,7 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -228,8 +229,6 @@ class Query:
 
 def _row_predicate(fn: Callable, df: DataFrame) -> Column:
     """A Python function of a row as a vectorised predicate; Spark cannot push it down."""
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def run(rows: pd.DataFrame) -> pd.Series:
         return pd.Series([bool(fn(r)) for r in rows.to_dict("records")], dtype=bool)
@@ -283,6 +282,14 @@ class Database:
         return self.manifest.queries[name](held, **args)
 
 
+#: Type names that schema() knows; needs no session, so tables can be declared at import.
+TYPES = {"string": T.StringType(), "double": T.DoubleType(), "bigint": T.LongType(), "int": T.IntegerType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(), "date": T.DateType(), "binary": T.BinaryType()}
+
+
+def _type(name: str) -> T.DataType:
+    return T.ArrayType(_type(name[6:-1])) if name.startswith("array<") else TYPES[name]
+
+
 def schema(**columns: str) -> T.StructType:
     """A shape from column names and type names."""
-    return T.StructType.fromDDL(", ".join(f"`{c}` {t}" for c, t in columns.items()))
+    return T.StructType([T.StructField(c, _type(t)) for c, t in columns.items()])
