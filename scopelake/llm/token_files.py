@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -32,19 +33,46 @@ from pyspark.sql import functions as F
 from .common import slices
 
 CHUNK_IDS, BLOCK_KEYS = 1 << 18, 4096
-#: Words cached by a task.
-CACHE = 250_000
 #: Fixed value: how a byte-level tokenizer with use_regex cuts a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters whose classes have not changed between Unicode versions; texts of others go to the library whole.
-_PLAIN = re.compile("[^\x00-\x1b\x20-˿‐-‧‰-⁄€]")
+#: Words that a Python worker keeps, twice: the latest, and those before them.
+CACHE = 600_000
+#: Anything but line ends, spaces, Latin letters and usual signs; texts that hold such characters are not cut.
+_ODD = re.compile("[^\n\x20-\x7e\xa1-\u02ff\u2010-\u2027\u2030-\u2044\u20ac]")
+_SIGNS = frozenset(".,;:!?")
+_DOUBLE = ("  ", " \n", "\n ", "\n\n")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it prints, else one from U+0100 on."""
+    prints = [b for b in range(256) if 33 <= b <= 126 or b >= 161 and b != 173]
+    rest = iter(range(256, 512))
+    return {b: chr(b) if b in prints else chr(next(rest)) for b in range(256)}
+
+
+class Words(dict):
+    """Packed ids of words, found when first asked for; forgets the older half when it grows too large."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode, self.older = encode, {}
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > CACHE:
+            self.older = dict(self)
+            self.clear()
+        found = self.older.get(word)
+        self[word] = found = self.encode(word) if found is None else found
+        return found
 
 
 class Encoder:
     """Ids of whole texts as the tokenizers library gives them, as packed little-endian integers.
 
-    For a byte-level tokenizer the library encodes each distinct word once; the words of a text are cut by the same
-    pattern. Texts that hold a special token or unusual characters, and other kinds of tokenizers, go through whole.
+    A byte-level tokenizer cuts a text before each single space and around each single line end, whatever else it does.
+    So each distinct word between these (with its space, if it has one) is cut by the pattern and given to the library's
+    model once. Texts that hold a special token, white space in a row or unusual characters, and other kinds of
+    tokenizers, go through the library whole.
     """
 
     def __init__(self, spec: str, end_id: int):
@@ -54,32 +82,52 @@ class Encoder:
         self.kind = "<u2" if max(self.tok.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
         parts = json.loads(spec)
         pre = parts.get("pre_tokenizer") or {}
-        self.by_word = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not parts.get("normalizer") and not parts.get("truncation")
+        self.by_word = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not parts.get("normalizer") and not parts.get("truncation") and not parts["model"].get("dropout")
         added = [a["content"] for a in parts.get("added_tokens", [])]
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
         self.end = self.pack([end_id])
-        self.words: dict[str, bytes] = {}
+        self.line = self.pack(self.tok.encode("\n", add_special_tokens=False).ids)
+        self.first, self.spaced = Words(lambda w: self._found(w, False)), Words(lambda w: self._found(w, True))
+        self.model, self.letters = self.tok.model, str.maketrans(byte_letters())
+        self.blank = byte_letters()[32]
         if self.by_word:
             import regex
 
             self.cut = regex.compile(PATTERN).findall
 
     def pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=self.kind).tobytes()
+        return struct.pack(f"<{len(ids)}{'H' if self.kind == '<u2' else 'I'}", *ids)
+
+    def _word(self, word: str) -> bytes:
+        """The ids of a word (perhaps after a space) by the library's model."""
+        tokenize = self.model.tokenize
+        # Letters alone are one cut; printing ASCII stands for itself.
+        cuts = [word] if word[1:].isalpha() and (word[0] == " " or word[0].isalpha()) else self.cut(word)
+        return self.pack([t.id for w in cuts for t in tokenize(w.replace(" ", self.blank) if w.isascii() else w.encode().decode("latin-1").translate(self.letters))])
+
+    def _found(self, word: str, spaced: bool) -> bytes:
+        """A word that is not known yet. A sign after letters is cut off, so what is known of the letters serves."""
+        if word[-1:] in _SIGNS and word[:-1].isalpha():
+            return (self.spaced if spaced else self.first)[word[:-1]] + self.first[word[-1]]
+        return (self._word(" " + word) if spaced else self._word(word)) if word or spaced else b""
+
+    def _usual(self, text: str) -> bool:
+        """Whether a text holds no unusual characters; the first two tests pass most texts at little cost."""
+        if text.replace("\n", "").isprintable():
+            try:
+                text.encode("latin-1")
+                return True
+            except UnicodeEncodeError:
+                pass
+        return not _ODD.search(text)
 
     def _plain(self, text: str) -> bool:
-        return self.by_word and not (self.special and self.special.search(text)) and (text.isascii() and "\x1c" not in text and "\x1d" not in text and "\x1e" not in text and "\x1f" not in text or not _PLAIN.search(text))
+        return self.by_word and not any(d in text for d in _DOUBLE) and self._usual(text) and not (self.special and self.special.search(text))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cuts = [self.cut(t) if self._plain(t) else None for t in texts]
-        if len(self.words) > CACHE:
-            self.words.clear()
-        new = list({w for c in cuts if c for w in c} - self.words.keys())
-        if new:
-            for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
-                self.words[w] = self.pack(e.ids)
-        get = self.words.__getitem__
-        return [(b"".join(map(get, c)) if c is not None else self.pack(self.tok.encode(t, add_special_tokens=False).ids)) + self.end for t, c in zip(texts, cuts)]
+        cuts = [[line.split(" ") for line in t.split("\n")] if self._plain(t) else None for t in texts]
+        first, spaced = self.first.__getitem__, self.spaced.__getitem__
+        return [(self.line.join([first(x[0]) + b"".join(map(spaced, x[1:])) for x in c]) if c is not None else self.pack(self.tok.encode(t, add_special_tokens=False).ids)) + self.end for t, c in zip(texts, cuts)]
 
 
 #: The encoder of a Python worker, which goes on from task to task with the words it knows.
@@ -253,6 +301,7 @@ def locate(keys: DataFrame, path: str) -> DataFrame:
     blocks = first.blocks if first else 1
 
     def run(ks: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        _HELD.clear()  # a worker that has written needs its words no more
         out = {"doc_id": ks["doc_id"], "copy": ks["copy"]}
         if not len(rows) or not len(ks):
             return pd.DataFrame({c: np.zeros(0, dtype=np.int64) for c in (*out, *_PLACE)})
