@@ -9,7 +9,7 @@ rates are fitted so that the expected tokens of the domains match their targets.
    domains, so a step length of 1 is safe. A row's rate is a closed expression over the history of these totals, so
    nothing per document is collected, joined or rewritten between steps.
 
-Tokens are counted as words. Equal documents get equal rates.
+Tokens are runs of word characters and runs of other marks. Equal documents get equal rates.
 
 Edge cases: null and empty texts have no tokens; they get a posterior and a rate like any text but add nothing to the
 totals. Labels of unknown domains are ignored; domains that no labelled row has get a posterior of 0 (without any
@@ -19,19 +19,35 @@ to 1. An empty table gives an empty one.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, map_text
 
 BITS = 13
-BUCKETS, SAMPLE_ROWS = 1 << BITS, 4000
+BUCKETS, SAMPLE_ROWS = 1 << BITS, 8000
+_WORD = re.compile(r"\w+|[^\w\s]+")
+
+
+class Cut(dict):
+    """Words of runs without blanks: no word spans a blank, so the words of a text are those of its runs."""
+
+    def __missing__(self, run: str) -> list[str]:
+        found = _WORD.findall(run)
+        if len(run) <= 32:
+            if len(self) > 100_000:
+                self.clear()
+            self[run] = found
+        return found
 
 
 class Hashed(dict):
@@ -45,9 +61,9 @@ class Hashed(dict):
         return found
 
 
-def features(text: str, hashed: Hashed) -> tuple[np.ndarray, np.ndarray, int]:
+def features(text: str, hashed: Hashed, runs: Cut) -> tuple[np.ndarray, np.ndarray, int]:
     """Buckets, weights and the number of words of a text."""
-    words = Counter(text.lower().split())
+    words = Counter(chain.from_iterable(map(runs.__getitem__, text.lower().split())))
     if not words:
         return np.zeros(0, np.int32), np.zeros(0, np.float32), 0
     code = np.fromiter(map(hashed.__getitem__, words), dtype=np.int64, count=len(words))
@@ -80,12 +96,12 @@ def fit(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...], rows: in
     known = labelled.filter(F.col("domain").isin(*domains) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("domain").alias("domain"))
     chosen = known.orderBy(F.xxhash64("doc_id")).limit(rows)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # `rows` rows at most
-    got = feature_rows(sample, ["doc_id", "domain"]).toPandas().sort_values("doc_id", kind="stable")
+    got = feature_rows(sample, ["doc_id", "domain"]).toArrow().sort_by("doc_id")  # flat arrays, no object per number
     if not len(got):
         return none
-    y = got["domain"].map({d: k for k, d in enumerate(domains)}).to_numpy()
-    size = np.array([len(x) for x in got["idx"]])
-    row, idx, val = np.repeat(np.arange(len(got), dtype=np.int32), size), np.concatenate(got["idx"].to_numpy()), np.concatenate(got["val"].to_numpy())
+    y = pc.index_in(got["domain"], pa.array(domains, got["domain"].type)).to_numpy()
+    size = pc.list_value_length(got["idx"]).to_numpy()
+    row, idx, val = np.repeat(np.arange(len(got), dtype=np.int32), size), pc.list_flatten(got["idx"]).to_numpy(), pc.list_flatten(got["val"]).to_numpy()
     del got
     k = len(domains)
     prior = np.bincount(y, minlength=k) / len(y)
@@ -110,10 +126,10 @@ def fit(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...], rows: in
 
 def feature_rows(docs: DataFrame, keep: list[str]) -> DataFrame:
     def start():
-        hashed = Hashed()
+        hashed, runs = Hashed(), Cut()
 
         def run(texts: list[str]) -> list:
-            rows = [features(t, hashed) for t in texts]
+            rows = [features(t, hashed, runs) for t in texts]
             return [[r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]]
 
         return run
@@ -126,10 +142,10 @@ def memberships(docs: DataFrame, model: Classifier, keep: list[str] | None = Non
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x domains numbers
 
     def start():
-        hashed, m = Hashed(), shared.value
+        hashed, runs, m = Hashed(), Cut(), shared.value
 
         def run(texts: list[str]) -> list:
-            rows = [features(t, hashed) for t in texts]
+            rows = [features(t, hashed, runs) for t in texts]
             return [[r[2] for r in rows], pa.array([m.posteriors(r[0], r[1]).tolist() for r in rows], pa.list_(pa.float64()))]
 
         return run

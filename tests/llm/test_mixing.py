@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 
@@ -64,3 +65,14 @@ def test_without_labels_or_rows(spark):
     rows = M.rates(docs, M.quality_domains(labels.limit(0)), M.TARGETS).collect()
     assert all(abs(x.p_high - 0.5) < 1e-9 for x in rows)
     assert M.rates(docs.limit(0), M.quality_domains(labels), M.TARGETS).count() == 0
+
+
+def test_words(spark):
+    texts = ["foo,bar", "word word, word.", "a\x1cb\u2003c\x85d ...x!?", "\u5317\u4eac,\u4e0a\u6d77" * 20, "f(a);g[b]=c" * 50, "\u0130x I\u0307", "", " "]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = [len(re.findall(r"\w+|[^\w\s]+", t.lower())) for t in texts]
+    got = {x.doc_id: x.n_tokens for x in M.feature_rows(docs, ["doc_id"]).collect()}
+    assert [got[i] for i in range(len(texts))] == want and want[:2] == [3, 5]
+    word, marked = (M.features(t, M.Hashed(), M.Cut())[0].tolist() for t in ("word", "word,"))
+    assert set(word) < set(marked)
+    assert M.SAMPLE_ROWS == 8000
