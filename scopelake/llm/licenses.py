@@ -25,17 +25,17 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 #: Families as (label, keyword, name as a regular expression over normalised words).
 FAMILIES = (
-    ("gpl-1.0", "gpl", r"(?:gnu )?gpl(?: version| v)? ?1(?: 0)?"),
-    ("gpl-2.0", "gpl", r"(?:gnu )?gpl(?: version| v)? ?2(?: 0)?(?: only| or later)?"),
-    ("gpl-3.0", "gpl", r"(?:gnu )?gpl(?: version| v)? ?3(?: 0)?(?: only| or later)?"),
+    ("gpl-1.0", "gpl", r"(?:gnu )?gpl(?: version| ?v)? ?1(?: 0)?"),
+    ("gpl-2.0", "gpl", r"(?:gnu )?gpl(?: version| ?v)? ?2(?: 0)?(?: only| or later)?"),
+    ("gpl-3.0", "gpl", r"(?:gnu )?gpl(?: version| ?v)? ?3(?: 0)?(?: only| or later)?"),
     ("gpl", "gpl", r"(?:gnu )?gpl"),
     ("gpl-2.0", "gnu general public", r"gnu general public licen[cs]e(?: as published by the free software foundation)?(?: either)?(?: version| v) ?2(?: 0)?"),
     ("gpl-3.0", "gnu general public", r"gnu general public licen[cs]e(?: as published by the free software foundation)?(?: either)?(?: version| v) ?3(?: 0)?"),
     ("gpl", "gnu general public", r"gnu general public licen[cs]e"),
-    ("lgpl", "lgpl", r"(?:gnu )?lgpl(?: version| v)?(?: ?[23](?: [01])?)?(?: only| or later)?"),
+    ("lgpl", "lgpl", r"(?:gnu )?lgpl(?: version| v|v(?= ?[23]))?(?: ?[23](?: [01])?)?(?: only| or later)?"),
     ("lgpl", "lesser general public", r"(?:gnu )?lesser general public licen[cs]e(?: version [23](?: [01])?)?"),
     ("lgpl", "library general public", r"(?:gnu )?library general public licen[cs]e"),
-    ("agpl", "agpl", r"(?:gnu )?agpl(?: version| v)?(?: ?3(?: 0)?)?(?: only| or later)?"),
+    ("agpl", "agpl", r"(?:gnu )?agpl(?: version| v|v(?= ?3))?(?: ?3(?: 0)?)?(?: only| or later)?"),
     ("agpl", "affero general public", r"(?:gnu )?affero general public licen[cs]e(?: version 3)?"),
     ("apache-1.1", "apache", r"apache(?: software)? licen[cs]e (?:version |v ?)?1 1"),
     ("apache-2.0", "apache", r"apache(?: software)? licen[cs]e (?:version |v ?)?2(?: 0)?"),
@@ -43,13 +43,14 @@ FAMILIES = (
     ("apache", "apache", r"apache(?: software)? licen[cs]e"),
     ("mit", "mit", r"(?:the )?mit(?: expat| x11)? licen[cs]e"),
     ("mit-0", "mit 0", r"mit 0"),
-    ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: licen[cs]e)?"),
+    ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd)(?: licen[cs]e)?"),
+    ("bsd-2-clause", "freebsd", r"freebsd(?: licen[cs]e)?"),
     ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd)(?: licen[cs]e)?"),
     ("bsd-4-clause", "bsd", r"(?:bsd 4 clause|4 clause bsd|original bsd)(?: licen[cs]e)?"),
     ("bsd", "bsd", r"bsd licen[cs]e"),
     ("mpl-1.1", "mozilla", r"mozilla public licen[cs]e (?:version |v ?)?1 1"),
     ("mpl-2.0", "mozilla", r"mozilla public licen[cs]e(?: (?:version |v ?)?2(?: 0)?)?"),
-    ("mpl-2.0", "mpl", r"mpl (?:version |v ?)?2(?: 0)?"),
+    ("mpl-2.0", "mpl", r"mpl ?(?:version |v ?)?2(?: 0)?"),
     ("epl", "eclipse", r"eclipse public licen[cs]e(?: (?:version |v ?)?[12](?: 0)?)?"),
     ("cddl", "cddl", r"cddl(?: 1 [01])?"),
     ("cddl", "common development", r"common development and distribution licen[cs]e"),
@@ -108,9 +109,10 @@ def rules() -> list[tuple[str, str, int, float, str]]:
     return [*NOTICES, *made]
 
 
-def gates() -> list[str]:
+def gates(base: dict[str, str]) -> list[str]:
     """Strings of which every text that any rule or base phrase matches holds one, few as they are tried on every text."""
-    found = {p for p in BASE} | {keyword for _, keyword, *_ in NOTICES}
+    # Folding may change what lies beyond ASCII, so a phrase with such characters lets every text through.
+    found = {p if p.isascii() else "" for p in base} | {keyword for _, keyword, *_ in NOTICES}
     for _, keyword, name in FAMILIES:
         needed = name
         while (less := re.sub(r"\((?:\?:)?[^()]*\)\?", "", needed)) != needed:
@@ -189,7 +191,7 @@ def scan(docs: DataFrame, text: str = "text", base: dict[str, str] | None = None
     literal = F.array(*(F.struct(F.lit(key).alias("keyword"), F.array(*own).alias("rules")) for key, own in by_key.items()))
     # lower() may fold more than A-Z; it only decides which rows are looked at with A-Z lowered exactly.
     df = with_words(docs.select("doc_id", F.col(text).alias("text"))).select("doc_id", "__words").withColumn("__folded", F.lower("__words"))
-    gated = _any(F.col("__folded"), gates())
+    gated = _any(F.col("__folded"), gates(base))
     df = df.select("doc_id", (F.length("__words") - F.length(F.replace("__words", F.lit(" "), F.lit(""))) - 1).cast("long").alias("n_words"), F.when(gated, F.translate("__words", UPPER, LOWER)).alias("__low"))
     # A column of its own: inside a lambda, Spark would split the text again for every word.
     df = df.withColumn("__list", F.split(F.trim("__low"), " "))

@@ -64,3 +64,24 @@ def test_rules_and_plan(spark):
     docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     plan = licenses.scan(docs.repartition(2))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and plan.count("Exchange") == 1
+
+
+def unfiltered(text, base):
+    """Labels by every rule, whatever its keyword."""
+    low = f" {' '.join(re.findall('[0-9a-z]+', text.lower()))} "
+    hits = sorted((m.start(), -m.end(), priority, k, label) for k, (label, _, priority, _, regex) in enumerate(licenses.rules()) for m in re.finditer(f"(?<= )(?:{regex})(?= )", low, re.A))
+    kept = {h[4] for i, h in enumerate(hits) if not any(g[2] <= h[2] and g[1] <= h[1] for g in hits[:i])}
+    return ",".join(sorted(kept | {label for phrase, label in base.items() if f" {phrase} " in low}))
+
+
+def test_keywords_hide_no_rule(spark):
+    base = {"sesame phrase": "sesame"}
+    short = {"GPLv1": "gpl-1.0", "GPLv2": "gpl-2.0", "GPLv3+": "gpl-3.0", "LGPLv2.1": "lgpl", "LGPLv3": "lgpl", "AGPLv3": "agpl", "MPLv2": "mpl-2.0", "MPL-2.0": "mpl-2.0", "gpl v2": "gpl-2.0", "LGPL": "lgpl"}
+    texts = {"Licensed under the FreeBSD license": "bsd-2-clause", "FreeBSD License.": "bsd-2-clause", "a sesame phrase": "sesame", "lgplv agplv": ""}
+    texts |= {name: label for name, label in short.items()} | {f"licensed under the {name}.": label for name, label in short.items()}
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {x.doc_id: x.labels for x in licenses.scan(docs, base=base).collect()}
+    for i, (text, label) in enumerate(texts.items()):
+        assert got[i] == unfiltered(text, base) == label, text
+    odd = spark.createDataFrame([(1, "Zur \u00c9tude"), (2, "nothing")], "doc_id long, text string")
+    assert {x.doc_id: x.labels for x in licenses.scan(odd, base={"\u00c9tude": "x"}).collect()} == {1: "x", 2: ""}
