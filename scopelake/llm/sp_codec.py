@@ -214,7 +214,9 @@ class Matcher:
         self.cut = re.compile(f" *[^ {lone}]+| +" + (f"|[{lone}]+" if lone else "")).findall
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}  # what was known before `known` was begun anew
-        self.lossy: set[str] = set()  # segments that do not decode to themselves
+        self.width = np.array([len(x) for x in t.surface], dtype=np.int64)
+        self.at = np.cumsum(self.width) - self.width
+        self.every = np.frombuffer(b"".join(t.surface), np.uint8)
 
     def segments(self, text: str) -> list[str]:
         if not text:
@@ -243,16 +245,17 @@ class Matcher:
         return [b"".join(map(get, c)) for c in cuts]
 
     def learn(self, segments: list[str]) -> None:
-        coded = self.match(segments)
-        self.known.update(zip(segments, coded))
-        surface = self.t.surface
-        for s, ids in zip(segments, coded):
-            if b"".join([surface[i] for i in np.frombuffer(ids, self.kind).tolist()]) != s.encode("utf-8", "surrogatepass"):
-                self.lossy.add(s)
+        self.known.update(zip(segments, self.match(segments)))
 
-    def faithful(self, text: str) -> bool:
-        """Whether the ids of a text just encoded decode to it (with U+2581 read as a space)."""
-        return not self.lossy or not any(s in self.lossy for s in self.segments(text))
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes of a text's ids, with the space that the model puts before it."""
+        ids = ids.astype(np.int64)
+        n = self.width[ids]
+        return self.every[np.repeat(self.at[ids] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))].tobytes()
+
+    def faithful(self, text: str, ids: np.ndarray) -> bool:
+        """Whether these ids decode to the whole text (with U+2581 read as a space)."""
+        return self.decode(ids) == ((" " if self.t.prefix and text else "") + text.replace(SPACE, " ")).encode("utf-8", "surrogatepass")
 
     def match(self, segments: list[str]) -> list[bytes]:
         t = self.t
@@ -352,6 +355,16 @@ def decode_ids(t: Tables, ids) -> str:
     return text[1:] if t.prefix and text.startswith(" ") else text
 
 
+def coded(matcher: Matcher, texts: list[str]) -> list:
+    """Counts, ids, checksums and round trips of texts. The ids that are returned are the ones decoded."""
+    packed = [np.frombuffer(x, matcher.kind).astype("<u4") for x in matcher.encode(texts)]
+    ends = np.cumsum([0, *map(len, packed)])
+    flat = (np.concatenate(packed) if packed else np.zeros(0, "<u4")).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+    same = [matcher.faithful(x, flat[a:b]) for x, a, b in zip(texts, ends[:-1].tolist(), ends[1:].tolist())]
+    return [np.diff(ends), lists, np.array([zlib.crc32(i.tobytes()) for i in packed], dtype=np.int64), np.array(same, dtype=bool)]
+
+
 def encode(docs: DataFrame, model: str, keep: list[str] | None = None, text: str = "text") -> DataFrame:
     """`keep` (doc_id) with n_tokens, ids (array of int), ids_crc32 (of little-endian unsigned integers of 32 bits) and
     round_trip: whether the ids decode to the text (with U+2581 read as a space)."""
@@ -361,12 +374,7 @@ def encode(docs: DataFrame, model: str, keep: list[str] | None = None, text: str
         matcher = _matcher(shared.value)
 
         def run(texts: list[str]) -> list:
-            packed = [np.frombuffer(x, matcher.kind).astype("<u4") for x in matcher.encode(texts)]
-            counts = np.array([len(x) for x in packed], dtype=np.int64)
-            flat = np.concatenate(packed) if packed else np.zeros(0, "<u4")
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(flat.astype(np.int32)))
-            same = [matcher.faithful(x) for x in texts]
-            return [counts, lists, np.array([zlib.crc32(i.tobytes()) for i in packed], dtype=np.int64), np.array(same, dtype=bool)]
+            return coded(matcher, texts)
 
         return run
 

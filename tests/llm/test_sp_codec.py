@@ -71,3 +71,14 @@ def test_query_shape(spark):
     back = sorted((str(r.doc_id), r.text) for r in C.decode(coded, PATH).collect())
     assert back == sorted((str(i), (t or "").replace("▁", " ")) for i, t, _ in rows)
     assert C.encode(docs.limit(0), PATH).count() == 0
+
+
+def test_round_trip_decodes_the_ids_returned():
+    m = C.Matcher(C.tables(PATH))
+    many = texts(n=40)
+    counts, lists, _, same = C.coded(m, many)
+    assert same.all() and counts.tolist() == [len(x) for x in lists.to_pylist()]
+    encode, m.encode = m.encode, lambda x: encode(x)[::-1]  # ids of another text: a fault in joining
+    assert C.coded(m, ["one text", "another"])[3].tolist() == [False, False]
+    m.encode = lambda x: [i[2:] for i in encode(x)]  # a lost id
+    assert not C.coded(m, ["one text"])[3].any()
