@@ -73,6 +73,6 @@ def test_words(spark):
     want = [len(re.findall(r"\w+|[^\w\s]+", t.lower())) for t in texts]
     got = {x.doc_id: x.n_tokens for x in M.feature_rows(docs, ["doc_id"]).collect()}
     assert [got[i] for i in range(len(texts))] == want and want[:2] == [3, 5]
-    word, marked = (M.features(t, M.Hashed(), M.Cut())[0].tolist() for t in ("word", "word,"))
+    word, marked = (M.features(t, M.Hashed())[0].tolist() for t in ("word", "word,"))
     assert set(word) < set(marked)
     assert M.SAMPLE_ROWS == 8000
