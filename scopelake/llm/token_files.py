@@ -3,17 +3,21 @@
 Layout under a path, all written by Spark's own writers (so any store will do, and a lost task is written again):
 
 * shards/kind=ids: rows (shard, chunk, payload). A payload is the ids of consecutive documents, each with its end id, as
-  little-endian unsigned integers of 2 bytes (4 if the vocabulary needs it). A shard is one range of doc_ids.
+  little-endian unsigned integers of 2 bytes (4 if the vocabulary needs it). A shard is one range of the ordered rows.
 * shards/kind=keys: rows (doc_id, copy, shard, chunk, at, n, base): where a document's ids lie in its chunk, and how many
-  ids of the shard come before.
-* index: rows (block, pilots, marks, shard, chunk, at, n, base), each a block of about BLOCK_KEYS keys chosen by hash. A
-  block holds a minimal perfect hash: the bucket of a key names a pilot, pilot and key name the slot, and the slot holds
-  the key's fingerprint (mark) and its place. A key that was never written fails the fingerprint but for one in 2^32.
-* totals: rows (shard, start): ids in all shards before.
+  ids of the shard come before. `copy` counts within the shard.
+* index: rows (block, pilots, marks, shard, chunk, at, n, base, aside), each a block of about BLOCK_KEYS keys chosen by
+  hash. A block holds a minimal perfect hash: the bucket of a key names a pilot, pilot and key name the slot, and the
+  slot holds the key's fingerprint (mark) and its place. A key that was never written fails the fingerprint but for one
+  in 2^32. Keys of one block whose 64-bit hashes are equal cannot have slots of their own; they stand aside in the
+  block's row by their full keys.
+* totals: rows (shard, start, low, high): ids in all shards before, and the first and last doc_id.
+* format: one row (width, end_id): bytes of an id, and the id that ends a document.
 
 Edge cases: null and empty texts have the end id only. Rows without a doc_id have no key and are not written. Repeated
-doc_ids are copies 0, 1, ... ordered by their payload, each found by its own key. Texts of any length stay whole in
-one chunk. Extra columns are ignored; an empty table gives empty files.
+doc_ids are copies 0, 1, ... in the order of their texts' first 64 characters, each found by its own key; they may span
+shards, so no key's rows need one task. Texts of any length stay whole in one chunk. Extra columns are ignored; an empty
+table gives empty files.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,12 +40,11 @@ from .common import slices
 CHUNK_IDS, BLOCK_KEYS = 1 << 18, 4096
 #: Fixed value: how a byte-level tokenizer with use_regex cuts a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words that a Python worker keeps, twice: the latest, and those before them.
-CACHE = 600_000
-#: Anything but line ends, spaces, Latin letters and usual signs; texts that hold such characters are not cut.
-_ODD = re.compile("[^\n\x20-\x7e\xa1-\u02ff\u2010-\u2027\u2030-\u2044\u20ac]")
-_SIGNS = frozenset(".,;:!?")
-_DOUBLE = ("  ", " \n", "\n ", "\n\n")
+#: Words that a Python worker keeps, twice: the latest, and those before them. Bytes of text cut into words at once.
+CACHE, SLICE = 600_000, 16 << 20
+#: What texts that are not cut hold: white space in a row, or anything but line ends, spaces, Latin letters and usual signs.
+_UNCUT = r"  | \n|\n |\n\n|[^\n\x20-\x7e\x{a1}-\x{2ff}\x{2010}-\x{2027}\x{2030}-\x{2044}\x{20ac}]"
+_SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def byte_letters() -> dict[int, str]:
@@ -50,28 +54,18 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in prints else chr(next(rest)) for b in range(256)}
 
 
-class Words(dict):
-    """Packed ids of words, found when first asked for; forgets the older half when it grows too large."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode, self.older = encode, {}
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) > CACHE:
-            self.older = dict(self)
-            self.clear()
-        found = self.older.get(word)
-        self[word] = found = self.encode(word) if found is None else found
-        return found
+def id_width(vocabulary: int, end_id: int) -> int:
+    """Bytes of an id in the files."""
+    return 2 if max(vocabulary, end_id + 1) <= 1 << 16 else 4
 
 
 class Encoder:
     """Ids of whole texts as the tokenizers library gives them, as packed little-endian integers.
 
     A byte-level tokenizer cuts a text before each single space and around each single line end, whatever else it does.
-    So each distinct word between these (with its space, if it has one) is cut by the pattern and given to the library's
-    model once. Texts that hold a special token, white space in a row or unusual characters, and other kinds of
+    So a batch of texts is cut there by Arrow, each distinct word (with its space, if it has one) is cut further by the
+    pattern (signs after letters are a cut of their own), and each distinct cut is given to the library's model once.
+    Texts that hold a special token, white space in a row or unusual characters, and other kinds of
     tokenizers, go through the library whole.
     """
 
@@ -79,55 +73,90 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_str(spec)
-        self.kind = "<u2" if max(self.tok.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+        self.width = id_width(self.tok.get_vocab_size(), end_id)
+        self.kind = f"<u{self.width}"
         parts = json.loads(spec)
         pre = parts.get("pre_tokenizer") or {}
         self.by_word = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not parts.get("normalizer") and not parts.get("truncation") and not parts["model"].get("dropout")
-        added = [a["content"] for a in parts.get("added_tokens", [])]
-        self.special = re.compile("|".join(map(re.escape, added))) if added else None
+        self.uncut = "|".join([_UNCUT, *(re.escape(a["content"]) for a in parts.get("added_tokens", []))])
         self.end = self.pack([end_id])
         self.line = self.pack(self.tok.encode("\n", add_special_tokens=False).ids)
-        self.first, self.spaced = Words(lambda w: self._found(w, False)), Words(lambda w: self._found(w, True))
-        self.model, self.letters = self.tok.model, str.maketrans(byte_letters())
-        self.blank = byte_letters()[32]
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # what was known before `known` was begun anew
+        self.letters = str.maketrans(byte_letters() | {10: "\n"})
         if self.by_word:
             import regex
 
-            self.cut = regex.compile(PATTERN).findall
+            self.split = regex.compile(PATTERN).findall
 
     def pack(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}{'H' if self.kind == '<u2' else 'I'}", *ids)
-
-    def _word(self, word: str) -> bytes:
-        """The ids of a word (perhaps after a space) by the library's model."""
-        tokenize = self.model.tokenize
-        # Letters alone are one cut; printing ASCII stands for itself.
-        cuts = [word] if word[1:].isalpha() and (word[0] == " " or word[0].isalpha()) else self.cut(word)
-        return self.pack([t.id for w in cuts for t in tokenize(w.replace(" ", self.blank) if w.isascii() else w.encode().decode("latin-1").translate(self.letters))])
-
-    def _found(self, word: str, spaced: bool) -> bytes:
-        """A word that is not known yet. A sign after letters is cut off, so what is known of the letters serves."""
-        if word[-1:] in _SIGNS and word[:-1].isalpha():
-            return (self.spaced if spaced else self.first)[word[:-1]] + self.first[word[-1]]
-        return (self._word(" " + word) if spaced else self._word(word)) if word or spaced else b""
-
-    def _usual(self, text: str) -> bool:
-        """Whether a text holds no unusual characters; the first two tests pass most texts at little cost."""
-        if text.replace("\n", "").isprintable():
-            try:
-                text.encode("latin-1")
-                return True
-            except UnicodeEncodeError:
-                pass
-        return not _ODD.search(text)
-
-    def _plain(self, text: str) -> bool:
-        return self.by_word and not any(d in text for d in _DOUBLE) and self._usual(text) and not (self.special and self.special.search(text))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cuts = [[line.split(" ") for line in t.split("\n")] if self._plain(t) else None for t in texts]
-        first, spaced = self.first.__getitem__, self.spaced.__getitem__
-        return [(self.line.join([first(x[0]) + b"".join(map(spaced, x[1:])) for x in c]) if c is not None else self.pack(self.tok.encode(t, add_special_tokens=False).ids)) + self.end for t, c in zip(texts, cuts)]
+        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
+
+    def _cuts(self, word: str) -> list[str]:
+        """What the pattern makes of a word after a space; one that begins with a line end has that in place of it."""
+        line, lead = word[:1] == "\n", " "
+        if line:
+            lead, word = "", word[1:]
+        if word.isalpha():
+            cuts = [lead + word]
+        else:
+            stem = word.rstrip(_SIGNS)
+            cuts = [lead + stem, word[len(stem) :]] if stem.isalpha() else self.split(lead + word)
+        return ["\n", *cuts] if line else cuts
+
+    def _learn(self, cuts: list[str]) -> dict[str, bytes]:
+        """The ids of cuts, by the library's model, which reads a letter for each byte."""
+        tokens = list(map(self.tok.model.tokenize, "\n".join(cuts).encode().decode("latin-1").translate(self.letters).split("\n")))
+        raw = self.pack([t.id for found in tokens for t in found])
+        ends = (np.cumsum(list(map(len, tokens))) * self.width).tolist()
+        return dict(zip(cuts, (raw[a:b] for a, b in zip([0, *ends], ends))))
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of words as they stand between two spaces; a line end can only come first."""
+        if len(self.known) > CACHE:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        out = [known.get(w) for w in words]
+        rest = [i for i, x in enumerate(out) if x is None]
+        cuts = {}
+        for i in rest:
+            out[i] = older.get(words[i])
+            if out[i] is None:
+                cuts[i] = self._cuts(words[i])
+        found = {c: known.get(c[1:]) if c[0] == " " else None for own in cuts.values() for c in own} | {"\n": self.line}
+        if new := [c for c, x in found.items() if x is None]:
+            found |= self._learn(new)
+            known.update((c[1:], found[c]) for c in new if c[0] == " ")
+        for i, own in cuts.items():
+            out[i] = b"".join([found[c] for c in own])
+        known.update((words[i], out[i]) for i in rest)
+        return out
+
+    def _cut(self, texts: pa.Array) -> list[bytes]:
+        marked = pc.binary_join_element_wise("\n", pc.replace_substring(texts, "\n", " \n"), "")
+        parts = pc.split_pattern(marked, " ")
+        coded = parts.values.dictionary_encode()
+        packed = self._words(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        size = np.fromiter(map(len, packed), np.int64, len(packed)) // self.width
+        start, flat = np.cumsum(size) - size, np.frombuffer(b"".join(packed), self.kind)
+        of = coded.indices.to_numpy()
+        n = size[of]
+        until = np.cumsum(n)
+        raw = flat[np.repeat(start[of] - until + n, n) + np.arange(int(until[-1]) if len(until) else 0)].tobytes()
+        edges = np.concatenate([[0], until])[parts.offsets.to_numpy()] * self.width
+        skip = len(self.line)  # the line end that was put before each text
+        return [raw[a + skip : b] + self.end for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        whole = pc.match_substring_regex(texts, self.uncut).to_numpy(zero_copy_only=False) if self.by_word else np.ones(len(texts), bool)
+        out = np.empty(len(texts), dtype=object)
+        plain, rest = np.flatnonzero(~whole), np.flatnonzero(whole)
+        if len(plain):
+            out[plain] = np.array([*self._cut(texts.take(pa.array(plain))), None], dtype=object)[:-1]
+        for i, t in zip(rest.tolist(), texts.take(pa.array(rest)).to_pylist()):
+            out[i] = self.pack(self.tok.encode(t, add_special_tokens=False).ids) + self.end
+        return out.tolist()
 
 
 #: The encoder of a Python worker, which goes on from task to task with the words it knows.
@@ -211,56 +240,52 @@ def _key() -> F.Column:
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, text: str = "text", chunk_ids: int = CHUNK_IDS) -> None:
     """Encodes docs(doc_id, text) with the tokenizers file at `tokenizer` (a path of the driver) and writes path."""
+    from tokenizers import Tokenizer
+
     spark = docs.sparkSession
     with open(tokenizer, encoding="utf-8") as f:
-        spec = spark.sparkContext.broadcast(f.read())  # one vocabulary file
+        source = f.read()
+    width = id_width(Tokenizer.from_str(source).get_vocab_size(), end_id)
+    spec = spark.sparkContext.broadcast(source)  # one vocabulary file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
         encoder = _encoder(spec.value, end_id)
-        width = int(encoder.kind[2])
-        held: list[tuple[int, bytes]] = []
-        state = {"size": 0, "chunk": 0, "base": 0}
-        last: tuple = (None, -1)
+        held: list[tuple[int, int, bytes]] = []
+        size = chunk = base = 0
+        last, copy = None, 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal last
-            keys = []
-            at = 0
-            for doc, payload in held:
-                last = (doc, last[1] + 1 if doc == last[0] else 0)
-                keys.append((doc, last[1], at, len(payload) // width))
-                at += len(payload) // width
-            k = len(keys)
-            ints = [pa.array([x[j] for x in keys] + [None], pa.int64()) for j in range(4)]
-            base = pa.array([state["base"] + x[2] for x in keys] + [None], pa.int64())
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(["keys"] * k + ["ids"]), pa.array([shard] * (k + 1), pa.int32()), pa.array([state["chunk"]] * (k + 1), pa.int32()), *ints, base, pa.array([None] * k + [b"".join(p for _, p in held)], pa.binary())],
+            n = np.array([len(p) // width for *_, p in held], dtype=np.int64)
+            at = np.cumsum(n) - n
+            k = len(held)
+            ints = [pa.array([*x, None], pa.int64()) for x in ([d for d, *_ in held], [c for _, c, _ in held], at.tolist(), n.tolist(), (base + at).tolist())]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(["keys"] * k + ["ids"]), pa.array([shard] * (k + 1), pa.int32()), pa.array([chunk] * (k + 1), pa.int32()), *ints, pa.array([None] * k + [b"".join(p for *_, p in held)], pa.binary())],
                 names=["kind", "shard", "chunk", "doc_id", "copy", "at", "n", "base", "payload"],
             )
-            state.update(size=0, chunk=state["chunk"] + 1, base=state["base"] + at)
-            held.clear()
-            return out
 
-        group: list[tuple[int, bytes]] = []  # rows of one doc_id
         for batch in batches:
-            for part in slices(batch, "text"):
-                for doc, payload in zip(part.column("doc_id").to_pylist(), encoder.encode([x or "" for x in part.column("text").to_pylist()])):
-                    if group and group[0][0] != doc:
-                        held += sorted(group) if len(group) > 1 else group
-                        state["size"] += sum(len(p) for _, p in group) // width
-                        group = []
-                        if state["size"] >= chunk_ids:
-                            yield flush()
-                    group.append((doc, payload))
-        held += sorted(group)
+            for part in slices(batch, "text", SLICE):
+                for doc, payload in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text"))):
+                    if size >= chunk_ids:
+                        yield flush()
+                        held.clear()
+                        chunk, base, size = chunk + 1, base + size, 0
+                    copy = copy + 1 if doc == last else 0
+                    last = doc
+                    held.append((doc, copy, payload))
+                    size += len(payload) // width
         if held:
             yield flush()
 
-    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    spark.createDataFrame([(width, end_id)], "width int, end_id bigint").coalesce(1).write.parquet(f"{path}/format")
+    # Equal keys may be many: what follows the doc_id lets their rows be dealt to several shards.
+    ties = [F.substring(F.coalesce("text", F.lit("")), 1, 64), F.monotonically_increasing_id()]
+    rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).withColumns({f"__t{i}": t for i, t in enumerate(ties)})
+    ordered = rows.repartitionByRange("doc_id", "__t0", "__t1").sortWithinPartitions("doc_id", "__t0", "__t1").select("doc_id", "text")
     ordered.mapInArrow(run, "kind string, shard int, chunk int, doc_id bigint, copy bigint, at bigint, n bigint, base bigint, payload binary").write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/shards")
     spec.destroy()
     index(spark, path)
@@ -274,23 +299,58 @@ def shards(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return spark.read.schema(SHARDS).parquet(f"{path}/shards").filter(F.col("kind") == kind)
 
 
+def _global_copies(keys: DataFrame, ends: DataFrame) -> DataFrame:
+    """keys with `copy` counted over all shards: only a doc_id that ends one shard and begins another needs an offset."""
+    begins, finishes = ends.select(F.col("low").alias("doc_id"), F.col("shard").alias("b")), ends.select(F.col("high").alias("doc_id"), F.col("shard").alias("e"))
+    seams = begins.join(finishes, "doc_id").filter("b <> e").select("doc_id").distinct()  # a row per shard at most
+    counts = keys.join(F.broadcast(seams), "doc_id").groupBy("doc_id", "shard").count()
+    before = Window.partitionBy("doc_id").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("doc_id", "shard", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
+    return keys.join(F.broadcast(offsets), ["doc_id", "shard"], "left").withColumn("copy", F.col("copy") + F.coalesce("__before", F.lit(0))).drop("__before")
+
+
+def build_block(f: pd.DataFrame) -> dict:
+    """The index row of a block's keys (doc_id, copy, h and places); keys of one hash stand aside."""
+    clash = f["h"].duplicated(keep=False)
+    aside, f = f[clash], f[~clash]
+    h = f["h"].to_numpy().view(np.uint64)
+    table = PerfectHash.build(h)
+    order = np.argsort(table.slots(h))
+    row = {"pilots": table.pilots.astype("<u4").tobytes(), "marks": marks(h[order]).tobytes()}
+    return row | {c: f[c].to_numpy()[order].astype("<i8").tobytes() for c in _PLACE} | {"aside": aside[["doc_id", "copy", *_PLACE]].to_numpy(dtype="<i8").tobytes()}
+
+
+def look_up(ks: pd.DataFrame, row) -> pd.DataFrame:
+    """The keys (doc_id, copy, h) that a block's row holds, with their places."""
+    h, mark = ks["h"].to_numpy().view(np.uint64), np.frombuffer(row["marks"], "<u4")
+    out = ks[["doc_id", "copy"]].reset_index(drop=True)
+    if len(mark):
+        slot = PerfectHash(len(mark), np.frombuffer(row["pilots"], "<u4")).slots(h)
+        found = out.assign(**{c: np.frombuffer(row[c], "<i8")[slot] for c in _PLACE})[mark[slot] == marks(h)]
+    else:
+        found = out.assign(**{c: np.zeros(len(out), np.int64) for c in _PLACE})[:0]
+    aside = pd.DataFrame(np.frombuffer(row["aside"], "<i8").reshape(-1, 2 + len(_PLACE)), columns=["doc_id", "copy", *_PLACE])
+    if not len(aside):
+        return found
+    other = out.merge(aside, on=["doc_id", "copy"])
+    named = pd.MultiIndex.from_frame(other[["doc_id", "copy"]])
+    return pd.concat([found[~pd.MultiIndex.from_frame(found[["doc_id", "copy"]]).isin(named)], other])
+
+
 def index(spark: SparkSession, path: str, block_keys: int = BLOCK_KEYS) -> None:
     """Builds the index and the totals of the shards under path."""
     keys = shards(spark, path, "keys").select("doc_id", "copy", *_PLACE)
-    sums = keys.groupBy("shard").agg(F.sum("n").alias("ids"))
+    sums = keys.groupBy("shard").agg(F.sum("n").alias("ids"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("keys"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard
-    sums.select("shard", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("start")).write.parquet(f"{path}/totals")
-    blocks = max(1, -(-keys.count() // block_keys))
+    sums.select("shard", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("start"), "low", "high", "keys").write.parquet(f"{path}/totals")
+    totals = spark.read.parquet(f"{path}/totals")
+    blocks = max(1, -(-(totals.agg(F.sum("keys")).first()[0] or 0) // block_keys))
 
     def build(f: pd.DataFrame) -> pd.DataFrame:
-        h = f["h"].to_numpy().view(np.uint64)
-        table = PerfectHash.build(h)
-        order = np.argsort(table.slots(h))
-        row = {"block": f["block"].iloc[0], "blocks": blocks, "pilots": table.pilots.astype("<u4").tobytes(), "marks": marks(h[order]).tobytes()}
-        return pd.DataFrame([row | {c: f[c].to_numpy()[order].astype("<i8").tobytes() for c in _PLACE}])
+        return pd.DataFrame([{"block": f["block"].iloc[0], "blocks": blocks} | build_block(f)])
 
-    hashed = keys.select(F.pmod(_key(), F.lit(blocks)).alias("block"), _key().alias("h"), *_PLACE)
-    hashed.groupBy("block").applyInPandas(build, "block bigint, blocks bigint, pilots binary, marks binary, " + ", ".join(f"{c} binary" for c in _PLACE)).write.parquet(f"{path}/index")
+    hashed = _global_copies(keys, totals).select(F.pmod(_key(), F.lit(blocks)).alias("block"), _key().alias("h"), "doc_id", "copy", *_PLACE)
+    hashed.groupBy("block").applyInPandas(build, "block bigint, blocks bigint, pilots binary, marks binary, " + ", ".join(f"{c} binary" for c in _PLACE) + ", aside binary").write.parquet(f"{path}/index")
 
 
 def locate(keys: DataFrame, path: str) -> DataFrame:
@@ -302,26 +362,22 @@ def locate(keys: DataFrame, path: str) -> DataFrame:
 
     def run(ks: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         _HELD.clear()  # a worker that has written needs its words no more
-        out = {"doc_id": ks["doc_id"], "copy": ks["copy"]}
         if not len(rows) or not len(ks):
-            return pd.DataFrame({c: np.zeros(0, dtype=np.int64) for c in (*out, *_PLACE)})
-        row = rows.iloc[0]
-        h, mark = ks["h"].to_numpy().view(np.uint64), np.frombuffer(row["marks"], "<u4")
-        slot = PerfectHash(len(mark), np.frombuffer(row["pilots"], "<u4")).slots(h)
-        found = pd.DataFrame(out | {c: np.frombuffer(row[c], "<i8")[slot] for c in _PLACE})
-        return found[mark[slot] == marks(h)]
+            return pd.DataFrame({c: np.zeros(0, dtype=np.int64) for c in ("doc_id", "copy", *_PLACE)})
+        return look_up(ks, rows.iloc[0])
 
     asked = keys.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("copy").cast("long").alias("copy"))
     asked = asked.select("doc_id", "copy", _key().alias("h"), F.pmod(_key(), F.lit(blocks)).alias("block"))
     return asked.groupBy("block").cogroup(table.groupBy("block")).applyInPandas(run, "doc_id bigint, copy bigint, " + ", ".join(f"{c} bigint" for c in _PLACE))
 
 
-def read(keys: DataFrame, path: str, kind: str = "<u2", whole: bool = False) -> DataFrame:
+def read(keys: DataFrame, path: str, whole: bool = False) -> DataFrame:
     """doc_id, copy, start, n_tokens and ids_crc32 (with whole also the ids) of the given keys, from the files.
 
     ids_crc32 is of the ids as little-endian unsigned integers of 32 bits, the end id included.
     """
     spark = keys.sparkSession
+    kind = f"<u{spark.read.parquet(f'{path}/format').first().width}"
     chunks = shards(spark, path, "ids").select(F.col("shard").cast("bigint").alias("shard"), F.col("chunk").cast("bigint").alias("chunk"), "payload")
     extra = ", ids array<int>" if whole else ""
 
@@ -332,7 +388,7 @@ def read(keys: DataFrame, path: str, kind: str = "<u2", whole: bool = False) ->
         return out.assign(ids=pd.Series([p.tolist() for p in parts], index=out.index, dtype=object)) if whole else out
 
     found = locate(keys, path).groupBy("shard", "chunk").cogroup(chunks.groupBy("shard", "chunk")).applyInPandas(run, "doc_id bigint, copy bigint, shard bigint, base bigint, n bigint, ids_crc32 bigint" + extra)
-    starts = spark.read.parquet(f"{path}/totals")
+    starts = spark.read.parquet(f"{path}/totals").select("shard", "start")
     cols = [F.col("doc_id"), F.col("copy"), (F.col("start") + F.col("base")).alias("start"), F.col("n").alias("n_tokens"), F.col("ids_crc32"), *([F.col("ids")] if whole else [])]
     return found.join(starts, "shard").select(*cols)
 

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -59,3 +60,41 @@ def test_empty(spark):
     path = work_path(spark, "t")
     T.write(docs, path, PATH)
     assert T.read(T.keys_of(docs), path).count() == 0
+
+
+def test_wide_ids_are_read_as_written(spark):
+    docs = spark.createDataFrame([(1, "one two"), (2, "three")], "doc_id long, text string")
+    path = work_path(spark, "t")
+    T.write(docs, path, PATH, end_id=70_000)
+    tok = Tokenizer.from_file(PATH)
+    got = {r.doc_id: r.ids for r in T.read(T.keys_of(docs), path, whole=True).collect()}
+    assert got == {d: tok.encode(t, add_special_tokens=False).ids + [70_000] for d, t in ((1, "one two"), (2, "three"))}
+
+
+def test_keys_of_one_hash_stand_aside():
+    h = np.array([7, 7, 9, 11, 7], dtype=np.int64)
+    keys = pd.DataFrame({"doc_id": [1, 2, 3, 4, 5], "copy": 0, "h": h})
+    places = {c: np.arange(5) * 10 + i for i, c in enumerate(T._PLACE)}
+    row = T.build_block(keys.assign(**places))
+    asked = pd.concat([keys, pd.DataFrame({"doc_id": [6], "copy": [0], "h": np.array([7], dtype=np.int64)})])
+    got = T.look_up(asked, row).sort_values("doc_id")
+    assert got["doc_id"].tolist() == [1, 2, 3, 4, 5] and got[list(T._PLACE)].to_numpy().tolist() == np.column_stack(list(places.values())).tolist()
+
+
+def test_one_key_may_span_shards(spark):
+    """Half the rows carry one doc_id: they go to several shards, and each copy is found by its own key."""
+    docs = spark.createDataFrame([(5 if i % 2 else i, f"text {i} " * 50) for i in range(2000)], "doc_id long, text string").repartition(6)
+    path = work_path(spark, "t")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        T.write(docs, path, PATH, chunk_ids=2000)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert spark.read.parquet(f"{path}/shards").filter("doc_id = 5").select("shard").distinct().count() > 1
+    rows = T.read(T.keys_of(docs), path).orderBy("start").collect()
+    assert len(rows) == 2000 and len({(r.doc_id, r.copy) for r in rows}) == 2000
+    assert [r.start for r in rows] == np.cumsum([0, *(r.n_tokens for r in rows)])[:-1].tolist()
+    assert [(r.doc_id, r.copy) for r in rows] == sorted((r.doc_id, r.copy) for r in rows)
+    tok = Tokenizer.from_file(PATH)
+    want = sorted(zlib.crc32(np.array(tok.encode(f"text {i} " * 50, add_special_tokens=False).ids + [0], "<u4").tobytes()) for i in range(2000))
+    assert sorted(r.ids_crc32 for r in rows) == want
