@@ -20,7 +20,6 @@ to 1. An empty table gives an empty one.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -35,6 +34,8 @@ from .common import cut, map_text
 BITS = 13
 BUCKETS, SAMPLE_ROWS = 1 << BITS, 8000
 _WORD = re.compile(r"\w+|[^\w\s]+")
+#: Texts with other characters than these (Latin letters, usual signs and blanks) are cut by _WORD itself.
+_OTHER = r"[^\t\n\r\x20-\x7e\x{a1}-\x{12f}\x{131}-\x{24f}\x{2010}-\x{2027}\x{2030}-\x{2044}\x{20ac}]"
 
 
 class Hashed(dict):
@@ -48,19 +49,55 @@ class Hashed(dict):
         return found
 
 
-def features(text: str, hashed: Hashed) -> tuple[np.ndarray, np.ndarray, int]:
-    """Buckets, weights and the number of words of a text."""
-    words = Counter(_WORD.findall(text.lower()))
-    if not words:
-        return np.zeros(0, np.int32), np.zeros(0, np.float32), 0
-    code = np.fromiter(map(hashed.__getitem__, words), dtype=np.int64, count=len(words))
-    n = np.fromiter(words.values(), dtype=np.float64, count=len(words))
+def words(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """The lower-cased tokens of texts, one after the other, and the text that each is of."""
+    other = pc.match_substring_regex(texts, _OTHER)
+    usual, rest = np.flatnonzero(~other.to_numpy(zero_copy_only=False)), np.flatnonzero(other.to_numpy(zero_copy_only=False))
+    apart = pc.replace_substring_regex(pc.utf8_lower(texts.take(pa.array(usual))), r"([^\p{L}\p{N}_\t\n\r ]+)", r" \1 ")
+    cut = pc.ascii_split_whitespace(apart)
+    own = [_WORD.findall(t.lower()) for t in texts.take(pa.array(rest)).to_pylist()]
+    found = pa.concat_arrays([cut.flatten(), pa.array([w for x in own for w in x], pa.string())])
+    of = np.concatenate([np.repeat(usual, pc.list_value_length(cut).to_numpy()), np.repeat(rest, [len(x) for x in own])]).astype(np.int64)
+    full = pc.not_equal(found, "")  # blanks at either end of a text
+    return of[full.to_numpy(zero_copy_only=False)], found.filter(full).dictionary_encode()
+
+
+@dataclass
+class Features:
+    """Of a batch of texts: buckets and weights by text (`row`), and the number of tokens of each text."""
+
+    row: np.ndarray
+    idx: np.ndarray
+    val: np.ndarray
+    tokens: np.ndarray
+
+    def lists(self) -> tuple[pa.Array, pa.Array]:
+        order = np.argsort(self.row, kind="stable")
+        ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(self.row, minlength=len(self.tokens)))]), pa.int32())
+        return pa.ListArray.from_arrays(ends, pa.array(self.idx[order], pa.int32())), pa.ListArray.from_arrays(ends, pa.array(self.val[order], pa.float32()))
+
+
+def features(texts: pa.Array, hashed: Hashed) -> Features:
+    """Distinct tokens weigh by the logarithm of their counts, to length one. Two more buckets tell how often a text's
+    words repeat. A bucket may be named twice; its weights add up."""
+    of, coded = words(texts)
+    code = np.fromiter(map(hashed.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False).tolist()), np.int64, len(coded.dictionary))
+    distinct = max(1, len(code))
+    key, n = np.unique(of * distinct + coded.indices.to_numpy(), return_counts=True)
+    row, code = key // distinct, code[key % distinct] if len(key) else np.zeros(0, np.int64)
+    tokens = np.bincount(of, minlength=len(texts))
     weight = np.log1p(n)
-    weight /= np.sqrt(2 * (weight @ weight))
-    total = n.sum()
-    # Two more buckets tell how often the words repeat. A bucket may be named twice; its weights add up.
-    idx = np.concatenate([code >> BITS, code & (BUCKETS - 1), (BUCKETS, BUCKETS + 1)])
-    return idx.astype(np.int32), np.concatenate([weight, weight, (n.max() / total, len(words) / total)]).astype(np.float32), int(total)
+    weight /= np.sqrt(2 * np.bincount(row, weight * weight, len(texts)))[row]
+    some = np.flatnonzero(tokens)
+    kinds = np.bincount(row, minlength=len(texts))[some]
+    most = np.maximum.reduceat(n, np.cumsum(kinds) - kinds) if len(some) else np.zeros(0)
+    extra = np.ones(len(some), dtype=np.int64)
+    return Features(
+        np.concatenate([row, row, some, some]),
+        np.concatenate([code >> BITS, code & (BUCKETS - 1), BUCKETS * extra, (BUCKETS + 1) * extra]),
+        np.concatenate([weight, weight, most / tokens[some], kinds / tokens[some]]).astype(np.float32),
+        tokens,
+    )
 
 
 @dataclass
@@ -71,10 +108,11 @@ class Classifier:
     weights: np.ndarray  # (BUCKETS + 2) x domains
     bias: np.ndarray
 
-    def posteriors(self, idx: np.ndarray, val: np.ndarray) -> np.ndarray:
-        z = val @ self.weights[idx] + self.bias
-        e = np.exp(z - z.max())
-        return e / e.sum()
+    def posteriors(self, f: Features) -> np.ndarray:
+        """A row for each text, a column for each domain."""
+        z = np.stack([np.bincount(f.row, f.val * self.weights[f.idx, k], len(f.tokens)) for k in range(len(self.domains))], 1) + self.bias
+        e = np.exp(z - z.max(1, keepdims=True))
+        return e / e.sum(1, keepdims=True)
 
 
 def fit(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...], rows: int = SAMPLE_ROWS, steps: int = 150, l2: float = 1e-5) -> Classifier:
@@ -115,13 +153,13 @@ def feature_rows(docs: DataFrame, keep: list[str]) -> DataFrame:
     def start():
         hashed = Hashed()
 
-        def run(texts: list[str]) -> list:
-            rows = [features(t, hashed) for t in texts]
-            return [[r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]]
+        def run(texts: pa.Array) -> list:
+            found = features(texts, hashed)
+            return [*found.lists(), found.tokens]
 
         return run
 
-    return map_text(docs, "text", [("idx", "array<int>"), ("val", "array<float>"), ("n_tokens", "bigint")], start, keep)
+    return map_text(docs, "text", [("idx", "array<int>"), ("val", "array<float>"), ("n_tokens", "bigint")], start, keep, arrow=True)
 
 
 def memberships(docs: DataFrame, model: Classifier, keep: list[str] | None = None) -> DataFrame:
@@ -131,22 +169,25 @@ def memberships(docs: DataFrame, model: Classifier, keep: list[str] | None = Non
     def start():
         hashed, m = Hashed(), shared.value
 
-        def run(texts: list[str]) -> list:
-            rows = [features(t, hashed) for t in texts]
-            return [[r[2] for r in rows], pa.array([m.posteriors(r[0], r[1]).tolist() for r in rows], pa.list_(pa.float64()))]
+        def run(texts: pa.Array) -> list:
+            found = features(texts, hashed)
+            p = m.posteriors(found)
+            ends = pa.array(np.arange(len(texts) + 1) * p.shape[1], pa.int32())
+            return [found.tokens, pa.ListArray.from_arrays(ends, pa.array(p.reshape(-1), pa.float64()))]
 
         return run
 
-    return map_text(docs, "text", [("n_tokens", "bigint"), ("p", "array<double>")], start, keep)
+    return map_text(docs, "text", [("n_tokens", "bigint"), ("p", "array<double>")], start, keep, arrow=True)
 
 
 @dataclass
 class Fit:
-    """Fitted rates: the history of steps, and the totals they end with."""
+    """Fitted rates: the history of steps, the totals they end with, and whether these met the targets or moved no more."""
 
     steps: list[np.ndarray]
     totals: np.ndarray
     targets: np.ndarray
+    settled: bool = False
 
     def rate(self, p: str = "p") -> F.Column:
         r = F.lit(1.0)
@@ -172,10 +213,9 @@ def fit_rates(members: DataFrame, targets: dict[str, float], domains: tuple[str,
         r = found.rate()
         found.totals = np.array(members.agg(*(F.coalesce(F.sum(n * r * F.col("p")[i]), F.lit(0.0)) for i in range(k))).first(), dtype=float)
         off = found.totals - want
-        if len(found.steps) == steps or np.abs(off).max() <= tolerance * max(first[0], 1.0):
-            break
         step = inverse @ off
-        if found.steps and np.abs(step).max() < 1e-12:
+        found.settled = bool(np.abs(off).max() <= tolerance * max(first[0], 1.0) or np.abs(step).max() < 1e-12)
+        if found.settled or len(found.steps) == steps:
             break
         found.steps.append(step)
     return found
@@ -192,11 +232,12 @@ TARGETS = {"high": 0.97, "low": 0.03}
 
 
 def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float = 1.0) -> DataFrame:
-    """doc_id, n_tokens, p_<domain> and rate of every document."""
+    """doc_id, n_tokens, p_<domain>, rate and settled of every document; settled is false on all rows if the fit stopped at
+    its number of steps before the totals met the targets or ceased to move."""
     domains = tuple(targets)
     members = cut(memberships(docs, fit(docs, labelled, domains)))
     found = fit_rates(members, targets, domains, budget)
-    return members.select("doc_id", "n_tokens", *(F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(domains)), found.rate().alias("rate"))
+    return members.select("doc_id", "n_tokens", *(F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(domains)), found.rate().alias("rate"), F.lit(found.settled).alias("settled"))
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float = 1.0) -> DataFrame:

@@ -1,7 +1,10 @@
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from scopelake.llm import mixing as M
 
@@ -73,6 +76,31 @@ def test_words(spark):
     want = [len(re.findall(r"\w+|[^\w\s]+", t.lower())) for t in texts]
     got = {x.doc_id: x.n_tokens for x in M.feature_rows(docs, ["doc_id"]).collect()}
     assert [got[i] for i in range(len(texts))] == want and want[:2] == [3, 5]
-    word, marked = (M.features(t, M.Hashed())[0].tolist() for t in ("word", "word,"))
+    word, marked = (M.features(pa.array([t]), M.Hashed()).idx.tolist() for t in ("word", "word,"))
     assert set(word) < set(marked)
     assert M.SAMPLE_ROWS == 8000
+
+
+def test_features_against_a_plain_count():
+    texts = ["The cat, the CAT!", "", "b_2 \u00b2 \u00c4rger\u2014x", "\u5317 \u5317 a", "x"]
+    hashed = M.Hashed()
+    got = M.features(pa.array(texts), hashed)
+    for i, t in enumerate(texts):
+        n = Counter(re.findall(r"\w+|[^\w\s]+", t.lower()))
+        want = np.zeros(M.BUCKETS + 2)
+        if n:
+            weight = {w: math.log1p(c) for w, c in n.items()}
+            length = math.sqrt(2 * sum(x * x for x in weight.values()))
+            for w, x in weight.items():
+                want[hashed[w] >> M.BITS] += x / length
+                want[hashed[w] & (M.BUCKETS - 1)] += x / length
+            want[-2:] += max(n.values()) / n.total(), len(n) / n.total()
+        mine = got.row == i
+        assert np.allclose(np.bincount(got.idx[mine], got.val[mine], M.BUCKETS + 2), want, atol=1e-6)
+        assert got.tokens[i] == n.total()
+
+
+def test_whether_rates_settled(spark):
+    members = spark.createDataFrame([(10, [0.9, 0.1]), (10, [0.1, 0.9])], "n_tokens long, p array<double>")
+    assert M.fit_rates(members, {"a": 0.5, "b": 0.5}, ("a", "b")).settled
+    assert not M.fit_rates(members, {"a": 1.0, "b": 0.0}, ("a", "b"), steps=1).settled
