@@ -7,9 +7,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.json import field_kind
 from ..functions.keys import EMPTY_CURSOR, change_id, change_number, row_key
+from ..functions.values import is_number
 from ..plans.catalog import TableDef
+from ..sources.shared import cut, numbered
 
 
 def bounds(log: DataFrame) -> DataFrame:
@@ -23,6 +27,12 @@ def latest_versions(log: DataFrame) -> DataFrame:
     return log.groupBy("table", "id").agg(F.max("version").alias("version"), F.max_by("scope_key", newest).alias("scope_key"), F.max_by("kind", newest).alias("kind")).withColumn("row_key", row_key(F.col("table"), F.col("id")))
 
 
+def version_of(log: DataFrame, rows: DataFrame) -> DataFrame:
+    """table, id and version of the given rows(table, id); 0 for a row that the log has never seen."""
+    known = latest_versions(log).select("table", "id", "version")
+    return rows.select("table", "id").join(known, ["table", "id"], "left").withColumn("version", F.coalesce("version", F.lit(0)).cast("long"))
+
+
 def changes_after(log: DataFrame, scope: str, cursor: str | None, limit: int) -> DataFrame:
     """A page of a scope's changes after a cursor (None: from the start), in order."""
     return log.filter((F.col("scope_key") == scope) & (F.col("change_id") > F.lit(cursor or ""))).orderBy("change_id").limit(max(0, limit))
@@ -38,18 +48,24 @@ def oldest_ids(id_map: DataFrame) -> DataFrame:
     return id_map.groupBy("table", "local_id").agg(F.min_by("server_id", F.struct("created_at", "server_id")).alias("server_id"))
 
 
-def append(log: DataFrame, new: DataFrame) -> DataFrame:
-    """The rows of `new` (log columns without change_id and version, and seq for their order) with the next change ids of
-    their scopes and the next versions of their rows.
+def put_ids(id_map: DataFrame, new: DataFrame) -> DataFrame:
+    """The id map with new(table, local_id, server_id, created_at); a local id that already stands for another row is an error."""
+    known = oldest_ids(id_map).withColumnRenamed("server_id", "__known")
+    clash = new.join(known, ["table", "local_id"]).filter("server_id <> __known").limit(1).collect()
+    twice = new.groupBy("table", "local_id").agg(F.count_distinct("server_id").alias("n")).filter("n > 1").limit(1).collect()
+    if clash or twice:
+        raise ValueError(f"local id {(clash or twice)[0].local_id!r} stands for another row")
+    return id_map.unionByName(new.join(id_map.select("table", "local_id"), ["table", "local_id"], "left_anti").dropDuplicates(["table", "local_id"]).select(id_map.columns))
 
-    Numbering is a window per scope, as the ids are dense; at scale commit scopes in batches.
-    """
+
+def append(log: DataFrame, new: DataFrame) -> DataFrame:
+    """The rows of `new` (log columns without change_id and version, and seq for their order, without ties) with the next
+    change ids of their scopes and the next versions of their rows. Scopes of any size are numbered in two passes."""
     last = log.groupBy("scope_key").agg(F.max(change_number(F.col("change_id"))).alias("__last"))
     known = log.groupBy("table", "id").agg(F.max("version").alias("__version"))
-    numbered = new.join(last, "scope_key", "left").join(known, ["table", "id"], "left")
-    at = F.row_number().over(Window.partitionBy("scope_key").orderBy("seq")) + F.coalesce("__last", F.lit(0))
+    placed = numbered(new, ["scope_key"], "seq", "__number").join(last, "scope_key", "left").join(known, ["table", "id"], "left")
     version = F.row_number().over(Window.partitionBy("table", "id").orderBy("seq")) + F.coalesce("__version", F.lit(0))
-    return numbered.withColumns({"change_id": change_id(at), "version": version.cast("long")}).drop("__last", "__version")
+    return placed.withColumns({"change_id": change_id(F.col("__number") + F.coalesce("__last", F.lit(0))), "version": version.cast("long")}).drop("__last", "__version", "__number")
 
 
 def versions_of(changes: DataFrame) -> DataFrame:
@@ -74,62 +90,82 @@ def replay_or_new(operations: DataFrame, ledger: DataFrame, schema_version: int)
     return answered, ops.join(stored, ["user_id", "op_id"], "left_anti")
 
 
-def validate(table: TableDef, operations: DataFrame, canonical: DataFrame, functions: dict[str, tuple[str, tuple[str, ...]]], schema_version: int, rounds: int = 8) -> DataFrame:
+def wrong_type(table: TableDef, patch: Column) -> Column:
+    """What is wrong with the values of set and counter fields, and with deltas over any field; null if nothing is.
+
+    A delta fits a column of its kind, whether the row has a value there or not; a plain value of a declared set or
+    counter field must be an array or a number.
+    """
+    wrong = F.lit(None).cast("string")
+    for f in reversed(table.shape.fields):
+        kind = field_kind(patch, f.name)
+        array, number = isinstance(f.dataType, T.ArrayType), is_number(f.dataType)
+        no_array = (kind == "SET") & F.lit(not array) | (~kind.isin("SET", "ARRAY", "VOID") & F.lit(f.name in table.set_fields))
+        no_number = (kind == "COUNTER") & F.lit(not number) | (~kind.isin("COUNTER", "VOID", "BIGINT", "DECIMAL", "DOUBLE", "FLOAT") & F.lit(f.name in table.counter_fields))
+        wrong = F.when(no_array, f'non-array field "{f.name}"').when(no_number, f'non-number field "{f.name}"').otherwise(wrong)
+    return wrong
+
+
+def validate(table: TableDef, operations: DataFrame, canonical: DataFrame, functions: dict[str, tuple[str, tuple[str, ...]]], schema_version: int, rounds: int = 1000) -> DataFrame:
     """operations with reject_reason (null: accepted) and no_op (an accepted delete of a row already gone).
 
     functions: kind and writable fields by function name. operations have seq, op_id, user_id, schema_version,
     function_name, id, value, patch and group_id; a patch or delete of another user's row is rejected in the same words
-    as one of a row that was never seen. A group with a rejected member is rejected whole; since that may take away rows
-    that later operations build on, validation goes on until nothing more is rejected.
+    as one of a row that was never seen; so is a patch that would move a row to another scope. A group with a rejected
+    member is rejected whole; since that may take away rows that later operations build on, validation goes on until
+    nothing more is rejected. Each round is cut; one that has not settled after `rounds` is an error.
     """
-    ops = operations.withColumn("__fields", F.coalesce(F.json_object_keys(F.coalesce("patch", "value")), F.array().cast("array<string>")))
+    body = F.coalesce("patch", "value")
+    ops = operations.withColumn("__fields", F.coalesce(F.json_object_keys(body), F.array().cast("array<string>")))
     kind, known, allowed = F.lit(None).cast("string"), F.lit(False), F.array().cast("array<string>")
     for name, (k, fields) in functions.items():
         hit = F.col("function_name") == name
         kind, known = F.when(hit, k).otherwise(kind), known | hit
         allowed = F.when(hit, F.array(*map(F.lit, fields)).cast("array<string>")).otherwise(allowed)
     server = F.array(*map(F.lit, table.server_fields)).cast("array<string>")
-    wrong = F.lit(None).cast("string")
-    for names, what, shape in ((table.set_fields, "non-array", "[["), (table.counter_fields, "non-number", "n")):
-        for f in names:
-            raw = F.get_json_object(F.coalesce("patch", "value"), f"$.{f}")
-            good = raw.isNull() | (raw.startswith("[") | raw.contains("__lfSet") if what == "non-array" else raw.contains("__lfCounter") | raw.try_cast("double").isNotNull())
-            wrong = F.when(~good, f'{what} field "{f}"').otherwise(wrong)
     owner = table.scope.field if table.scope and table.scope.kind == "byUser" else None
-    rows = canonical.select(F.col("_id").alias("__i"), (~F.coalesce("_deleted", F.lit(False))).alias("__live"), (F.col(f"`{owner}`") if owner else F.lit(None).cast("string")).alias("__owner"))
-    ops = ops.withColumns({"__kind": kind, "__wrong": wrong}).join(rows, F.col("id") == F.col("__i"), "left")
+    held = table.scope.field if table.scope and not owner else None
+    scope = owner or held
+    rows = canonical.select(F.col("_id").alias("__i"), (~F.coalesce("_deleted", F.lit(False))).alias("__live"), (F.col(f"`{scope}`").cast("string") if scope else F.lit(None).cast("string")).alias("__owner"))
+    ops = ops.withColumns({"__kind": kind, "__wrong": wrong_type(table, body)}).join(rows, F.col("id") == F.col("__i"), "left")
     foreign = F.col("__owner").isNotNull() & (F.col("__owner") != F.col("user_id")) if owner else F.lit(False)
+    moved = F.coalesce(F.get_json_object("patch", f"$.{held}") != F.col("__owner"), F.lit(False)) if held else F.lit(False)
     fixed = (
         F.when(F.col("schema_version") != schema_version, "schemaMismatch")
         .when(~known, "unknownFunction")
         .when(F.size(F.array_intersect("__fields", server)) > 0, "serverOnlyField")
         .when(F.size(F.array_except("__fields", allowed)) > 0, "unknownField")
         .when(F.col("__wrong").isNotNull(), F.col("__wrong"))
-        .when(foreign & F.col("__kind").isin("patch", "delete"), F.concat(F.lit("Cannot "), F.col("__kind"), F.lit(f" {table.name}:"), F.col("id")))
+        .when(foreign & F.col("__kind").isin("patch", "delete") | moved & (F.col("__kind") == "patch"), F.concat(F.lit("Cannot "), F.col("__kind"), F.lit(f" {table.name}:"), F.col("id")))
     )
-    ops = ops.withColumn("__reason", fixed)
+    ops = cut(ops.withColumn("__reason", fixed))
     count = -1
     for _ in range(rounds):
         order = Window.partitionBy("id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
         effect = F.when(F.col("__reason").isNull() & (F.col("__kind") == "insert"), True).when(F.col("__reason").isNull() & (F.col("__kind") == "delete"), False)
         live = F.coalesce(F.last(effect, ignorenulls=True).over(order), F.col("__live"), F.lit(False))
-        seen = F.col("__i").isNotNull() | F.coalesce(F.max(effect.isNotNull()).over(order), F.lit(False))
+        seen = F.col("__i").isNotNull() | F.coalesce(F.max(effect).over(order), F.lit(False))
         checked = ops.withColumn("__now", live).withColumn("__seen", seen)
         late = (
             F.when((F.col("__kind") == "insert") & F.col("__now"), F.concat(F.lit(f"Duplicate localId {table.name}:"), F.col("id")))
             .when((F.col("__kind") == "patch") & ~F.col("__now"), F.concat(F.lit(f"Cannot patch {table.name}:"), F.col("id")))
             .when((F.col("__kind") == "delete") & ~F.col("__seen"), F.concat(F.lit(f"Cannot delete {table.name}:"), F.col("id")))
         )
-        checked = checked.withColumn("__all", F.coalesce("__reason", late))
-        first = F.min_by("__all", F.when(F.col("__all").isNotNull(), F.col("seq"))).over(Window.partitionBy("group_id"))
-        grouped = F.when(F.col("group_id").isNotNull() & first.isNotNull(), F.when(first.startswith("groupRejected: "), first).otherwise(F.concat(F.lit("groupRejected: "), first)))
-        checked = checked.withColumn("__final", F.coalesce(grouped, F.col("__all")))
+        checked = cut(checked.withColumn("__all", F.coalesce("__reason", late)))
+        # One row per group with a rejected member; operations outside groups take no part.
+        bad = checked.filter("group_id is not null and __all is not null").groupBy("group_id").agg(F.min_by("__all", "seq").alias("__first"))
+        checked = checked.join(bad, "group_id", "left")
+        first = F.col("__first")
+        grouped = F.when(first.startswith("groupRejected: "), first).otherwise(F.concat(F.lit("groupRejected: "), first))
+        checked = cut(checked.withColumn("__final", F.coalesce(grouped, F.col("__all"))).drop("__first"))
         now = checked.filter("__final is not null").count()
         if now == count:
             break
         count = now
         # Members of rejected groups no longer count for what comes after; other late rejections are found again.
         ops = checked.withColumn("__reason", F.coalesce("__reason", F.when(F.col("group_id").isNotNull(), F.col("__final")))).drop("__now", "__seen", "__all", "__final")
+    else:
+        raise RuntimeError(f"validation did not settle in {rounds} rounds")
     keep = [F.col(f"`{c}`") for c in operations.columns]
     return checked.select(*keep, F.col("__final").alias("reject_reason"), (F.col("__final").isNull() & (F.col("__kind") == "delete") & ~F.col("__now")).alias("no_op"))
 
@@ -140,8 +176,8 @@ def own(table: TableDef, rows: DataFrame, user: str) -> DataFrame:
 
 
 def mint(rows: DataFrame, column: str, start: int) -> DataFrame:
-    """A server-made running number."""
-    return rows.withColumn(column, F.row_number().over(Window.orderBy("seq")) + F.lit(start))
+    """A server-made running number after `start`, by seq."""
+    return numbered(rows, [], "seq", column).withColumn(column, F.col(column) + F.lit(start))
 
 
 def project(table: TableDef, rows: DataFrame) -> DataFrame:
@@ -161,14 +197,50 @@ def needs_bootstrap(cursors: DataFrame, log: DataFrame) -> DataFrame:
 
 def pull(log: DataFrame, cursors: DataFrame, budget: int, scopes: int = 64) -> DataFrame:
     """Changes after each scope's cursor, within one budget that is spent in the order of the request:
-    cursors(scope_key, cursor, position). has_more: the scope has changes that did not fit."""
-    asked = cursors.groupBy("scope_key").agg(F.min("position").alias("position"), F.max("cursor").alias("cursor")).orderBy("position").limit(scopes)
+    cursors(scope_key, cursor, position). has_more: the scope has changes that did not fit. A request for more than
+    `scopes` different scopes is refused. No task keeps more than `budget` changes of a scope."""
+    asked = cursors.groupBy("scope_key").agg(F.min("position").alias("position"), F.max("cursor").alias("cursor"))
+    if asked.limit(scopes + 1).count() > scopes:
+        raise ValueError(f"a pull may name {scopes} scopes at most")
     wanted = log.join(F.broadcast(asked), "scope_key").filter(F.col("change_id") > F.coalesce("cursor", F.lit("")))  # scopes rows at most
     sizes = wanted.groupBy("scope_key", "position").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("position").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("position", "scope_key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     room = sizes.withColumn("room", F.greatest(F.lit(0), F.lit(budget) - before)).withColumn("has_more", F.col("n") > F.col("room"))
     at = F.row_number().over(Window.partitionBy("scope_key").orderBy("change_id"))
-    return wanted.withColumn("__at", at).join(F.broadcast(room.select("scope_key", "room", "has_more")), "scope_key").filter(F.col("__at") <= F.col("room")).drop("__at", "room", "cursor")
+    first = wanted.withColumn("__at", at).filter(F.col("__at") <= budget)  # a literal bound: Spark cuts each task's rows before the shuffle
+    return first.join(F.broadcast(room.select("scope_key", "room", "has_more")), "scope_key").filter(F.col("__at") <= F.col("room")).drop("__at", "room", "cursor")
+
+
+def starved(log: DataFrame, cursors: DataFrame, budget: int, scopes: int = 64) -> DataFrame:
+    """Scopes of a pull that have changes but got none: they must be asked for again from the cursor they had."""
+    behind = log.join(F.broadcast(cursors.select("scope_key", "cursor")), "scope_key").filter(F.col("change_id") > F.coalesce("cursor", F.lit(""))).select("scope_key").distinct()
+    return behind.join(pull(log, cursors, budget, scopes).select("scope_key").distinct(), "scope_key", "left_anti")
+
+
+def bootstrap(log: DataFrame, versions: DataFrame, scope: str, limit: int, after: str | None = None, end_cursor: str | None = None) -> tuple[DataFrame, str, bool]:
+    """(page, end cursor, has_more) of a scope's rows by row key. The end cursor is the last change when the first page is
+    read and is handed back for the others; after the last page has_more says whether the log went on meanwhile."""
+    last = log.filter(F.col("scope_key") == scope).agg(F.max("change_id")).first()[0] or EMPTY_CURSOR
+    end_cursor = end_cursor or last
+    rest = snapshot_page(versions, scope, after, limit + 1).count()
+    return snapshot_page(versions, scope, after, limit), end_cursor, rest > limit or last > end_cursor
+
+
+def scope_states(cursors: DataFrame, roles: DataFrame, operations: DataFrame) -> DataFrame:
+    """scope_key, cursor, role, pending and rejected of every scope that any of them knows, sorted by key."""
+    work = operations.groupBy("scope_key").agg(F.count_if(F.col("status").isin("pending", "pushing")).alias("pending"), F.count_if(F.col("status") == "rejected").alias("rejected"))
+    joined = cursors.select("scope_key", "cursor").join(roles.select("scope_key", "role"), "scope_key", "full").join(work, "scope_key", "full")
+    return joined.withColumns({"pending": F.coalesce("pending", F.lit(0)), "rejected": F.coalesce("rejected", F.lit(0))}).orderBy("scope_key")
+
+
+def stamped(operations: DataFrame, high_water: float, now: float) -> DataFrame:
+    """operations(seq) with created_at: later than everything before (the high-water mark) and strictly increasing."""
+    return numbered(operations, [], "seq", "__n").withColumn("created_at", F.greatest(F.lit(float(now)), F.lit(float(high_water) + 1)) + F.col("__n") - 1).drop("__n")
+
+
+def sortable_ids(prefix: str, at: Column, counter: Column, salt: Column) -> Column:
+    """Ids that sort by time, then by a counter, and end in a hash of their salt: prefix_time_counter_hash."""
+    return F.concat_ws("_", F.lit(prefix), F.lpad(F.lower(F.hex(at.cast("bigint"))), 12, "0"), F.lpad(F.lower(F.hex(counter)), 8, "0"), F.lpad(F.lower(F.hex(F.xxhash64(salt, at, counter))), 16, "0"))
 
 
 def visible_changes(changes: DataFrame, current: DataFrame, visible: Column) -> DataFrame:

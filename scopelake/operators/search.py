@@ -3,7 +3,8 @@
 The index is a table of postings (id, token, field): the first field, in declared order, that holds a token of a row.
 The last word of a search matches as a prefix, the words before it exactly, and all must match. A row scores the weight
 of the best field for each token with the prefix (twice if it is the whole word) and twice the weight for each exact
-word. Postings are found by token, so a posting table sorted by token lets the scan skip what cannot match.
+word. Postings are found by token: store() keeps them sorted by it, so a scan skips the files and row groups that cannot
+match.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
 from ..plans.catalog import TableDef
+from ..sources.shared import cut
 
 
 def index(table: TableDef, rows: DataFrame) -> DataFrame:
@@ -28,6 +30,12 @@ def index(table: TableDef, rows: DataFrame) -> DataFrame:
     return spread.groupBy("id", "token").agg(F.min("field").alias("field"))
 
 
+def store(postings: DataFrame, path: str) -> DataFrame:
+    """Writes postings by ranges of tokens, sorted, and reads them again."""
+    postings.repartitionByRange("token", "id").sortWithinPartitions("token", "id").write.parquet(path)
+    return postings.sparkSession.read.parquet(path)
+
+
 def update_index(table: TableDef, postings: DataFrame, changed: DataFrame) -> DataFrame:
     """Postings after rows changed or went: changed has the rows as they are now (`_deleted` where they went)."""
     return postings.join(changed.select(F.col("_id").alias("id")).distinct(), "id", "left_anti").unionByName(index(table, changed))
@@ -70,11 +78,10 @@ def search(table: TableDef, rows: DataFrame, postings: DataFrame, text: str, lim
     scored = hits.groupBy("id").agg(F.sum(score).alias("score"), F.every(F.lit(True)).alias("__t"), *(n.alias(f"__n{i}") for i, n in enumerate(needed)))
     for i in range(len(needed)):
         scored = scored.filter(F.col(f"__n{i}"))
-    matched = scored.select("id", "score").join(held, "id")
+    matched = cut(scored.select("id", "score").join(held, "id"))  # counted and ranked from one pass
     total = matched.agg(F.count("*").alias("total"))
-    ranked = matched.orderBy(F.desc("score"), F.desc_nulls_last("recency"), F.asc("id"))
-    ranked = ranked if limit is None or limit < 0 else ranked.limit(limit)
-    return ranked.crossJoin(F.broadcast(total)).orderBy(F.desc("score"), F.desc_nulls_last("recency"), F.asc("id"))  # one row
+    ranked = matched.crossJoin(F.broadcast(total)).orderBy(F.desc("score"), F.desc_nulls_last("recency"), F.asc("id"))  # one row
+    return ranked if limit is None or limit < 0 else ranked.limit(limit)
 
 
 def top_per_scope(matched: DataFrame, scope: str, k: int) -> DataFrame:

@@ -4,7 +4,8 @@ Tables are frames with `_id`, the columns of their shape, `_version` and `_delet
 
 A change log has change_id, id, kind (insert, replace, patch, delete), version, op_id, and the JSON strings value (full
 row) and patch (only the fields it sets: absent and null differ). Changes apply in the order of change_id. One is stale
-if its version is below the row's, or equal to it and not a full row.
+if its version is below the row's, or equal to it and not a full row. A row is deleted if the last change it accepted is
+a delete; any other revives it.
 
 The fold needs no list of a row's history: what is stale follows from the running maximum of versions, and each column
 is the value of the last change that set it since the last full row. So both steps are a window and an aggregation over
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.json import json_object, json_value
 from ..functions.sets import apply_counter_delta, apply_set_delta
 from ..plans.catalog import SYSTEM, TableDef
 
@@ -51,13 +53,11 @@ def fold(table: TableDef, canonical: DataFrame, changes: DataFrame) -> DataFrame
     start = F.max(F.when(full | (F.col("kind") == "base"), F.col("seq"))).over(Window.partitionBy("id"))
     taken = taken.withColumn("__start", F.coalesce(start, F.lit(-1))).filter(F.col("seq") >= F.col("__start"))
     grouped = taken.groupBy("id").agg(
-        F.max(F.when(F.col("kind") == "delete", F.col("seq"))).alias("__dead"),
-        F.bool_or(F.col("gone")).alias("__gone"),
+        F.max_by(F.when(F.col("kind") == "base", F.col("gone")).otherwise(F.col("kind") == "delete"), F.struct("seq", "version")).alias("_deleted"),
         F.max("version").alias("_version"),
         *(F.max_by(F.struct(F.col("row")[f.name].alias("v")), F.when((F.col("kind") != "delete") & (F.col("keys").isNull() | F.array_contains("keys", f.name)), F.col("seq"))).alias(f"__{f.name}") for f in fields),
     )
-    dead = F.col("__dead").isNotNull() | F.col("__gone")
-    return grouped.select(F.col("id").alias("_id"), *(F.col(f"__{f.name}")["v"].alias(f.name) for f in fields), "_version", dead.alias("_deleted"))
+    return grouped.select(F.col("id").alias("_id"), *(F.col(f"__{f.name}")["v"].alias(f.name) for f in fields), "_version", "_deleted")
 
 
 def operation_order() -> list[Column]:
@@ -79,7 +79,7 @@ def _patched(table: TableDef, field: T.StructField, row: Column, patch: Column,
 
 def derive_view(table: TableDef, canonical: DataFrame, operations: DataFrame) -> DataFrame:
     """The live view: canonical rows with operations replayed, `_pending`, and `_conflict` where one could not be or was
-    rejected by the server (a later one wins)."""
+    rejected by the server (a later one wins). A row that neither the canonical table nor an insert knows is not made up."""
     fields = _columns(table)
     whole = T.StructType(fields)
     plain = T.StructType([f for f in fields if f.name not in table.set_fields and f.name not in table.counter_fields])
@@ -107,12 +107,12 @@ def derive_view(table: TableDef, canonical: DataFrame, operations: DataFrame) ->
             (s["known"] | insert).alias("known"),
             F.when(insert, F.lit(None).cast("long")).otherwise(s["version"]).alias("version"),
             (s["pending"] | ok).alias("pending"),
-            F.when(ok, s["failed"]).otherwise(F.concat(op["kind"], F.lit(" on missing row"))).alias("failed"),
+            F.when(ok, s["failed"]).otherwise(F.concat(F.lit("Cannot replay "), op["kind"], F.lit(" over a missing row"))).alias("failed"),
             F.when(ok, s["failed_op"]).otherwise(op["op_id"]).alias("failed_op"),
         )
 
     empty_ops = F.filter(F.col("__ops"), lambda x: F.lit(False))
-    folded = joined.select("_id", F.aggregate(F.coalesce("__ops", empty_ops, F.array().cast(joined.schema["__ops"].dataType)), F.coalesce("__s", nothing), step).alias("s"))
+    folded = joined.select("_id", F.aggregate(F.coalesce("__ops", empty_ops, F.array().cast(joined.schema["__ops"].dataType)), F.coalesce("__s", nothing), step).alias("s")).filter("s.known")
     rejected = operations.filter("status = 'rejected'").groupBy(F.col("id").alias("__rid")).agg(F.max_by(F.struct("op_id", "error"), F.struct("created_at", "op_id")).alias("__r"))
     out = folded.join(rejected, F.col("_id") == F.col("__rid"), "left")
     conflict = F.when(F.col("__r").isNotNull(), F.struct(F.lit("serverRejected").alias("kind"), F.col("__r.error").alias("message"), F.col("__r.op_id").alias("opId"), F.col("s.version").alias("serverVersion"))).when(
@@ -141,18 +141,40 @@ def inverse_operations(table: TableDef, operations: DataFrame, before: DataFrame
     row = F.struct(*(F.col(f"b.`{f.name}`") for f in own))
     joined = operations.alias("o").join(before.alias("b"), F.col("o.id") == F.col("b._id"), "left")
     keys = _keys(F.col("o.patch"))
-    touched = F.concat(F.lit("{"), F.array_join(F.filter(F.array(*(F.when(F.array_contains(keys, f.name), F.concat(F.lit(f'"{f.name}":'), F.coalesce(F.get_json_object(F.to_json(F.struct(F.array(F.col(f"b.`{f.name}`")).alias("v")), {"ignoreNullFields": "false"}), "$.v"), F.lit("[null]")))) for f in own)), lambda x: x.isNotNull()), ","), F.lit("}"))
-    # Each value travels as an array of one, which keeps a null a null.
+    touched = json_object([(f.name, F.array_contains(keys, f.name), json_value(F.col(f"b.`{f.name}`"))) for f in own])
     kind = F.when(F.col("o.kind") == "insert", "delete").when((F.col("o.kind") == "delete") & F.col("b._id").isNotNull(), "insert").when((F.col("o.kind") == "patch") & F.col("b._id").isNotNull() & ~F.coalesce(F.col("b._deleted"), F.lit(False)), "patch")
-    return joined.select("o.op_id", "o.id", kind.alias("kind"), F.when(kind == "insert", F.to_json(row, {"ignoreNullFields": "false"})).alias("value"), F.when(kind == "patch", F.regexp_replace(touched, r'":\[((?s:.*?))\](,"|\})', '":$1$2')).alias("patch")).filter("kind is not null")
+    return joined.select("o.op_id", "o.id", kind.alias("kind"), F.when(kind == "insert", F.to_json(row, {"ignoreNullFields": "false"})).alias("value"), F.when(kind == "patch", touched).alias("patch")).filter("kind is not null")
+
+
+def undo(table: TableDef, entries: DataFrame, current: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(operations, counter-entries) of undoing or redoing entries(unit, position, op_id, id, kind, value, patch), which
+    inverse_operations made when the unit was done.
+
+    A patch of a row that is gone by now is left out and does not bring it back; an insert does. The operations keep their
+    order; the counter-entries, taken from the rows as they are now, come in reverse, as what undoes them again.
+    """
+    row = current.select(F.col("_id").alias("__i"), (~F.coalesce(F.col("_deleted"), F.lit(False)) if "_deleted" in current.columns else F.lit(True)).alias("__live"))
+    joined = entries.join(row, F.col("id") == F.col("__i"), "left")
+    valid = joined.filter((F.col("kind") != "patch") | F.coalesce("__live", F.lit(False))).drop("__i", "__live")
+    counter = inverse_operations(table, valid, current.filter(F.coalesce(~F.col("_deleted"), F.lit(True))) if "_deleted" in current.columns else current)
+    at = valid.select("unit", F.col("op_id").alias("__o"), F.col("position").alias("__at"))
+    return valid, counter.join(at, F.col("op_id") == F.col("__o")).withColumn("position", -F.col("__at")).drop("__o", "__at")
+
+
+def after_new_action(redo: DataFrame, acted: DataFrame) -> DataFrame:
+    """The redo entries that are left when new actions were taken in scopes: those of other scopes."""
+    return redo.join(acted.select("scope_key").distinct(), "scope_key", "left_anti")
 
 
 def undo_stack(history: DataFrame, depth: int = 100) -> DataFrame:
     """The latest `depth` undo units per scope (a group is one), newest first: history(scope_key, op_id, group_id, created_at)."""
     unit = F.coalesce("group_id", "op_id")
-    units = history.groupBy("scope_key", unit.alias("unit")).agg(F.max("created_at").alias("at"), F.sort_array(F.collect_list("op_id"), asc=False).alias("op_ids"))
+    units = history.groupBy("scope_key", unit.alias("unit")).agg(F.max("created_at").alias("at"), F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("scope_key").orderBy(F.desc("at"), F.desc("unit")))
-    return units.withColumn("position", rank).filter(F.col("position") <= depth)
+    kept = units.withColumn("position", rank).filter(F.col("position") <= depth)  # the rank cuts each task's rows first
+    own = history.withColumn("unit", unit).join(kept.select("scope_key", "unit"), ["scope_key", "unit"], "left_semi")
+    ops = own.groupBy("scope_key", "unit").agg(F.sort_array(F.collect_list("op_id"), asc=False).alias("op_ids"))  # one action's operations
+    return kept.join(ops, ["scope_key", "unit"]).select("scope_key", "unit", "at", "op_ids", "position")
 
 
 def strip(table: TableDef, rows: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -21,8 +22,8 @@ from ..operators import relations
 from .catalog import Manifest, Relation, TableDef
 from .filters import compile_filter
 
-#: Values that an `in` list may have to be looked up in an index.
-INDEX_LIST = 16
+#: Columns that carry the sort keys of a plan through its joins begin with this.
+_ORDER = "__order"
 
 
 @dataclass(frozen=True)
@@ -136,14 +137,22 @@ class Query:
         return out
 
     def to_df(self, frames: dict[str, DataFrame], user: str | None = None, target_scope: bool = True) -> DataFrame:
-        """The rows, with relations nested. target_scope: related rows must lie in the same scope where they have its
-        column (the base is always held to its scope)."""
+        """The rows in plan order, with relations nested. target_scope: related rows must lie in the same scope where
+        they have its column (the base is always held to its scope)."""
+        out = self._unordered(frames, user, target_scope)
+        keys = [c for c in out.columns if c.startswith(_ORDER)]
+        return out.orderBy(*(sort_key(F.col(c), c.endswith("desc")) for c in keys)).drop(*keys) if keys else out
+
+    def _unordered(self, frames: dict[str, DataFrame], user: str | None, target_scope: bool = True) -> DataFrame:
+        """The rows that order and limit choose, with relations, and columns _ORDER... to sort them by: joins keep no order."""
         out = self.matching(frames[self.table.name], user)
         if self.ordering or self.rows is not None:
-            keys = self.sort_columns(out)
-            out = out.orderBy(*keys)
+            tie = relations.tie(out)
+            keys = [(ordered(F.col(f"`{self.ordering[0]}`"), self.table.type_of(self.ordering[0]), self.collation), self.ordering[1])] if self.ordering else []
+            keys += [(F.col(c), False) for c in dict.fromkeys([tie, "_id"])]
             if self.rows is not None:
-                out = out.limit(self.rows)
+                out = out.orderBy(*(sort_key(k, down) for k, down in keys)).limit(self.rows)
+            out = out.withColumns({f"{_ORDER}{i}{'desc' if down else 'asc'}": k for i, (k, down) in enumerate(keys)})
         for name, relation in self.related_by:
             target = frames[relation.table]
             if target_scope and self.table.scope and self.scopes and (c := self.table.scope.field) in target.columns and c in self.scopes:
@@ -160,7 +169,8 @@ class Query:
     def groups(self, frames: dict[str, DataFrame], user: str | None = None) -> DataFrame:
         """key, first and rows: the rows of each group in plan order (the limit comes before the grouping); `first` sorts
         groups by first appearance. A group becomes one value: for groups of any size use group_positions."""
-        df = self.to_df(frames, user)
+        df = self._unordered(frames, user)
+        df = df.drop(*(c for c in df.columns if c.startswith(_ORDER)))
         row, down = F.struct(*(F.col(f"`{c}`") for c in df.columns)), bool(self.ordering and self.ordering[1])
         o = F.col(f"`{self.ordering[0]}`") if self.ordering else F.lit(0)
         entry = F.struct(o.isNotNull().alias("has"), ordered(o, self.table.type_of(self.ordering[0]), self.collation).alias("o") if self.ordering else o.alias("o"), F.col(relations.tie(df)).alias("t"), row.alias("r"))
@@ -175,56 +185,40 @@ class Query:
 
     def group_positions(self, frames: dict[str, DataFrame], user: str | None = None) -> DataFrame:
         """All rows with key, sorted by it and then in plan order: a range-partitioned sort, whatever the group sizes."""
-        df = self.to_df(frames, user).withColumn("key", self.key_column())
+        df = self._unordered(frames, user)
+        df = df.drop(*(c for c in df.columns if c.startswith(_ORDER))).withColumn("key", self.key_column())
         return df.orderBy(F.col("key").asc_nulls_first(), *self.sort_columns(df))
 
-    def counts(self, frames: dict[str, DataFrame], user: str | None = None) -> DataFrame:
-        """key and n of each group, or n alone; order and limit do not count."""
+    def counts(self, frames: dict[str, DataFrame], user: str | None = None, null_key: str | None = None) -> DataFrame:
+        """key and n of each group, or n alone; order and limit do not count. null_key: what the null group is called."""
         df = self.matching(frames[self.table.name], user)
-        return df.groupBy(self.key_column().alias("key")).agg(F.count("*").alias("n")) if self.group_field else df.agg(F.count("*").alias("n"))
-
-    def explain(self) -> dict:
-        """How declared indexes would serve the plan: strategy, index, equality prefix, range and whether it sorts.
-
-        For information; Spark's own scan prunes by the same conditions.
-        """
-        fixed = {c: [v] for c, v in (self.scopes or {}).items() if v is not None}
-        ranged, lists = set(), {}
-        for spec in self.filters:
-            for c, v in spec.items():
-                if c in ("AND", "OR", "NOT"):
-                    continue
-                if not isinstance(v, dict):
-                    fixed[c] = [v]
-                elif "eq" in v:
-                    fixed[c] = [v["eq"]]
-                elif isinstance(v.get("in"), list):
-                    lists[c] = v["in"]
-                elif set(v) & {"lt", "lte", "gt", "gte"}:
-                    ranged.add(c)
-        best = {"strategy": "scan", "index": None, "prefix": [], "prefixes": 1, "range": None, "sorted_by_index": False, "scope_satisfied": not self.missing_scope()}
-        if any(len(v) > INDEX_LIST for v in lists.values()):
-            return best
-        top = -1
-        for name, columns in self.table.indexes.items():
-            prefix, ways = [], 1
-            for c in columns:
-                if c in fixed:
-                    prefix.append(c)
-                elif c in lists and ways == 1:
-                    prefix.append(c)
-                    ways = max(1, len(set(map(str, lists[c]))))
-                else:
-                    break
-            after = columns[len(prefix)] if len(prefix) < len(columns) else None
-            sorts = bool(self.ordering and ways == 1 and after == self.ordering[0])
-            if self.ordering and not sorts and ways == 1:
-                continue
-            score = 2 * len(prefix) + (after in ranged) + 2 * sorts
-            if (prefix or sorts) and score > top:
-                top = score
-                best |= {"strategy": "index", "index": name, "prefix": prefix, "prefixes": ways, "range": after if after in ranged else None, "sorted_by_index": sorts}
-        return best
+        if not self.group_field:
+            return df.agg(F.count("*").alias("n"))
+        key = self.key_column() if null_key is None else F.coalesce(self.key_column(), F.lit(null_key))
+        return df.groupBy(key.alias("key")).agg(F.count("*").alias("n"))
+
+    def describe(self) -> dict:
+        """What the plan asks for: scope, filters, order, limit, grouping, relations and the number of opaque predicates."""
+        opaque = sum(not isinstance(p, Column) for p in self.predicates)
+        return {"table": self.table.name, "scope": self.scopes, "filters": list(self.filters), "order": self.ordering, "limit": self.rows, "group_by": self.group_field, "relations": [n for n, _ in self.related_by], "predicates": len(self.predicates), "opaque": opaque}
+
+    def explain(self, frames: dict[str, DataFrame], user: str | None = None) -> dict:
+        """describe() with what Spark makes of it: the filters that reach the files, the columns read, and the operators."""
+        df = self.to_df(frames, user)
+        conf, name = df.sparkSession.conf, "spark.sql.maxMetadataStringLength"
+        before = conf.get(name)
+        conf.set(name, 100_000)  # else long lists of filters are cut
+        try:
+            text = df._jdf.queryExecution().executedPlan().toString()
+        finally:
+            conf.set(name, before)
+        return self.describe() | {
+            "scope_satisfied": not self.missing_scope(),
+            "pushed": re.findall(r"PushedFilters: \[(.*?)\], ReadSchema", text),
+            "read": re.findall(r"ReadSchema: struct<(.*?)>(?:\s|$)", text),
+            "sorts": len(re.findall(r"\bSort\b|TakeOrderedAndProject", text)),
+            "exchanges": len(re.findall(r"Exchange (?:hash|range|Single)", text)),
+        }
 
 
 def _row_predicate(fn: Callable, df: DataFrame) -> Column:

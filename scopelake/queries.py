@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import keys, ranks, sets
-from .functions.text import tokenize
 from .operators import log, relations, search, view
 from .plans.catalog import TableDef, by_user, by_workspace, many, many_to_many, one, via_ids
 from .plans.query import Query, indexed, schema
+from .sources.shared import work_path
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -116,7 +116,7 @@ def rel_one(spark, sf):
 
 @_query("SELECT c_custkey, count(o_orderkey) AS n_orders, min(o_orderkey) AS first_order, max(o_orderkey) AS last_order FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
 def rel_backref(spark, sf):
-    frames = {"orders": _orders(spark, sf), "customer": _rows(spark, sf, "customer", "c_custkey")}
+    frames = {"orders": _orders(spark, sf).select("_id", "o_orderkey", "customer_id"), "customer": _rows(spark, sf, "customer", "c_custkey").select("_id", "c_custkey")}
     out = Query(CUSTOMER).with_("orders").to_df(frames, target_scope=False)
     at = F.transform("orders", lambda o: o["o_orderkey"])
     return out.select("c_custkey", F.size("orders").cast("long").alias("n_orders"), F.array_min(at).alias("first_order"), F.array_max(at).alias("last_order"))
@@ -124,9 +124,9 @@ def rel_backref(spark, sf):
 
 @_query("SELECT s_suppkey, count(p_partkey) AS n_parts, min(p_partkey) AS first_part, max(p_partkey) AS last_part FROM supplier LEFT JOIN (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) ON l_suppkey = s_suppkey LEFT JOIN part ON p_partkey = l_partkey GROUP BY s_suppkey")
 def rel_many_to_many(spark, sf):
-    links = _read(spark, sf, "lineitem").select(F.col("l_suppkey").cast("string").alias("s"), F.col("l_partkey").cast("string").alias("p"), F.concat_ws(":", "l_orderkey", "l_linenumber").alias("_id"))
+    links = _read(spark, sf, "lineitem").select(F.col("l_suppkey").cast("string").alias("s"), F.col("l_partkey").cast("string").alias("p"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("_id"))
     parts = _rows(spark, sf, "part", "p_partkey").select("_id", "p_partkey")
-    out = relations.attach(_rows(spark, sf, "supplier", "s_suppkey"), "parts", many_to_many("part", "lineitem", "s", "p"), parts, links)
+    out = relations.attach(_rows(spark, sf, "supplier", "s_suppkey").select("_id", "s_suppkey"), "parts", many_to_many("part", "lineitem", "s", "p"), parts, links)
     at = F.transform("parts", lambda x: x["p_partkey"])
     return out.select("s_suppkey", F.size("parts").cast("long").alias("n_parts"), F.array_min(at).alias("first_part"), F.array_max(at).alias("last_part"))
 
@@ -171,10 +171,23 @@ def _search_sql(last: str, exact: list[str], where: str = "true") -> str:
     return f"SELECT doc_id, CAST({score} AS BIGINT) AS score, count(*) OVER () AS total FROM (SELECT doc_id, token, min(field) AS field FROM ({toks}) GROUP BY doc_id, token) GROUP BY doc_id HAVING {need}"
 
 
+#: Stored postings by session and folder: an index is built once and asked many times.
+_POSTINGS: dict[tuple[str, str], str] = {}
+
+
+def _postings(spark: SparkSession, sf: str) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _POSTINGS:
+        path = work_path(spark, "postings")
+        search.store(search.index(LABELLED, _rows(spark, sf, "documents", "doc_id")), path)
+        _POSTINGS[key] = path
+    return spark.read.parquet(_POSTINGS[key])
+
+
 def _searched(text: str, within=None):
     def run(spark, sf):
         rows = _rows(spark, sf, "documents", "doc_id")
-        found = search.search(LABELLED, rows, search.index(LABELLED, rows), text, within=within)
+        found = search.search(LABELLED, rows, _postings(spark, sf), text, within=within)
         return found.select(F.col("id").cast("bigint").alias("doc_id"), F.col("score").cast("long").alias("score"), "total")
 
     return run
@@ -195,11 +208,6 @@ def search_scoped(spark, sf):
     return _searched("licens", F.col("lang") == "de")(spark, sf)
 
 
-@_query()
-def html_strip_tokens(spark, sf):
-    return _read(spark, sf, "pages").select("page_id", F.size(tokenize(F.col("html"))).cast("long").alias("n_tokens"), F.array_join(F.slice(tokenize(F.col("html")), 1, 5), " ").alias("head"))
-
-
 @_query(
     "SELECT l_orderkey, coalesce(string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY CAST(l_linenumber AS VARCHAR)) FILTER (l_linenumber > 3 OR NOT returned), '') AS merged FROM (SELECT l_orderkey, l_linenumber, bool_or(l_returnflag = 'R') AS returned FROM lineitem GROUP BY 1, 2) GROUP BY l_orderkey"
 )
@@ -230,7 +238,7 @@ USERS = TableDef("users", schema(value="double", last_type="string"))
 _LOG_SQL = "(SELECT *, event_id + 1 AS seq, CASE event_type WHEN 'error' THEN 'delete' WHEN 'click' THEN 'patch' ELSE 'replace' END AS kind FROM events)"
 _FOLD_SQL = f"""WITH log AS {_LOG_SQL}, f AS (SELECT user_id, coalesce(max(seq) FILTER (kind = 'replace'), 0) AS start FROM log GROUP BY user_id),
  t AS (SELECT log.*, f.start FROM log JOIN f USING (user_id) WHERE seq >= f.start)
- SELECT CAST(user_id AS VARCHAR) AS _id, arg_max(value, seq) FILTER (kind <> 'delete') AS value, arg_max(event_type, seq) FILTER (kind = 'replace') AS last_type, max(seq) AS _version, bool_or(kind = 'delete') AS _deleted FROM t GROUP BY user_id"""
+ SELECT CAST(user_id AS VARCHAR) AS _id, arg_max(value, seq) FILTER (kind <> 'delete') AS value, arg_max(event_type, seq) FILTER (kind = 'replace') AS last_type, max(seq) AS _version, arg_max(kind, seq) = 'delete' AS _deleted FROM t GROUP BY user_id"""
 
 
 def _no_rows(spark: SparkSession) -> DataFrame:
@@ -337,3 +345,6 @@ def op_history(spark, sf):
     """Undo units per scope: all of them, as the depth exceeds their number."""
     e = _read(spark, sf, "events").select(F.col("user_id").cast("string").alias("scope_key"), keys.change_id(F.col("event_id")).alias("op_id"), F.col("event_type").alias("group_id"), F.col("event_id").alias("created_at"))
     return view.undo_stack(e).select(F.col("scope_key").cast("bigint").alias("user_id"), F.col("unit").alias("event_type"), F.size("op_ids").cast("long").alias("n"))
+
+
+from . import queries_sync  # noqa: E402, F401  registers its queries here

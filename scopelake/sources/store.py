@@ -1,42 +1,105 @@
 """A namespace of tables on any file system that Spark reaches: canonical rows, operations, cursors, roles and blobs.
 
-Writes are Parquet. A table that is replaced is written to a new version folder first and then named in the version log,
-so readers see the old or the new rows, never a part, and a failed write leaves the old ones.
+Writes are Parquet. A table that is replaced is written to a new folder first and then named in the version log, so readers
+see the old or the new rows, never a part, and a failed write leaves the old ones. Canonical tables lie in BUCKETS buckets
+by row id, and changes rewrite only the buckets they touch; vacuum() removes what no version names any more.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.push import Push
 from ..operators.relations import keep_except_ghosts
 from ..operators.view import confirmed, derive_view, fold
 from ..plans.catalog import TableDef
 
-_VERSIONS = "name string, at bigint, folder string"
+_VERSIONS = "name string, at bigint, folder string, epoch bigint"
+_EPOCH = "__epoch"
+#: Buckets of a canonical table.
+BUCKETS = 16
 OPERATIONS = "op_id string, client_id string, user_id string, schema_version int, function_name string, `table` string, kind string, id string, value string, patch string, created_at double, status string, error string, group_id string, group_index int"
+LEDGER = "user_id string, op_id string, schema_version int, status string, error string"
+CHANGES = "scope_key string, change_id string, `table` string, id string, kind string, value string, patch string, version bigint, server_time double, op_id string"
+
+
+def _first(rows: DataFrame, key: str) -> DataFrame:
+    """The first row of each key, in the order of the frame."""
+    numbered = rows.withColumn("__at", F.monotonically_increasing_id())
+    rest = [c for c in rows.columns if c != key]
+    picked = numbered.groupBy(key).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in rest)), "__at").alias("__r"))
+    return picked.select(*(F.col(key) if c == key else F.col("__r")[c].alias(c) for c in rows.columns))
+
+
+def _last(rows: DataFrame, key: str) -> DataFrame:
+    """The last row of each key, in the order of the frame."""
+    numbered = rows.withColumn("__at", F.monotonically_increasing_id())
+    rest = [c for c in rows.columns if c != key]
+    picked = numbered.groupBy(key).agg(F.max_by(F.struct(*(F.col(f"`{c}`") for c in rest)), "__at").alias("__r"))
+    return picked.select(*(F.col(key) if c == key else F.col("__r")[c].alias(c) for c in rows.columns))
 
 
 class Store:
-    """Tables under `path`/`namespace`."""
+    """Tables under `path`/`namespace`.
+
+    clear() starts a new epoch: what was written before is gone, and a writer that still names an older epoch is fenced.
+    """
 
     def __init__(self, spark: SparkSession, path: str, namespace: str = "default"):
         self.spark, self.base = spark, f"{path.rstrip('/')}/{namespace}"
         spark.createDataFrame([], _VERSIONS).write.mode("append").parquet(f"{self.base}/versions")
 
+    @staticmethod
+    def bucket(column: str = "_id") -> F.Column:
+        """The bucket of a row of a canonical table: a change rewrites the buckets of the rows that it touches."""
+        return F.pmod(F.xxhash64(F.col(column)), F.lit(BUCKETS)).cast("int")
+
+    def _named(self) -> DataFrame:
+        return self.spark.read.schema(_VERSIONS).parquet(f"{self.base}/versions")
+
+    def epoch(self) -> int:
+        return self._named().filter(F.col("name") == _EPOCH).agg(F.coalesce(F.max("epoch"), F.lit(0))).first()[0]
+
+    def clear(self) -> int:
+        """Drops all tables and returns the new epoch."""
+        now = self.epoch() + 1
+        self._name([(_EPOCH, 0, "", now)])
+        return now
+
+    def _name(self, entries: list[tuple]) -> None:
+        self.spark.createDataFrame(entries, _VERSIONS).coalesce(1).write.mode("append").parquet(f"{self.base}/versions")
+
     def _latest(self, name: str) -> tuple[int, str] | None:
-        row = self.spark.read.schema(_VERSIONS).parquet(f"{self.base}/versions").filter(F.col("name") == name).orderBy(F.desc("at")).first()
+        named = self._named().filter(F.col("name").isin(name, _EPOCH))
+        now = named.agg(F.coalesce(F.max(F.when(F.col("name") == _EPOCH, F.col("epoch"))), F.lit(0))).first()[0]
+        row = named.filter((F.col("name") == name) & (F.col("epoch") == now)).orderBy(F.desc("at")).first()
         return (row.at, row.folder) if row else None
 
-    def replace(self, name: str, rows: DataFrame, partition_by: list[str] | None = None) -> None:
-        last = self._latest(name)
-        folder = f"data/{name}/{uuid.uuid4().hex}"
-        writer = rows.write.partitionBy(*partition_by) if partition_by else rows.write
-        writer.parquet(f"{self.base}/{folder}")
-        self.spark.createDataFrame([(name, (last[0] if last else 0) + 1, folder)], _VERSIONS).coalesce(1).write.mode("append").parquet(f"{self.base}/versions")
+    def replace_all(self, tables: dict[str, DataFrame], expected_epoch: int | None = None, staged: Callable[[], list[tuple[str, str]]] = list) -> bool:
+        """Replaces several tables, and buckets that `staged` writes, in one step: readers see all of them or none. False,
+        and nothing written, if the store was cleared since the epoch that the writer expects."""
+        now = self.epoch()
+        if expected_epoch is not None and expected_epoch != now:
+            return False
+        made = []
+        for name, rows in tables.items():
+            made.append((name, f"data/{name}/{uuid.uuid4().hex}"))
+            rows.write.parquet(f"{self.base}/{made[-1][1]}")
+        made += staged()
+        last = {k: v[0] for k, v in self._folders("").items()}
+        entries = [(name, last.get(name, 0) + 1, folder, now) for name, folder in made]
+        if self.epoch() != now:
+            return False
+        self._name(entries)
+        return True
+
+    def replace(self, name: str, rows: DataFrame, expected_epoch: int | None = None) -> bool:
+        return self.replace_all({name: rows}, expected_epoch)
 
     def read(self, name: str, schema: T.StructType | str) -> DataFrame:
         """The rows of a table; none if it was never written."""
@@ -47,39 +110,93 @@ class Store:
     def row_schema(table: TableDef) -> T.StructType:
         return T.StructType([T.StructField("_id", T.StringType()), *table.shape.fields, T.StructField("_version", T.LongType()), T.StructField("_deleted", T.BooleanType())])
 
-    def canonical(self, table: TableDef) -> DataFrame:
-        return self.read(f"canonical/{table.name}", self.row_schema(table))
+    def _folders(self, prefix: str) -> dict[str, tuple[int, str]]:
+        """Number and folder of the latest version of each table whose name begins so: a bounded number of names."""
+        named = self._named().filter(F.col("name").startswith(prefix) | (F.col("name") == _EPOCH))
+        now = named.agg(F.coalesce(F.max(F.when(F.col("name") == _EPOCH, F.col("epoch"))), F.lit(0))).first()[0]
+        rows = named.filter((F.col("name") != _EPOCH) & (F.col("epoch") == now)).groupBy("name").agg(F.max("at").alias("at"), F.max_by("folder", "at").alias("folder")).collect()
+        return {r["name"]: (r["at"], r.folder) for r in rows}
+
+    def canonical(self, table: TableDef, buckets: list[int] | None = None) -> DataFrame:
+        """The rows of a table, or of some of its buckets."""
+        found = self._folders(f"canonical/{table.name}#")
+        paths = [f"{self.base}/{folder}" for name, (_, folder) in found.items() if buckets is None or int(name.rpartition("#")[2]) in buckets]
+        return self.spark.read.schema(self.row_schema(table)).parquet(*paths) if paths else self.spark.createDataFrame([], self.row_schema(table))
+
+    def _stage(self, table: TableDef, rows: DataFrame, buckets: list[int]) -> list[tuple[str, str]]:
+        """Writes all rows of some buckets, and returns their names and folders."""
+        folder = f"data/canonical/{table.name}/{uuid.uuid4().hex}"
+        rows.withColumn("__bucket", self.bucket()).repartition("__bucket").write.partitionBy("__bucket").parquet(f"{self.base}/{folder}")
+        full = {r["__bucket"] for r in self.spark.read.parquet(f"{self.base}/{folder}").select("__bucket").distinct().collect()} if rows.limit(1).count() else set()
+        empty = f"{folder}-none"
+        if set(buckets) - full:
+            self.spark.createDataFrame([], self.row_schema(table)).write.parquet(f"{self.base}/{empty}")
+        return [(f"canonical/{table.name}#{b}", f"{folder}/__bucket={b}" if b in full else empty) for b in buckets]
+
+    def _fold(self, table: TableDef, changes: DataFrame) -> list[tuple[str, str]]:
+        """The buckets that changes touch, folded and written anew."""
+        touched = sorted(r.b for r in changes.select(self.bucket("id").alias("b")).distinct().collect())  # BUCKETS numbers at most
+        return self._stage(table, fold(table, self.canonical(table, touched), changes), touched) if touched else []
+
+    def vacuum(self) -> int:
+        """Deletes the folders that no current version names; readers of older versions must be done. Returns how many."""
+        now = self.epoch()
+        latest = self._named().filter((F.col("epoch") == now) & (F.col("name") != _EPOCH)).groupBy("name").agg(F.max_by("folder", "at").alias("folder"))
+        used = [r.folder.split("/__bucket=")[0] for r in latest.collect()]
+        old = [r.folder.split("/__bucket=")[0] for r in self._named().filter(F.col("folder") != "").select("folder").distinct().collect()]
+        gone = sorted(set(old) - set(used))
+        jvm = self.spark._jvm
+        for folder in gone:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{folder}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        return len(gone)
 
     def operations(self) -> DataFrame:
         return self.read("operations", OPERATIONS)
 
     def enqueue(self, operations: DataFrame) -> None:
         """Adds operations; of those with a known op_id the first stays."""
-        new = operations.dropDuplicates(["op_id"]).join(self.operations().select("op_id"), "op_id", "left_anti")
+        new = _first(operations, "op_id").join(self.operations().select("op_id"), "op_id", "left_anti")
         self.replace("operations", self.operations().unionByName(new.select(self.operations().columns)))
 
     def set_status(self, updates: DataFrame) -> None:
         """updates(op_id, new_status, new_error); unknown ids change nothing."""
         ops = self.operations()
-        joined = ops.join(updates.dropDuplicates(["op_id"]), "op_id", "left")
+        joined = ops.join(_last(updates, "op_id"), "op_id", "left")
         changed = joined.withColumns({"error": F.when(F.col("new_status").isNotNull(), F.col("new_error")).otherwise(F.col("error")), "status": F.coalesce("new_status", "status")})
         self.replace("operations", changed.select(ops.columns))
 
     def drop_operations(self, op_ids: DataFrame) -> None:
         self.replace("operations", self.operations().join(op_ids.select("op_id"), "op_id", "left_anti"))
 
-    def apply_changes(self, table: TableDef, changes: DataFrame) -> None:
-        """Folds changes into the canonical rows and drops the operations that they confirm."""
+    def apply_changes(self, table: TableDef, changes: DataFrame, expected_epoch: int | None = None) -> bool:
+        """Folds changes into the canonical rows and drops the operations that they confirm, in one step; a writer of an
+        older epoch changes nothing."""
         own = changes.filter(F.col("table") == table.name)
-        self.replace(f"canonical/{table.name}", fold(table, self.canonical(table), own))
-        self.replace("operations", confirmed(self.operations(), own))
+        return self.replace_all({"operations": confirmed(self.operations(), own)}, expected_epoch, lambda: self._fold(table, own))
+
+    def log(self) -> DataFrame:
+        return self.read("log", CHANGES)
+
+    def ledger(self) -> DataFrame:
+        return self.read("ledger", LEDGER)
+
+    def commit(self, table: TableDef, made: Push, expected_epoch: int | None = None) -> bool:
+        """Log, ledger and rows of a push in one step. An operation that the ledger has by now is an error: its push was
+        made from an older ledger."""
+        twice = made.ledger.join(self.ledger().select("user_id", "op_id"), ["user_id", "op_id"], "left_semi").limit(1).collect()
+        if twice:
+            raise ValueError(f"operation {twice[0].op_id!r} is in the ledger already")
+        log, columns = self.log(), self.log().columns
+        tables = {"log": log.unionByName(made.changes.select(columns)), "ledger": self.ledger().unionByName(made.ledger)}
+        return self.replace_all(tables, expected_epoch, lambda: self._fold(table, made.changes))
 
     def live(self, table: TableDef) -> DataFrame:
         return derive_view(table, self.canonical(table), self.operations().filter(F.col("table") == table.name))
 
     def remove_scope_rows(self, table: TableDef, column: str, value, keep: DataFrame) -> None:
         """Drops the rows of a scope that are not in keep(_id)."""
-        self.replace(f"canonical/{table.name}", keep_except_ghosts(self.canonical(table), column, value, keep))
+        self.replace_all({}, None, lambda: self._stage(table, keep_except_ghosts(self.canonical(table), column, value, keep), list(range(BUCKETS))))
 
     def cursors(self) -> DataFrame:
         return self.read("cursors", "scope_key string, cursor string")
@@ -98,10 +215,19 @@ class Store:
         rest = self.roles().join(roles.select("scope_key"), "scope_key", "left_anti")
         self.replace("roles", rest.union(roles.select("scope_key", "role")))
 
+    def remove_roles(self, scopes: DataFrame) -> None:
+        self.replace("roles", self.roles().join(scopes.select("scope_key"), "scope_key", "left_anti"))
+
     def blobs(self) -> DataFrame:
         return self.read("blobs", "id string, storage_id string, data binary")
 
     def put_blobs(self, blobs: DataFrame) -> None:
         """Adds blobs by id; one that is there stays as it is."""
-        new = blobs.dropDuplicates(["id"]).join(self.blobs().select("id"), "id", "left_anti")
+        new = _first(blobs, "id").join(self.blobs().select("id"), "id", "left_anti")
         self.replace("blobs", self.blobs().unionByName(new.select("id", "storage_id", "data")))
+
+    def finalize_blobs(self, uploaded: DataFrame) -> None:
+        """uploaded(id, storage_id): where blobs now lie. One that has its place keeps it, so a repeated call changes nothing."""
+        blobs = self.blobs()
+        joined = blobs.join(_first(uploaded.select("id", F.col("storage_id").alias("__s")), "id"), "id", "left")
+        self.replace("blobs", joined.withColumn("storage_id", F.coalesce("storage_id", "__s")).select(blobs.columns))

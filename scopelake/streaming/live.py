@@ -14,13 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState
 
-from ..operators.search import update_index
+from ..operators.search import search, update_index
 from ..operators.view import row_deltas
 from ..plans.catalog import TableDef
 from ..plans.query import Query
-from ..sources.store import Store
-
-CHANGES = "scope_key string, change_id string, `table` string, id string, kind string, value string, patch string, version bigint, server_time double, op_id string"
+from ..sources.store import CHANGES, Store
 
 
 def change_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -87,6 +85,24 @@ def reindex(store: Store, table: TableDef, deltas: DataFrame) -> None:
     store.replace(f"postings/{table.name}", update_index(table, held, now.unionByName(gone)))
 
 
+class LiveSearch:
+    """A search that is asked again after its postings changed, and reports only if the result did."""
+
+    def __init__(self, store: Store, table: TableDef, text: str, limit: int | None = None):
+        self.store, self.table, self.text, self.limit, self.seen = store, table, text, limit, None
+
+    def refresh(self, on_change: Callable[[DataFrame], None]) -> bool:
+        postings = self.store.read(f"postings/{self.table.name}", "id string, token string, field int")
+        found = search(self.table, self.store.live(self.table).filter("not _deleted"), postings, self.text, self.limit).persist()
+        now = tuple(found.agg(F.count("*"), F.sum(F.xxhash64("id", "score", "recency").cast("decimal(38,0)"))).first())
+        changed = now != self.seen
+        if changed:
+            self.seen = now
+            on_change(found)
+        found.unpersist()
+        return changed
+
+
 def presence(heartbeats: DataFrame, ttl_ms: int = 30_000) -> DataFrame:
     """A stream of who came and went: heartbeats(scope_key, client_id, updated_at, leaving) with updated_at in ms of the
     clock. A client is gone when it says so or stays silent for the time to live."""

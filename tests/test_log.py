@@ -1,9 +1,10 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
-from scopelake.operators import log
-from scopelake.plans.catalog import TableDef, by_user
+from scopelake.operators import log, push
+from scopelake.plans.catalog import TableDef, by_user, by_workspace
 from scopelake.plans.query import schema
 
 TODOS = TableDef("todos", schema(ownerId="string", text="string", labels="array<string>", votes="double", seq="double"), by_user("ownerId"), set_fields=("labels",), counter_fields=("votes",), server_fields=("seq",))
@@ -38,8 +39,14 @@ def test_validation_chain(spark):
         {"fn": "edit", "id": "new", "patch": {"votes": "x"}},
         {"fn": "edit", "id": "new", "patch": {"text": "y"}, "v": 2},
         {"fn": "edit", "id": "new", "patch": {"labels": {"__lfSet": {"add": [], "remove": []}}, "votes": {"__lfCounter": 1}}},
+        {"fn": "edit", "id": "new", "patch": {"text": {"__lfSet": {"add": ["x"], "remove": []}}}},
+        {"fn": "edit", "id": "new", "patch": {"text": {"__lfCounter": 1}}},
+        {"fn": "edit", "id": "new", "patch": {"votes": "5"}},
+        {"fn": "edit", "id": "new", "patch": {"labels": "a __lfSet b"}},
+        {"fn": "edit", "id": "new", "patch": {"labels": None, "votes": 2.5}},
+        {"fn": "drop", "id": "ghost"},
     )
-    assert got == {0: (None, False), 1: (None, False), 2: ("Duplicate localId todos:live", False), 3: (None, False), 4: ("Cannot patch todos:ghost", False), 5: ("Cannot patch todos:other", False), 6: (None, False), 7: (None, True), 8: ("Cannot delete todos:ghost", False), 9: ("unknownFunction", False), 10: ("unknownField", False), 11: ("serverOnlyField", False), 12: ('non-array field "labels"', False), 13: ('non-number field "votes"', False), 14: ("schemaMismatch", False), 15: (None, False)}
+    assert got == {0: (None, False), 1: (None, False), 2: ("Duplicate localId todos:live", False), 3: (None, False), 4: ("Cannot patch todos:ghost", False), 5: ("Cannot patch todos:other", False), 6: (None, False), 7: (None, True), 8: ("Cannot delete todos:ghost", False), 9: ("unknownFunction", False), 10: ("unknownField", False), 11: ("serverOnlyField", False), 12: ('non-array field "labels"', False), 13: ('non-number field "votes"', False), 14: ("schemaMismatch", False), 15: (None, False), 16: ('non-array field "text"', False), 17: ('non-number field "text"', False), 18: ('non-number field "votes"', False), 19: ('non-array field "labels"', False), 20: (None, False), 21: ("Cannot delete todos:ghost", False)}
 
 
 def test_groups_are_all_or_nothing(spark):
@@ -116,3 +123,60 @@ def test_small_operators(spark):
     assert {r.name: (r.n, r.bytes) for r in stats.collect()} == {"t": (2, None), "blobs": (1, 3)}
     assert log.mint(ops, "n", 5).agg(F.max("n")).first()[0] == 12 and set(log.own(TODOS, spark.createDataFrame([("x",)], "ownerId string"), "me").first()) == {"me"}
     assert "seq" not in log.project(TODOS, spark.createDataFrame([("r", "me", 1.0, 1)], "_id string, ownerId string, seq double, _version int")).columns
+
+
+def test_long_chains_settle(spark):
+    """Each group builds on a row that the group before inserts, and the first is rejected."""
+    ops = [{"fn": "edit", "id": "ghost", "patch": {"text": "x"}, "group": "g0"}, {"fn": "add", "id": "r0", "value": {}, "group": "g0"}]
+    for i in range(1, 5):
+        ops += [{"fn": "edit", "id": f"r{i - 1}", "patch": {"text": "x"}, "group": f"g{i}"}, {"fn": "add", "id": f"r{i}", "value": {}, "group": f"g{i}"}]
+    assert all(r and r.startswith("groupRejected") for r, _ in send(spark, *ops).values())
+
+
+def test_pull_refuses_too_many_scopes(spark):
+    base = changes(spark, [("s0", "000000000001", "t", "r", "insert", 1, 1.0)])
+    asked = spark.createDataFrame([(f"s{i}", None, i) for i in range(65)], "scope_key string, cursor string, position int")
+    assert log.pull(base, asked.filter("position < 64"), 5).count() == 1
+    with pytest.raises(ValueError):
+        log.pull(base, asked, 5)
+    two = base.union(changes(spark, [("s1", "000000000001", "t", "q", "insert", 1, 1.0)]))
+    assert [r.scope_key for r in log.starved(two, asked.filter("position < 2"), 1).collect()] == ["s1"]
+
+
+def test_ids_pages_and_versions(spark):
+    known = spark.createDataFrame([("t", "l1", "s1", 1.0)], "table string, local_id string, server_id string, created_at double")
+    new = spark.createDataFrame([("t", "l1", "s1", 2.0), ("t", "l2", "s2", 2.0)], known.schema)
+    assert sorted(r.local_id for r in log.put_ids(known, new).collect()) == ["l1", "l2"]
+    with pytest.raises(ValueError):
+        log.put_ids(known, spark.createDataFrame([("t", "l1", "other", 2.0)], known.schema))
+    base = changes(spark, [("w", f"{i:012d}", "t", f"r{i}", "insert", 1, float(i)) for i in range(1, 4)])
+    page, end, more = log.bootstrap(base, log.latest_versions(base), "w", 2)
+    assert [r.id for r in page.collect()] == ["r1", "r2"] and (end, more) == ("000000000003", True)
+    grown = base.union(changes(spark, [("w", "000000000004", "t", "r9", "insert", 1, 4.0)]))
+    page, end, more = log.bootstrap(grown, log.latest_versions(base), "w", 2, "t:r2", end)
+    assert [r.id for r in page.collect()] == ["r3"] and (end, more) == ("000000000003", True)
+    assert log.bootstrap(base, log.latest_versions(base), "none", 2)[1:] == ("000000000000", False)
+
+
+def test_push_images_and_rules(spark):
+    rows = spark.createDataFrame([("a", "u1", "t", ["x"], 3.0, None, 1, False)], ROWS)
+    made = [{"fn": "edit", "id": "a", "patch": {"labels": {"__lfSet": {"add": ["b"], "remove": []}}}}, {"fn": "edit", "id": "a", "patch": {"labels": {"__lfSet": {"add": ["c"], "remove": ["x"]}}, "votes": {"__lfCounter": 2}}}, {"fn": "add", "id": "n", "value": {"text": "q"}}, {"fn": "edit", "id": "n", "patch": {"labels": {"__lfSet": {"add": ["b"], "remove": []}}, "votes": {"__lfCounter": 2}}}]
+    ops = spark.createDataFrame([(i, f"o{i}", "u1", 1, o["fn"], o["id"], json.dumps(o["value"]) if "value" in o else None, json.dumps(o["patch"]) if "patch" in o else None, None) for i, o in enumerate(made)], OPS)
+    empty = spark.createDataFrame([], "scope_key string, change_id string, `table` string, id string, version bigint")
+    ledger = spark.createDataFrame([], "user_id string, op_id string, schema_version int, status string, error string")
+    got = push.push(TODOS, ops, rows, empty, ledger, FUNCTIONS, 1, 9.0, F.lit("u:u1"))
+    assert {r.outcome for r in got.answers.collect()} == {"accepted"}
+    patches = {r.op_id: json.loads(r.patch) for r in got.changes.filter("patch is not null").collect()}
+    assert patches == {"o0": {"labels": ["x", "b"]}, "o1": {"labels": ["b", "c"], "votes": 5.0}, "o3": {"labels": ["b"], "votes": 2.0}}
+    seen = {r.op_id: (r.before and r.before.labels, r.after.labels) for r in push.images(TODOS, rows, got.changes).collect()}
+    assert seen == {"o0": (["x"], ["x", "b"]), "o1": (["x", "b"], ["b", "c"]), "o2": (None, None), "o3": (None, ["b"])}
+    again = push.push(TODOS, ops, rows, empty, got.ledger, FUNCTIONS, 1, 9.0, F.lit("u:u1"))
+    assert again.changes.count() == 0 and again.answers.count() == 4
+    delta = push.field_deltas(TODOS, spark.createDataFrame([("o", "a", "patch", '{"labels":["x","z"],"votes":5,"text":"t"}'), ("p", "a", "patch", '{"labels":"odd"}')], "op_id string, id string, kind string, patch string"), rows)
+    assert {r.op_id: json.loads(r.patch) for r in delta.collect()} == {"o": {"labels": {"__lfSet": {"add": ["z"], "remove": []}}, "votes": {"__lfCounter": 2.0}, "text": "t"}, "p": {"labels": "odd"}}
+    notes = TableDef("notes", schema(w="string"), by_workspace("w"))
+    roles = spark.createDataFrame([(None,), (5,), (20,)], "role int")
+    rule = {"notes": lambda r: r >= 10}
+    assert [x[0] for x in roles.select(push.can(notes, rule, F.col("role"))).collect()] == [False, False, True]
+    assert all(x[0] for x in roles.select(push.can(TODOS, {"todos": lambda r: r > 99}, F.col("role"))).collect())
+    assert all(x[0] for x in roles.select(push.can(notes, {}, F.col("role"))).collect())

@@ -80,16 +80,29 @@ def test_indexed(frames):
         server_indexed(TODOS, frames["todos"], "byList", ["u2"], "u1")
 
 
-def test_explain():
+def test_explain(spark, tmp_path, frames):
     q = Query(ISSUES).scope(workspaceId="w1")
-    e = q.filter({"status": "open"}).order("rank").explain()
-    assert (e["strategy"], e["index"], e["prefix"], e["sorted_by_index"]) == ("index", "byStatusRank", ["workspaceId", "status"], True)
-    assert q.filter({"status": "open", "rank": {"gt": 1}}).explain()["range"] == "rank"
-    assert q.order("title").explain()["strategy"] == "scan"
-    assert q.filter({"status": {"in": ["a", "b"]}}).explain()["prefixes"] == 2
-    assert q.filter({"status": {"in": [str(i) for i in range(17)]}}).order("rank").explain()["strategy"] == "scan"
     assert q.fingerprint == Query(ISSUES).scope(workspaceId="w1").fingerprint != q.limit(1).fingerprint
-    assert not Query(ISSUES).explain()["scope_satisfied"]
+    frames["issues"].write.parquet(str(tmp_path / "issues"))
+    stored = {"issues": spark.read.parquet(str(tmp_path / "issues"))}
+    e = q.filter({"status": "open", "rank": {"gt": 1}}).where(lambda r: True).order("rank").limit(3).explain(stored)
+    assert (e["order"], e["limit"], e["predicates"], e["opaque"], e["scope_satisfied"]) == (("rank", False), 3, 1, 1, True)
+    assert all(f"{c}" in e["pushed"][0] for c in ("EqualNullSafe(workspaceId,w1)", "EqualNullSafe(status,open)", "GreaterThan(rank"))
+    assert not Query(ISSUES).explain(stored)["scope_satisfied"]
+
+
+def test_order_survives_relations(spark, frames):
+    """Joins that shuffle keep no order; the plan's order holds all the same."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        q = Query(ISSUES).scope(workspaceId="w1").with_("project", "labels", "comments", "linked")
+        assert ids(q.order("rank", "desc").to_df(frames)) == ["i5", "i2", "i1", "i3"]
+        assert ids(q.order("rank", "desc").limit(3).to_df(frames)) == ["i5", "i2", "i1"]
+        assert ids(q.limit(2).to_df(frames)) == ["i1", "i2"]
+        shadow = Query(ISSUES).scope(workspaceId="w1").related("rank", one("projects", "projectId"))
+        assert ids(shadow.order("rank", "desc").to_df(frames)) == ["i5", "i2", "i1", "i3"]  # a relation in place of the sort column
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_database_and_manifest(frames):

@@ -82,3 +82,40 @@ def test_presence(spark, tmp_path):
             break
     q.stop()
     assert [(r.client_id, r.here) for r in spark.table("who").collect()] == [("a", True)]
+
+
+def test_epochs_first_rows_and_vacuum(spark, tmp_path):
+    s = Store(spark, str(tmp_path), "e")
+    first = s.epoch()
+    rows = spark.createDataFrame([change(1, "a", "insert", 1, {"status": "open"}), change(2, "b", "insert", 1, {"status": "open"})], live.CHANGES)
+    assert s.apply_changes(T, rows, first) and s.canonical(T).count() == 2
+    s.apply_changes(T, spark.createDataFrame([change(3, "a", "patch", 2, {"status": "shut"})], live.CHANGES))
+    assert {r._id: r.status for r in s.canonical(T).collect()} == {"a": "shut", "b": "open"}
+    assert s.vacuum() > 0 and {r._id: r.status for r in s.canonical(T).collect()} == {"a": "shut", "b": "open"}
+    s.clear()
+    assert s.canonical(T).count() == 0 and not s.apply_changes(T, rows, first) and s.canonical(T).count() == 0
+    op = ("o1", "c", "u", 1, "edit", "t", "patch", "a", None)
+    s.enqueue(spark.createDataFrame([(*op, "first", 1.0, "pending", None, None, None), (*op, "second", 1.0, "pending", None, None, None)], OPERATIONS).coalesce(1))
+    assert s.operations().first().patch == "first"
+    s.set_status(spark.createDataFrame([("o1", "pushing", None), ("o1", "acked", None)], "op_id string, new_status string, new_error string").coalesce(1))
+    assert s.operations().first().status == "acked"
+    s.set_roles(spark.createDataFrame([("w", 5)], "scope_key string, role int"))
+    s.remove_roles(spark.createDataFrame([("w",)], "scope_key string"))
+    assert s.roles().count() == 0
+    s.put_blobs(spark.createDataFrame([("b", None, bytearray(b"1"))], "id string, storage_id string, data binary"))
+    for place in ("here", "there"):
+        s.finalize_blobs(spark.createDataFrame([("b", place)], "id string, storage_id string"))
+    assert s.blobs().first().storage_id == "here"
+
+
+def test_live_search(spark, tmp_path):
+    s, seen = Store(spark, str(tmp_path), "q"), []
+    s.apply_changes(T, spark.createDataFrame([change(1, "a", "insert", 1, {"status": "open"})], live.CHANGES))
+    found = live.LiveSearch(s, T, "op")
+    deltas = lambda: s.live(T).select("_id", F.lit("upsert").alias("kind"), F.struct("_id", "status", "rank", "_version").alias("row"))
+    live.reindex(s, T, deltas())
+    report = lambda df: seen.append(sorted(r.id for r in df.collect()))
+    assert found.refresh(report) and not found.refresh(report)
+    s.apply_changes(T, spark.createDataFrame([change(2, "b", "insert", 1, {"status": "opened"})], live.CHANGES))
+    live.reindex(s, T, deltas())
+    assert found.refresh(report) and seen == [["a"], ["a", "b"]]

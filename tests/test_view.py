@@ -24,7 +24,7 @@ def brute_fold(rows, log):
         elif kind == "delete":
             state[i] = (cur or dict.fromkeys(FIELDS)) | {"v": v, "dead": True}
         else:
-            state[i] = (cur or dict.fromkeys(FIELDS) | {"dead": False}) | json.loads(patch) | {"v": v}
+            state[i] = (cur or dict.fromkeys(FIELDS)) | json.loads(patch) | {"v": v, "dead": False}
     return state
 
 
@@ -61,11 +61,11 @@ def test_replay(spark):
     got = {r._id: r for r in view.derive_view(T, rows, ops).collect()}
     r1 = got["r1"]
     assert (r1.a, r1.n, r1.labels, r1.votes, r1._version, r1._pending, r1._conflict) == ("server", None, ["a", "c"], 4.0, 5, True, None)
-    assert got["r2"]._deleted and got["r2"]._conflict.kind == "mergeFailed" and got["r2"]._conflict.message == "patch on missing row"
+    assert got["r2"]._deleted and got["r2"]._conflict.kind == "mergeFailed" and got["r2"]._conflict.message == "Cannot replay patch over a missing row"
     new = got["new"]
     assert (new.a, new.n, new.labels, new._version, new._deleted, new._pending) == ("fresh", 4, ["w"], None, False, True)
     assert got["r3"]._deleted and got["r3"]._conflict.kind == "serverRejected" and got["r3"]._conflict.message == "denied"
-    assert got["ghost"]._conflict.message == "delete on missing row"
+    assert "ghost" not in got  # nothing is made up for a row that never was
     left = view.confirmed(ops, spark.createDataFrame([("o1",), (None,)], "op_id string"))
     assert left.count() == 8
 
@@ -88,3 +88,20 @@ def test_sets(spark):
     add, remove = sets.set_delta(F.col("now"), F.col("want"))
     got = df.select(add.alias("add"), remove.alias("remove"), sets.apply_set_delta(F.col("now"), add, remove).alias("out")).collect()
     assert [(r.add, r.remove, r.out) for r in got] == [(["c"], ["a"], ["b", "c"]), (["x"], [], ["x"]), ([], ["a"], [None])]
+
+
+def test_a_patch_revives(spark):
+    log = [("000000000001", "r", "insert", 1, None, '{"a":"x","n":1}', None), ("000000000002", "r", "delete", 2, None, None, None), ("000000000003", "r", "patch", 3, None, None, '{"n":2}'), ("000000000004", "r", "delete", 3, None, None, None)]
+    row = view.fold(T, spark.createDataFrame([], ROW), spark.createDataFrame(log, LOG)).first()
+    assert (row.a, row.n, row._version, row._deleted) == ("x", 2, 3, False)  # the last delete is stale
+
+
+def test_undo_and_redo(spark):
+    rows = spark.createDataFrame([("a", "now", 1, None, None, 1, False), ("gone", "x", 1, None, None, 1, True)], ROW)
+    entries = spark.createDataFrame([("u1", 1, "o1", "a", "patch", None, '{"a":"old"}'), ("u1", 2, "o2", "gone", "patch", None, '{"a":"y"}'), ("u2", 1, "o3", "gone", "insert", '{"a":"back"}', None)], "unit string, position int, op_id string, id string, kind string, value string, patch string")
+    ops, counter = view.undo(T, entries, rows)
+    assert {r.op_id for r in ops.collect()} == {"o1", "o3"}
+    got = {r.op_id: (r.unit, r.position, r.kind, r.patch) for r in counter.collect()}
+    assert got == {"o1": ("u1", -1, "patch", '{"a":"now"}'), "o3": ("u2", -1, "delete", None)}
+    redo = spark.createDataFrame([("s",), ("t",)], "scope_key string")
+    assert [r.scope_key for r in view.after_new_action(redo, redo.filter("scope_key = 's'")).collect()] == ["t"]
