@@ -9,12 +9,14 @@ that with probability 1 - SURE at most.
 
 Distribution: the top of the tree (fitted on a bounded sample, MOST_CELLS cells at most) deals all vectors to cells, and
 cells that hold more than BLOCK rows are split by a hash, so a block never outgrows a task. A query first searches the
-block it falls in; the k-th distance found there decides by the same test which other cells it visits. Queries of a
-block are split into groups of QUERY_GROUP at most. Every row is indexed.
+block it falls in; the k-th distance found there decides by the same test which other cells it visits: the WAVE nearest of
+them first, whose finds narrow the choice of the rest. Queries of a block are split into groups of QUERY_GROUP at most.
+Every row is indexed.
 
 Edge cases: vectors that are null, zero, not finite or of another length than most, and rows without an id, take no
 part. Ties go to the smaller id; a query with fewer candidates than k gets all that are found. Repeated rows are
-separate candidates, except that rows with the query's own id are left out. Empty tables give an empty one.
+separate candidates, except that rows with the query's own id are left out; of several query rows of one id the one whose
+vector is the smallest, component by component, asks. Empty tables give an empty one.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from .common import cut
 from .vectors import SAMPLE_ROWS, Cells, chi2_quantile, gaussian, usable, with_dimension
 
 DIMS, SURE = 8, 0.97
-BLOCK, LEAF, QUERY_GROUP = 8192, 32, 4096
+BLOCK, LEAF, QUERY_GROUP, WAVE = 8192, 32, 4096, 3
 
 
 def exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -96,14 +98,16 @@ def search(tree: Tree, x: np.ndarray, ids: np.ndarray, q: np.ndarray, p: np.ndar
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = BLOCK, sure: float = SURE, dims: int = DIMS, query_group: int = QUERY_GROUP) -> DataFrame:
     """query_id, rank, vec_id and score: the k rows of vectors(vec_id, embedding) of greatest inner product found for each
-    row of queries(vec_id, embedding). A query's id must be unique."""
+    id of queries(vec_id, embedding)."""
     schema = "query_id bigint, vec_id bigint, score double"
     spark = vectors.sparkSession
-    live = vectors.filter(usable(vectors) & F.col("vec_id").isNotNull()).select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    kind = kind if kind in ("array<float>", "array<double>") else "array<double>"  # floats travel as floats; tasks compute in doubles
+    live = vectors.filter(usable(vectors) & F.col("vec_id").isNotNull()).select("vec_id", F.col("embedding").cast(kind).alias("v"))
     live, dim = with_dimension(live)
     if not dim:
         return spark.createDataFrame([], schema).select("query_id", F.lit(0).alias("rank"), "vec_id", "score")
-    norm2 = F.aggregate("v", F.lit(0.0), lambda acc, c: acc + c * c)
+    norm2 = F.aggregate("v", F.lit(0.0), lambda acc, c: acc + c.cast("double") * c.cast("double"))
     n, top2 = live.agg(F.count("*"), F.max(norm2)).first()
     directions, stop = gaussian(dim + 1, dims), chi2_quantile(sure, dims)
 
@@ -121,11 +125,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = BL
         def run(frames):
             for f in frames:
                 p = project(matrix(f["v"]), query)
-                yield f.assign(cell=cells.assign(p), p=list(p))
+                yield f.assign(cell=cells.assign(p)) if query else f.assign(cell=cells.assign(p), p=list(p))
 
         return run
 
-    dealt = cut(live.mapInPandas(deal(False), "vec_id bigint, v array<double>, cell bigint, p array<double>"))
+    dealt = cut(live.mapInPandas(deal(False), f"vec_id bigint, v {kind}, cell bigint, p array<double>"))
     bounds = [f(F.col("p")[i]) for f in (F.min, F.max) for i in range(dims)]
     boxes = dealt.groupBy("cell").agg(F.count("*").alias("n"), F.array(*bounds[:dims]).alias("low"), F.array(*bounds[dims:]).alias("high")).toPandas()  # a row per cell: MOST_CELLS at most
     subs = np.zeros(len(cells), dtype=np.int64)
@@ -134,11 +138,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = BL
     sub_of = F.array(*(F.lit(int(s)) for s in np.maximum(1, subs)))
     data = dealt.select("cell", F.pmod(F.xxhash64("vec_id"), F.get(sub_of, F.col("cell").cast("int"))).cast("int").alias("sub"), "vec_id", "v")
 
-    asked = queries.filter(usable(queries) & F.col("vec_id").isNotNull() & (F.size("embedding") == dim)).select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    asked = cut(asked.mapInPandas(deal(True), "vec_id bigint, v array<double>, cell bigint, p array<double>").withColumn("sub", F.pmod(F.xxhash64(F.lit("q"), "vec_id"), F.get(sub_of, F.col("cell").cast("int"))).cast("int")))
+    asked = queries.filter(usable(queries) & F.col("vec_id").isNotNull() & (F.size("embedding") == dim)).groupBy("vec_id").agg(F.min(F.col("embedding").cast(kind)).alias("v"))
+    asked = cut(asked.mapInPandas(deal(True), f"vec_id bigint, v {kind}, cell bigint").withColumn("sub", F.pmod(F.xxhash64(F.lit("q"), "vec_id"), F.get(sub_of, F.col("cell").cast("int"))).cast("int")))
 
     def scan(targets: DataFrame) -> DataFrame:
-        """Searches of targets(cell, sub, vec_id, v, p, floor), in groups of a block and some of its queries."""
+        """Searches of targets(cell, sub, vec_id, v, floor), in groups of a block and some of its queries."""
         groups = targets.groupBy("cell", "sub").agg(F.ceil(F.count("*") / query_group).cast("int").alias("parts"))
         dealt_q = targets.join(groups, ["cell", "sub"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts").cast("int")).drop("parts")
         dealt_v = data.join(groups, ["cell", "sub"]).select("cell", "sub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "vec_id", "v")
@@ -147,10 +151,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = BL
         def run(rows: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
             rows = rows.sort_values("vec_id", kind="stable")
             x, ids = matrix(rows["v"]), rows["vec_id"].to_numpy()
-            tree = Tree(project(x))
+            tree, asking = Tree(project(x)), matrix(qs["v"])
             out = [
                 (q, *search(tree, x, ids, v, p, q, k, top2, stop, f))
-                for q, v, p, f in zip(qs["vec_id"].tolist(), matrix(qs["v"]), qs["p"], qs["floor"].tolist())
+                for q, v, p, f in zip(qs["vec_id"].tolist(), asking, project(asking, True), qs["floor"].tolist())
                 if len(x)
             ]
             return pd.DataFrame({
@@ -161,22 +165,33 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = BL
 
         return dealt_v.groupBy(*keys).cogroup(dealt_q.groupBy(*keys)).applyInPandas(run, schema)
 
-    home = cut(scan(asked.withColumn("floor", F.lit(float("-inf")))))
+    found = cut(scan(asked.withColumn("floor", F.lit(float("-inf")))))
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    floors = home.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
-
-    def visit(frames):
-        """The cells besides its home block that a query must visit."""
-        for f in frames:
-            cs = []
-            for v, p, floor in zip(matrix(f["v"]), f["p"], f["floor"]):
-                off = np.maximum(np.maximum(low - p, p - high), 0)
-                reach = np.inf if floor == -np.inf else stop * max(0.0, top2 + float(v @ v) - 2 * floor)
-                cs.append(box_cell[(off * off).sum(1) < reach])
-            yield f.assign(go=cs)
-
-    plan = asked.join(floors, asked.vec_id == floors.query_id, "left").select("vec_id", "v", "p", F.col("cell").alias("home"), F.col("sub").alias("home_sub"), F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
-    going = plan.mapInPandas(visit, "vec_id bigint, v array<double>, p array<double>, home bigint, home_sub int, floor double, go array<bigint>")
-    targets = going.select("*", F.explode("go").alias("cell")).select("*", F.explode(F.sequence(F.lit(0), F.get(sub_of, F.col("cell").cast("int")) - 1)).alias("sub")).filter((F.col("cell") != F.col("home")) | (F.col("sub") != F.col("home_sub")))
-    others = scan(targets.select("cell", "sub", "vec_id", "v", "p", "floor"))
-    return home.union(others).withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def best(df: DataFrame) -> DataFrame:
+        return df.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)
+
+    def visits(first: int, last: int):
+        """The cells besides the home block that a query must visit, from the first-th nearest to before the last-th."""
+        def run(frames):
+            for f in frames:
+                asking, cs = matrix(f["v"]), []
+                for v, p, floor in zip(asking, project(asking, True), f["floor"]):
+                    off = np.maximum(np.maximum(low - p, p - high), 0)
+                    far = (off * off).sum(1)
+                    near = np.argsort(far, kind="stable")[first:last]
+                    reach = np.inf if floor == -np.inf else stop * max(0.0, top2 + float(v @ v) - 2 * floor)
+                    cs.append(box_cell[near[far[near] < reach]])
+                yield f.assign(go=cs)
+
+        return run
+
+    for first, last in ((0, WAVE), (WAVE, len(low))):
+        if first >= len(low):
+            break
+        floors = best(found).groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
+        plan = asked.join(floors, asked.vec_id == floors.query_id, "left").select("vec_id", "v", F.col("cell").alias("home"), F.col("sub").alias("home_sub"), F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
+        going = plan.mapInPandas(visits(first, last), f"vec_id bigint, v {kind}, home bigint, home_sub int, floor double, go array<bigint>")
+        targets = going.select("*", F.explode("go").alias("cell")).select("*", F.explode(F.sequence(F.lit(0), F.get(sub_of, F.col("cell").cast("int")) - 1)).alias("sub")).filter((F.col("cell") != F.col("home")) | (F.col("sub") != F.col("home_sub")))
+        found = cut(found.union(scan(targets.select("cell", "sub", "vec_id", "v", "floor"))))
+    return best(found).select("query_id", "rank", "vec_id", "score")

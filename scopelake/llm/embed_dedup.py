@@ -5,20 +5,26 @@ a vector's window holds those whose projection lies within WIDTH distances (at t
 threshold collides in a window with a known probability, so a pair is verified by its exact cosine if its collisions
 reach the count that such pairs miss with probability MISS at most; closer pairs collide more often.
 
-Distribution: equal vectors of a label are one representative with a weight. Representatives of a label are dealt to
-blocks of about BLOCK rows by cells of projected space (orthonormal directions, which never lengthen a distance), and
-blocks whose boxes lie further apart than the threshold are not compared. Cells that hold too much are split by a hash.
-A pair of blocks is one small group; it returns the number of links of each vector and a spanning forest of the links,
-never the pairs. Components are found by star contraction in DataFrame operations.
+Distribution: equal vectors of a label are one representative with a weight. A label of at most BLOCK representatives is
+one group. Larger labels are dealt to groups in several tables: a table's group is named by the cells, CELL wide, that a
+few more random projections of a vector fall in. The number of projections follows the logarithm of the largest label, so
+groups of unrelated vectors stay about BLOCK rows, and the number of tables is the least for which a pair at the threshold
+shares no group with probability MISS at most; so rows shuffled grow nearly in proportion to the input, not with the
+square of a label. A pair is counted in the first table that brings it together. A group that is larger all the same
+(copies with noise) is split, and its parts are compared with each other: such a group's pairs mostly are links, which
+have to be counted. Only ids and group names are dealt out first; vectors follow to groups of two or more. A task
+returns the number of links of each vector and a spanning forest of the links, never the pairs. Components are found by
+star contraction in DataFrame operations.
 
 Edge cases: vectors that are null, zero, not finite or of another length than most link with nothing, nor do rows
-without a label or an id; they are their own component. Repeated rows count as vectors of their own. An empty table
-gives an empty one.
+without a label or an id; they are their own component. Repeated rows count as vectors of their own, whatever their ids:
+one id with several labels or vectors links by each of them. An empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -27,10 +33,10 @@ from pyspark.sql import functions as F
 
 from .common import cut
 from .components import components
-from .vectors import SAMPLE_ROWS, Cells, gaussian, normal_cdf, usable, with_dimension
+from .vectors import gaussian, normal_cdf, usable, with_dimension
 
 PROJECTIONS, WIDTH, MISS = 48, 1.2, 1e-5
-BLOCK, CELL_DIMS = 2048, 12
+BLOCK, CELL = 8192, 2.0
 
 
 def least_collisions(projections: int = PROJECTIONS, width: float = WIDTH, miss: float = MISS) -> int:
@@ -86,60 +92,91 @@ def spanning(u: np.ndarray, v: np.ndarray) -> list[tuple[int, int]]:
     return kept
 
 
-def _project(rows: DataFrame, directions: np.ndarray, keep: list[str]) -> DataFrame:
-    """`keep` and p, the projections of the unit vector v."""
+def same_cell(distance: float, cell: float = CELL) -> float:
+    """The probability that two vectors so far apart fall in one cell of a random projection."""
+    r = cell / max(distance, 1e-12)
+    return 2 * normal_cdf(r) - 1 - 2 / (math.sqrt(2 * math.pi) * r) * (1 - math.exp(-r * r / 2))
 
-    def run(frames):
-        for f in frames:
-            x = np.stack(f["v"].to_numpy()).astype(float) if len(f) else np.zeros((0, directions.shape[0]))
-            p = (x / np.sqrt((x * x).sum(1))[:, None]) @ directions
-            yield f[keep].assign(p=list(p))
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keep).schema) + ", p array<double>"
-    return rows.mapInPandas(run, schema)
+@dataclass(frozen=True)
+class Tables:
+    """How unit vectors are dealt to groups: `count` tables of `width` projections each."""
+
+    count: int
+    width: int
+    directions: np.ndarray
+    offsets: np.ndarray
+
+    @classmethod
+    def plan(cls, dim: int, largest: int, block: int, cosine: float, miss: float = MISS) -> Tables:
+        """Width 0 and one table if the largest label fits a block: then its label names the group."""
+        width = max(0, math.ceil(math.log(largest / block) / -math.log(same_cell(math.sqrt(2))))) if largest > block else 0
+        together = same_cell(math.sqrt(max(0.0, 2 - 2 * cosine))) ** width
+        count = 1 if together >= 1 else math.ceil(math.log(miss) / math.log(1 - together))
+        return cls(count, width, gaussian(dim, count * width, seed=17), np.random.default_rng(18).uniform(0, CELL, count * width))
+
+    def groups(self, units: np.ndarray) -> np.ndarray:
+        """The group of each vector (row) in each table (column), as a number."""
+        if not self.width:
+            return np.zeros((len(units), 1), dtype=np.int64)
+        cells = np.floor((units @ self.directions + self.offsets) / CELL).astype(np.int64).view(np.uint64).reshape(len(units), self.count, self.width)
+        out = np.zeros(cells.shape[:2], dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            for j in range(self.width):
+                out = (out ^ cells[:, :, j]) * np.uint64(0x9E3779B97F4A7C15)
+                out ^= out >> np.uint64(29)
+        return out.view(np.int64)
+
+
+def _matrix(col: pd.Series, dim: int) -> np.ndarray:
+    return np.stack(col.to_numpy()).astype(float) if len(col) else np.zeros((0, dim))
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    return x / np.sqrt((x * x).sum(1))[:, None]
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.93, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of vectors(vec_id, embedding, label)."""
-    rows = vectors.select("vec_id", "label", F.when(usable(vectors) & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.col("embedding").cast("array<double>")).alias("v"))
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
+    rows = vectors.select("vec_id", "label", F.when(usable(vectors) & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.col("embedding").cast(kind)).alias("v"))
     live, dim = with_dimension(rows.filter("v is not null"))
     if not dim:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    reps = cut(live.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")))
-
-    axes = np.linalg.qr(gaussian(dim, min(CELL_DIMS, dim), seed=7))[0]
+    # Representatives get a number of their own; the checkpoint fixes it.
+    reps = cut(live.groupBy("label", "v").agg(F.min("vec_id").alias("low"), F.count("*").alias("weight")).withColumn("rep", F.monotonically_increasing_id()))
     largest = reps.groupBy("label").count().agg(F.max("count")).first()[0]
-    sample = _project(reps.orderBy(F.xxhash64("rep")).limit(SAMPLE_ROWS), axes, ["rep"]).toPandas()
-    cells = Cells.fit(np.stack(sample["p"].to_numpy()), math.ceil(largest / block))
+    tables, directions = Tables.plan(dim, largest, block, cosine), gaussian(dim, PROJECTIONS, seed=11)
 
-    def deal(frames):
+    def name(frames):
         for f in frames:
-            x = np.stack(f["v"].to_numpy()).astype(float) if len(f) else np.zeros((0, dim))
-            p = (x / np.sqrt((x * x).sum(1))[:, None]) @ axes
-            yield f.assign(cell=cells.assign(p), p=list(p))
-
-    dealt = cut(reps.mapInPandas(deal, "label int, v array<double>, rep bigint, weight bigint, cell bigint, p array<double>".replace("label int", f"label {reps.schema['label'].dataType.simpleString()}")))
-    low = F.array(*(F.min(F.col("p")[i]) for i in range(axes.shape[1])))
-    high = F.array(*(F.max(F.col("p")[i]) for i in range(axes.shape[1])))
-    boxes = cut(dealt.groupBy("label", "cell").agg(F.count("*").alias("n"), low.alias("low"), high.alias("high")).withColumn("subs", F.ceil(F.col("n") / (2 * block)).cast("int")))
-    blocks = boxes.select("label", "cell", "low", "high", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"))
-    mine, yours = (blocks.select("label", *(F.col(c).alias(f"{c}_{side}") for c in ("cell", "sub", "low", "high"))) for side in "ab")
-    gap = F.aggregate(F.zip_with(F.zip_with("low_a", "high_b", lambda a, b: a - b), F.zip_with("low_b", "high_a", lambda a, b: a - b), lambda s, t: F.greatest(s, t, F.lit(0.0))), F.lit(0.0), lambda acc, g: acc + g * g)
-    ordered = (F.col("cell_a") < F.col("cell_b")) | ((F.col("cell_a") == F.col("cell_b")) & (F.col("sub_a") <= F.col("sub_b")))
-    pairs = mine.join(yours, "label").filter(ordered & (gap <= 2 - 2 * cosine + 1e-9)).select("label", "cell_a", "sub_a", "cell_b", "sub_b")
-    sides = pairs.select("*", F.col("cell_a").alias("cell"), F.col("sub_a").alias("sub"), F.lit(0).alias("side")).union(
-        pairs.filter("cell_a <> cell_b or sub_a <> sub_b").select("*", F.col("cell_b").alias("cell"), F.col("sub_b").alias("sub"), F.lit(1).alias("side"))
-    )
-    placed = dealt.join(boxes.select("label", "cell", "subs"), ["label", "cell"]).select("label", "cell", F.pmod(F.xxhash64("rep"), F.col("subs")).cast("int").alias("sub"), "rep", "weight", "v")
-    directions = gaussian(dim, PROJECTIONS, seed=11)
+            codes = tables.groups(_units(_matrix(f["v"], dim)))
+            n = len(f)
+            yield pd.DataFrame({"label": np.repeat(f["label"].to_numpy(), tables.count), "rep": np.repeat(f["rep"].to_numpy(), tables.count), "t": np.tile(np.arange(tables.count, dtype=np.int32), n), "code": codes.reshape(-1)})
+
+    label = reps.schema["label"].dataType.simpleString()
+    named = reps.select("label", "rep", "v").mapInPandas(name, f"label {label}, rep bigint, t int, code bigint")
+    named = cut(named) if tables.width else named
+    group = ["label", "t", "code"]
+    sizes = named.groupBy(*group).agg(F.ceil(F.count("*") / block).cast("int").alias("parts"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    placed = named.join(sizes, group).withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
+    # A part meets itself and every other part of its group: one task per pair of parts.
+    met = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    sides = met.select("rep", *group, F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), (F.col("part") > F.col("other")).cast("int").alias("side"))
+    full = sides.join(reps.select("rep", "weight", "v"), "rep")
 
     def compare(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["side", "rep"], kind="stable")
-        x, rep, weight = np.stack(f["v"].to_numpy()).astype(float), f["rep"].to_numpy(), f["weight"].to_numpy()
-        n = int((f["side"] == 0).sum())
+        x, rep, weight, table = _matrix(f["v"], dim), f["rep"].to_numpy(), f["weight"].to_numpy(), int(f["t"].iloc[0])
+        n = int((f["side"] == 0).sum()) if f["a"].iloc[0] != f["b"].iloc[0] else len(f)
         i, j = links_between(x[:n], x[n:] if n < len(x) else None, directions, cosine)
         if n < len(x):
             j = j + n
+        if table and len(i):
+            codes = tables.groups(_units(x))[:, :table]
+            first = ~(codes[i] == codes[j]).any(1)
+            i, j = i[first], j[first]
         total = np.bincount(i, weight[j], len(x)) + np.bincount(j, weight[i], len(x))
         has = np.flatnonzero(total)
         forest = spanning(rep[i], rep[j])
@@ -149,15 +186,17 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, block: int = BLOCK
             "n": np.concatenate([total[has], np.full(len(forest), -1)]).astype("int64"),
         })
 
-    met = cut(placed.join(sides, ["label", "cell", "sub"]).select("label", "cell_a", "sub_a", "cell_b", "sub_b", "side", "rep", "weight", "v").groupBy("label", "cell_a", "sub_a", "cell_b", "sub_b").applyInPandas(compare, "u bigint, v bigint, n bigint"))
-    found = components(met.filter("n = -1").select("u", "v"))
-    links = met.filter("n >= 0").groupBy("u").agg(F.sum("n").alias("n"))
-    named = (
+    found = cut(full.groupBy(*group, "a", "b").applyInPandas(compare, "u bigint, v bigint, n bigint"))
+    joined = components(found.filter("n = -1").select("u", "v"))
+    links = found.filter("n >= 0").groupBy("u").agg(F.sum("n").alias("n"))
+    every = (
         reps.join(links, reps.rep == links.u, "left")
-        .join(found, reps.rep == found.node, "left")
-        .select(F.col("label").alias("l"), F.col("v").alias("w"), (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("c"))
+        .join(joined, reps.rep == joined.node, "left")
+        .select(F.col("label").alias("l"), F.col("v").alias("w"), "low", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("c"))
     )
-    live_keys = F.when(F.size("v") == dim, F.col("v"))
-    out = rows.withColumn("v", live_keys).join(named, (F.col("label") == F.col("l")) & (F.col("v") == F.col("w")), "left")
+    every = cut(every)
+    lowest = every.groupBy("c").agg(F.min("low").alias("component_id"))
+    known = every.join(lowest, "c").select("l", "w", "links", F.col("component_id").alias("c"))
+    out = rows.withColumn("v", F.when(F.size("v") == dim, F.col("v"))).join(known, (F.col("label") == F.col("l")) & (F.col("v") == F.col("w")), "left")
     component = F.coalesce("c", "vec_id")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

@@ -51,3 +51,25 @@ def test_few_and_none(spark):
 def test_chi_square():
     x = (np.random.default_rng(0).standard_normal((200_000, 8)) ** 2).sum(1)
     assert abs((x < vectors.chi2_quantile(0.9, 8)).mean() - 0.9) < 0.005
+
+
+def test_repeated_query_rows_ask_once(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [9.0, 0.0]), *((i, [float(i), 1.0]) for i in range(1, 30))], "vec_id long, embedding array<float>")
+    rows = [(r["rank"], r.vec_id, r.score) for r in ann.nearest(df, df.filter("vec_id % 20 = 0"), k=3).collect() if r.query_id == 0]
+    assert sorted(rows) == [(1, 29, 29.0), (2, 28, 28.0), (3, 27, 27.0)]
+
+
+def test_recall_on_a_driver_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    data = [(r.vec_id, np.array(r.embedding, dtype=float)) for r in df.collect()]
+    x, ids = np.array([v for _, v in data]), np.array([i for i, _ in data])
+    got = {}
+    for r in ann.nearest(df, df.filter("vec_id % 20 = 0"), block=256).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = total = 0
+    for q, v in data:
+        if q % 20 == 0:
+            score = np.where(ids == q, -np.inf, x @ v)
+            want = set(ids[np.lexsort((ids, -score))[:20]].tolist())
+            hit, total = hit + len(want & got[q]), total + 20
+    assert hit >= 0.9 * total

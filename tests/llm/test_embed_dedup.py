@@ -61,3 +61,44 @@ def test_threshold_is_calibrated():
     p, q = u @ (d := E.gaussian(64, E.PROJECTIONS, seed=11)), y @ d
     hits = (np.abs(p - q) <= E.WIDTH * np.sqrt(0.14)).sum(1)
     assert (hits >= E.least_collisions()).mean() > 0.999
+
+
+def test_one_id_with_two_labels_links_by_each(spark):
+    a, b = [1.0, 2.0, 3.0], [1.0, 2.0, 3.01]
+    df = spark.createDataFrame([(5, a, 1), (5, a, 2), (6, b, 1), (7, b, 2)], "vec_id long, embedding array<float>, label int")
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in E.near_duplicates(df).collect()) == [(5, 1, 5), (5, 1, 5), (6, 1, 5), (7, 1, 5)]
+
+
+def test_tables_bring_pairs_at_the_threshold_together():
+    r = np.random.default_rng(4)
+    u = r.standard_normal((3000, 64))
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    z = r.standard_normal(u.shape)
+    z -= (z * u).sum(1)[:, None] * u
+    z /= np.linalg.norm(z, axis=1)[:, None]
+    y = 0.931 * u + np.sqrt(1 - 0.931**2) * z
+    for largest in (100_000, 10_000_000):
+        t = E.Tables.plan(64, largest, 8192, 0.93)
+        a, b = t.groups(u), t.groups(y)
+        assert (a == b).any(1).mean() > 0.999
+        assert (a[:-1, 0] == a[1:, 0]).mean() < 3 * 8192 / largest + 0.002  # unrelated ones rarely meet
+    assert E.Tables.plan(64, 8192, 8192, 0.93).width == 0
+
+
+def test_planted_links_in_the_tables(spark):
+    """Near copies planted in a driver table, with groups of the size a block allows and much smaller ones."""
+    base = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").orderBy("vec_id").collect()
+    r, rows = np.random.default_rng(5), [(x.vec_id, list(x.embedding), x.label) for x in base]
+    for i, x in enumerate(base[:100]):
+        v = np.array(x.embedding)
+        noise = r.standard_normal(len(v))
+        rows.append((1_000_000 + i, [float(c) for c in v + noise / np.linalg.norm(noise) * np.linalg.norm(v) * 0.3], x.label))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    x = np.array([[np.float32(c) for c in v] for _, v, _ in rows]).astype(float)
+    u, label = x / np.linalg.norm(x, axis=1)[:, None], np.array([k for *_, k in rows])
+    near = (u @ u.T >= 0.93) & (label[:, None] == label[None, :])
+    want = {rows[i][0]: int(near[i].sum()) - 1 for i in range(len(rows))}
+    assert sum(want.values()) >= 200
+    for block in (8192, 20):
+        got = {x.vec_id: x.n_links for x in E.near_duplicates(df, block=block).collect()}
+        assert got.keys() == want.keys() and sum(got[k] == want[k] for k in want) >= 0.99 * len(want) and sum(got.values()) >= 0.99 * sum(want.values())
