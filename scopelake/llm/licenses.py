@@ -1,8 +1,9 @@
 """License scan: ordered signature rules over normalised words, gated by keywords, with containment suppression.
 
 A text's words ([0-9a-z] and all beyond ASCII, A-Z lower-cased) are joined by single spaces. Rules are regular
-expressions over that form, made of hand-written names of license families and of hand-written frames in which a name
-stands ("licensed under the ...", "spdx license identifier ..."). A rule runs only on texts that hold its keyword. Its
+expressions over that form: hand-written signatures of texts, notices and names (license_texts, NOTICES), and hand-written
+names of license families in each of the hand-written frames in which a name stands ("licensed under the ...", "spdx
+license identifier ..."). A rule runs only on texts that hold its keyword. Its
 matches are intervals of the text with a priority (0 strongest). Matches are taken by start, longest first, then by
 priority and order of the rules; one that lies within an earlier one of the same or a stronger priority is suppressed.
 
@@ -20,6 +21,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .license_texts import SIGNATURES
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Phrases and labels of the base scan.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -106,18 +109,23 @@ NOTICES = (
 def rules() -> list[tuple[str, str, int, float, str]]:
     """All rules in order: (label, keyword, priority, confidence, regular expression)."""
     made = [(label, keyword, priority, sure, frame.replace("{}", f"(?:{name})")) for priority, sure, frame in FRAMES for label, keyword, name in FAMILIES]
-    return [*NOTICES, *made]
+    return [*NOTICES, *(rule[:5] for rule in SIGNATURES), *made]
+
+
+def _needs_license(regex: str) -> bool:
+    """Whether every match holds the letters "licen": what is optional, or one of several, does not count."""
+    needed = regex
+    while (less := re.sub(r"\((?:\?:)?[^()]*\)\??", "", needed)) != needed:
+        needed = less
+    return "licen" in needed and "|" not in needed
 
 
 def gates(base: dict[str, str]) -> list[str]:
     """Strings of which every text that any rule or base phrase matches holds one, few as they are tried on every text."""
     # Folding may change what lies beyond ASCII, so a phrase with such characters lets every text through.
-    found = {p if p.isascii() else "" for p in base} | {keyword for _, keyword, *_ in NOTICES}
-    for _, keyword, name in FAMILIES:
-        needed = name
-        while (less := re.sub(r"\((?:\?:)?[^()]*\)\?", "", needed)) != needed:
-            needed = less
-        found.add("licen" if "licen[cs]e" in needed and "|" not in needed else keyword)
+    found = {f" {p}" if p.isascii() else "" for p in base}
+    for keyword, regex in [*((k, r) for _, k, _, _, r in NOTICES), *((k, r) for _, k, _, _, r, _ in SIGNATURES), *((k, r) for _, k, r in FAMILIES)]:
+        found.add("licen" if _needs_license(regex) else f" {keyword}")
     return sorted(g for g in found if not any(h != g and h in g for h in found))
 
 

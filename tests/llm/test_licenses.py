@@ -1,6 +1,7 @@
 import re
 
 from scopelake.llm import licenses
+from scopelake.llm.license_texts import SIGNATURES
 
 TEXTS = [
     None,
@@ -85,3 +86,20 @@ def test_keywords_hide_no_rule(spark):
         assert got[i] == unfiltered(text, base) == label, text
     odd = spark.createDataFrame([(1, "Zur \u00c9tude"), (2, "nothing")], "doc_id long, text string")
     assert {x.doc_id: x.labels for x in licenses.scan(odd, base={"\u00c9tude": "x"}).collect()} == {1: "x", 2: ""}
+
+
+def test_each_signature(spark):
+    """Every hand-written signature finds its example, by its keyword too, and nothing in the example's words backwards."""
+    written = [*SIGNATURES]
+    assert len(written) + len(licenses.NOTICES) + len(licenses.FAMILIES) > 200 and len({x[4] for x in written}) == len(written)
+    for label, keyword, _, _, regex, example in written:
+        whole = f"(?<= )(?:{regex})(?= )"
+        for text in {example, example.replace("license", "licence")}:
+            if re.search(whole, f" {text} "):
+                assert f" {keyword}" in f" {text} ", (label, keyword, text)
+        assert re.search(whole, f" {example} ") and not re.search(whole, f" {' '.join([*example.split()[::-1], 'x'] if ' ' in example else 'x' + example)} "), example
+    docs = spark.createDataFrame([(i, "Note: " + x[5].upper() + ".") for i, x in enumerate(written)], "doc_id long, text string")
+    got = {r.doc_id: r.labels.split(",") for r in licenses.scan(docs).collect()}
+    for i, x in enumerate(written):
+        assert got[i] == unfiltered("note " + x[5], licenses.BASE).split(","), x[5]
+    assert sum(x[0] in got[i] for i, x in enumerate(written)) > 0.9 * len(written)  # others lie within a stronger one
