@@ -11,7 +11,8 @@ from .common import cut, work_path
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents are loaded with a guess of their tokens, then revised to exact counts; both batches are sent twice."""
+    """Documents are loaded with a guess of their tokens, loaded once more by mistake, withdrawn again, and revised to exact
+    counts; every batch is sent twice."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     files = {v: public_tokenizers.path(f"{v}.tiktoken") for v in ("byte_bpe_50k", "byte_bpe_multi_50k")}
     exact = cut(rollup.token_counts(docs, files, public_tokenizers.PATTERN))
@@ -19,6 +20,8 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = rollup.Rollup(spark, work_path(spark, "rollup"))
     for _ in range(2):
         kept.commit("load", rollup.inserts(guess))
+        kept.commit("mistake", rollup.inserts(exact))
+        kept.commit("withdraw", rollup.deletes(exact))
         kept.commit("count", rollup.revisions(guess, exact))
     return kept.totals()
 

@@ -7,9 +7,11 @@ that chain is equal, so fingerprints are bucketed by (segment number, segment va
 the pairs of a bucket before the full Hamming check. A bucket's pairs are never emitted: its task returns a spanning
 forest of its links, at most one row per member.
 
-Buckets over BUCKET distinct fingerprints are not compared pairwise. Their members are linked through shared
-neighbours instead: two fingerprints differ in at most two bits exactly if some word is within one bit of both. Each
-member makes 65 rows and a word gathers at most 65 members, so no group is hot and no link is lost.
+A bucket over BUCKET distinct fingerprints is split by what follows on the ring: the bits outside its segment are cut in
+three again, one of which must be equal too, so its members are bucketed by 35 bits or more. Only buckets that are still
+over BUCKET (very many fingerprints within a few bits) are linked through shared neighbours: two fingerprints differ in at
+most two bits exactly if some word is within one bit of both. Each member makes 65 rows and a word gathers at most 65
+members, so no group is hot and no link is lost.
 
 Edge cases: null or blank text has fingerprint zero, linked like any other. A null doc_id is returned and takes part,
 but is never a component_id (which is null if no member has an id). Repeated rows are returned as often as they come.
@@ -52,13 +54,14 @@ def fingerprint(text: str, shingle: int = 3) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def _printer(shingle: int):
+    return lambda texts: [pa.array(np.array([fingerprint(x, shingle) for x in texts], dtype=np.uint64).view(np.int64))]
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, fp): the fingerprint of every whole text, as a signed long."""
 
-    def start():
-        return lambda texts: [pa.array(np.array([fingerprint(x, shingle) for x in texts], dtype=np.uint64).view(np.int64))]
-
-    return map_text(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")), "text", [("fp", "bigint")], start)
+    return map_text(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")), "text", [("fp", "bigint")], lambda: _printer(shingle))
 
 
 def chain(diff: np.ndarray, first: int, distance: int) -> np.ndarray:
@@ -99,16 +102,10 @@ def _box(i: int) -> F.Column:
     return F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << bits) - 1))
 
 
-def links(fps: DataFrame, distance: int = 2, bucket: int = BUCKET) -> DataFrame:
-    """(u, v): enough links between the distinct fingerprints in column fp to connect all that lie within the distance."""
-    if not 0 <= distance < len(BOXES):
-        raise ValueError(f"the distance must be under {len(BOXES)}")
-    keyed = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("box"), _box(i).alias("part")) for i in range(len(BOXES))))).alias("k")).select("k.box", "k.part", "fp")
-    sizes = keyed.groupBy("box", "part").count().filter("count > 1")
-    shared = cut(keyed.join(sizes, ["box", "part"]))
-    full = shared.filter(F.col("count") <= bucket).groupBy("box", "part").agg(F.collect_list("fp").alias("fps"))
+def _within(full: DataFrame, distance: int) -> DataFrame:
+    """(u, v): the links of buckets(box, fps)."""
 
-    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             us, vs = [], []
             for box, fps_ in zip(batch.column("box").to_pylist(), batch.column("fps")):
@@ -117,8 +114,37 @@ def links(fps: DataFrame, distance: int = 2, bucket: int = BUCKET) -> DataFrame:
                 vs.append(v)
             yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(x) if x else np.zeros(0, np.uint64)).view(np.int64)) for x in (us, vs)], names=["u", "v"])
 
-    near = full.select("box", "fps").mapInArrow(within, "u bigint, v bigint")
-    hot = shared.filter(F.col("count") > bucket).select("fp").distinct()
+    return full.select("box", "fps").mapInArrow(run, "u bigint, v bigint")
+
+
+def _rest() -> F.Column:
+    """The three parts of the ring after a fingerprint's segment `box`, as an array of (sub, subpart)."""
+    turned = F.col("fp")
+    for i, (shift, bits) in enumerate(BOXES):
+        at = (shift + bits) % 64
+        if at:
+            turned = F.when(F.col("box") == i, F.shiftrightunsigned("fp", at).bitwiseOR(F.shiftleft("fp", 64 - at))).otherwise(turned)
+    left = 64 - max(bits for _, bits in BOXES)
+    cuts = [(left * k // 3, left * (k + 1) // 3) for k in range(3)]
+    cuts[2] = (cuts[2][0], 64 - min(bits for _, bits in BOXES))  # bits of the segment itself are equal anyway
+    return F.array(*(F.struct(F.lit(k).alias("sub"), F.shiftrightunsigned(turned, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("subpart")) for k, (a, b) in enumerate(cuts)))
+
+
+def links(fps: DataFrame, distance: int = 2, bucket: int = BUCKET) -> DataFrame:
+    """(u, v): enough links between the distinct fingerprints in column fp to connect all that lie within the distance."""
+    if not 0 <= distance < len(BOXES):
+        raise ValueError(f"the distance must be under {len(BOXES)}")
+    keyed = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("box"), _box(i).alias("part")) for i in range(len(BOXES))))).alias("k")).select("k.box", "k.part", "fp")
+    sizes = keyed.groupBy("box", "part").count().filter("count > 1")
+    shared = cut(keyed.join(sizes, ["box", "part"]))
+    near = _within(shared.filter(F.col("count") <= bucket).groupBy("box", "part").agg(F.collect_list("fp").alias("fps")), distance)
+    if not shared.filter(F.col("count") > bucket).head(1):
+        return near
+    deep = ["box", "part", "sub", "subpart"]
+    finer = shared.filter(F.col("count") > bucket).select("box", "part", "fp", F.explode(_rest()).alias("s")).select("box", "part", "s.sub", "s.subpart", "fp")
+    finer = cut(finer.join(finer.groupBy(*deep).count().filter("count > 1"), deep))
+    near = near.union(_within(finer.filter(F.col("count") <= bucket).groupBy(*deep).agg(F.collect_list("fp").alias("fps")), distance))
+    hot = finer.filter(F.col("count") > bucket).select("fp").distinct()
     flips = [F.lit((1 << i) if i < 63 else -(1 << 63)).cast("long") for i in range(64)]
     if distance == 2:
         met = hot.select("fp", F.explode(F.array(F.lit(0).cast("long"), *flips)).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("word"))
@@ -130,22 +156,38 @@ def links(fps: DataFrame, distance: int = 2, bucket: int = BUCKET) -> DataFrame:
     return near
 
 
+def _components(fps: DataFrame, distance: int, bucket: int) -> DataFrame:
+    """(fp, component): a number for the group of each distinct fingerprint of a column fp."""
+    found = components(links(fps, distance, bucket))
+    return fps.join(found, fps.fp == found.node, "left").select("fp", F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, distance: int = 2, shingle: int = 3, text: str = "text", id_col: str = "doc_id", bucket: int = BUCKET) -> DataFrame:
     """(doc_id, fp, component_id) of every document; component_id is the smallest doc_id that links reach."""
     fps = cut(fingerprints(docs, shingle, text, id_col))
     roots = fps.groupBy("fp").agg(F.min("doc_id").alias("root"))
-    found = components(links(roots.select("fp"), distance, bucket))
-    joined = roots.join(found, roots.fp == found.node, "left").select("fp", "root", F.coalesce("component", "fp").alias("component"))
+    joined = roots.join(_components(roots.select("fp"), distance, bucket), "fp")
     low = joined.groupBy("component").agg(F.min("root").alias("component_id"))
     named = joined.join(low, "component").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def kept(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document of each group: the one whose doc_id is the smallest.
+def kept(docs: DataFrame, distance: int = 2, shingle: int = 3, text: str = "text", id_col: str = "doc_id", bucket: int = BUCKET) -> DataFrame:
+    """docs with one row of each group: of the smallest id (a row without an id stays only where its group has none), of
+    rows of that id the one whose text has the smallest hash, and any one of rows that are equal in both.
 
-    Documents without an id stay (they cannot be named as another's copy); of repeated rows of one id all stay.
+    The hash, not the text, is what is compared: rows are told apart by id and hash.
     """
-    found = near_duplicates(docs, **options)
-    drop = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti")
+    hashed = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), hashed.alias("h"))
+    fps = cut(map_text(rows, "text", [("fp", "bigint")], lambda: _printer(shingle), ["doc_id", "h"]))
+    # The first row of each fingerprint, then of each component; ids come before none.
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("h").alias("h"))
+    firsts = cut(fps.groupBy("fp").agg(F.min(order).alias("first")))
+    group = firsts.join(_components(firsts.select("fp"), distance, bucket), "fp").groupBy("component").agg(F.min("first").alias("first"))
+    keys = ["__none", "__id", "__h"]
+    stay = group.select(F.col("first.none").alias("__none"), F.coalesce("first.id", F.lit(0)).alias("__id"), F.col("first.h").alias("__h"))
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    found = docs.select(F.col(id_col).isNull().alias("__none"), F.coalesce(F.col(id_col), F.lit(0)).alias("__id"), hashed.alias("__h"), whole.alias("__row")).join(stay, keys)
+    # Rows that are equal in id and text: the join has brought them together.
+    return found.groupBy(*keys).agg(F.first("__row").alias("__row")).select("__row.*")

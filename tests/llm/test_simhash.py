@@ -80,7 +80,9 @@ def test_documents(spark):
     assert got == sorted([(5, 3), (3, 3), (3, 3), (9, 8), (8, 8), (7, 7), (None, None)], key=str)
     kept = simhash.kept(docs)
     assert kept.columns == docs.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["3", "3", "7", "8", "None"]
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["3", "7", "8", "None"]
+    unnamed = spark.createDataFrame([(None, rows[0][1]), (None, rows[0][1]), (5, rows[0][1]), (None, "some text without any id"), (None, "some text without any id"), (2, "a"), (2, "b b b")], "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.text) for r in simhash.kept(unnamed).collect()) == [("2", "a"), ("2", "b b b"), ("5", rows[0][1]), ("None", "some text without any id")]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
@@ -88,3 +90,17 @@ def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(1, i) for i in range(2, 60)] + [(7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert all(got[i] == 100 for i in range(100, 161)) and all(got[i] == 1 for i in range(1, 60))
+
+
+def test_split_buckets_lose_nothing(spark):
+    """Many fingerprints that share a segment: too many for one bucket, few enough for those that the rest splits it into."""
+    r = random.Random(8)
+    fps = {}
+    for i in range(400):
+        x = fps[r.randrange(i)] if i and r.random() < 0.5 else r.getrandbits(43) << 21 | 12345
+        for _ in range(r.randrange(4)):
+            x ^= 1 << r.randrange(21, 64)
+        fps[i] = x
+    want = brute_components(fps)
+    assert groups(spark, fps) == want
+    assert groups(spark, fps, bucket=60) == want
