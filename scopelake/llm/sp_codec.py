@@ -34,7 +34,7 @@ from .common import map_text
 
 CACHE = 500_000
 #: Characters matched at once.
-CHUNK = 500_000
+CHUNK = 150_000
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
