@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embed_dedup, licenses, mixing, rollup, simhash, sp_codec, token_files, toxicity, urls
+from . import ann, embed_dedup, licenses, mixing, periodic, pii, resample, rollup, simhash, sp_codec, token_files, toxicity, urls
 from .common import cut, work_path
 
 
@@ -68,5 +68,27 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_mixing, op3_toxicity, op4_sentencepiece, op5_nearest_neighbours, op6_token_files, op7_simhash_near_dedup, op8_url_filters, op9_license_scans, op10_embedding_near_dedup)}
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    text = lambda of: F.array_join(F.transform(of, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    base = F.filter("spans", lambda x: x["base"])
+    count = lambda kind: F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, pii.BASE), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.draw(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark")))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents, chosen by the crc32 of the id, gets a periodic tail first."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("__echo", F.when(h % 10 == 0, F.floor(h / 10)))
+    found = periodic.collapse(docs, seed="__echo").withColumn("top", periodic.longest(F.col("runs")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    exponent = F.floor(F.col("top.length") * 1000 / F.col("top.period")).alias("exponent_milli")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "top.*", exponent, F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_mixing, op3_toxicity, op4_sentencepiece, op5_nearest_neighbours, op6_token_files, op7_simhash_near_dedup, op8_url_filters, op9_license_scans, op10_embedding_near_dedup, op11_pii, op12_resampling, op13_periodic_runs)}
 ORACLES: dict[str, str] = {}
