@@ -45,7 +45,7 @@ def test_base_spans_on_real_forms():
     text = "Mail a.b+c@x.example.com, b@c.de@f.gh; 10.0.0.256 10.1.2.3.4.5.6.7, 4111 1111 1111 1111, 4111-1111-1111-1112; call +1 (614) 555-8001 or +49-30-123456."
     assert sorted(pii.base_spans(text)[0]) == sorted(plain(text)) and len(plain(text)) == 7
     long = "1" * 200_000 + "." * 1000 + "a" * 200_000 + "@" * 1000 + "+" * 1000 + "x@y.z"
-    assert sorted(pii.base_spans(long)[0]) == [("email", len(long) - 5, len(long))]  # linear time
+    assert sorted(pii.base_spans(long)[0]) == [("email", len(long) - 1005, len(long))]  # linear time
 
 
 def test_expectation_maximisation():
