@@ -5,6 +5,9 @@ log(scope_key, change_id, table, id, kind, value, patch, version, server_time, o
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +16,12 @@ from ..functions.json import field_kind
 from ..functions.keys import EMPTY_CURSOR, change_id, change_number, row_key
 from ..functions.values import is_number
 from ..plans.catalog import TableDef
-from ..sources.shared import cut, numbered
+from ..sources.shared import cut, numbered, running
+from .decide import decide, permissions
+
+
+#: A change as the log and the ledger keep it.
+CHANGE_FIELDS = "scope_key:string,change_id:string,table:string,id:string,kind:string,value:string,patch:string,version:bigint,server_time:double,op_id:string"
 
 
 def bounds(log: DataFrame) -> DataFrame:
@@ -58,16 +66,43 @@ def put_ids(id_map: DataFrame, new: DataFrame) -> DataFrame:
     return id_map.unionByName(new.join(id_map.select("table", "local_id"), ["table", "local_id"], "left_anti").dropDuplicates(["table", "local_id"]).select(id_map.columns))
 
 
-def append(log: DataFrame, new: DataFrame) -> DataFrame:
+@dataclass
+class Known:
+    """What numbering needs to know of a log: heads(scope_key, last), the number of each scope's last change, and
+    rows(table, id, version, scope_key). A store keeps both as state, so that a batch need not read the log."""
+
+    heads: DataFrame
+    rows: DataFrame
+
+    @staticmethod
+    def of(log: DataFrame) -> Known:
+        last = F.struct("version", "change_id")
+        return Known(log.groupBy("scope_key").agg(F.max(change_number(F.col("change_id"))).alias("last")), log.groupBy("table", "id").agg(F.max("version").alias("version"), F.max_by("scope_key", last).alias("scope_key")))
+
+    def after(self, changes: DataFrame) -> Known:
+        """What is new or other after appended changes."""
+        return Known.of(changes)
+
+
+def append(log: DataFrame | Known, new: DataFrame) -> DataFrame:
     """The rows of `new` (log columns without change_id and version, and seq for their order, without ties) with the next
-    change ids of their scopes and the next versions of their rows. Scopes of any size are numbered in two passes."""
-    last = log.groupBy("scope_key").agg(F.max(change_number(F.col("change_id"))).alias("__last"))
-    known = log.groupBy("table", "id").agg(F.max("version").alias("__version"))
-    placed = numbered(new, ["scope_key"], "seq", "__number").join(last, "scope_key", "left").join(known, ["table", "id"], "left")
+    change ids of their scopes and the next versions of their rows. Scopes of any size are numbered in two passes.
+
+    Of a whole log what is known is aggregated; a Known names it, and then only that is joined to the batch."""
+    known = log if isinstance(log, Known) else Known.of(log)
+    last = known.heads.select("scope_key", F.col("last").alias("__last"))
+    rows = known.rows.select("table", "id", F.col("version").alias("__version"))
+    placed = numbered(new, ["scope_key"], "seq", "__number").join(last, "scope_key", "left").join(rows, ["table", "id"], "left")
     version = F.row_number().over(Window.partitionBy("table", "id").orderBy("seq")) + F.coalesce("__version", F.lit(0))
     return placed.withColumns({"change_id": change_id(F.col("__number") + F.coalesce("__last", F.lit(0))), "version": version.cast("long")}).drop("__last", "__version", "__number")
 
 
+def scope_of(log: DataFrame | Known, rows: DataFrame) -> DataFrame:
+    """rows(table, id) with the scope of their newest change; null for a row that was never seen."""
+    known = log if isinstance(log, Known) else Known.of(log)
+    return rows.join(known.rows.select("table", "id", "scope_key"), ["table", "id"], "left")
+
+
 def versions_of(changes: DataFrame) -> DataFrame:
     """changes(table, id, seq) with the running version of each row: 1, 2, ..."""
     return changes.withColumn("version", F.row_number().over(Window.partitionBy("table", "id").orderBy("seq")))
@@ -80,13 +115,14 @@ def first_sends(operations: DataFrame) -> DataFrame:
 
 
 def replay_or_new(operations: DataFrame, ledger: DataFrame, schema_version: int) -> tuple[DataFrame, DataFrame]:
-    """(answered, new): operations the ledger knows, with the stored outcome, and the others. An operation known under
-    another schema version is rejected."""
+    """(answered, new): operations the ledger knows, with the stored outcome and the change they made then, and the others.
+    An operation known under another schema version is rejected."""
     ops = first_sends(operations)
-    stored = ledger.select("user_id", "op_id", F.col("schema_version").alias("__v"), F.col("status").alias("__s"), F.col("error").alias("__e"))
+    change = F.col("change") if "change" in ledger.columns else F.lit(None).cast(f"struct<{CHANGE_FIELDS}>")
+    stored = ledger.select("user_id", "op_id", F.col("schema_version").alias("__v"), F.col("status").alias("__s"), F.col("error").alias("__e"), change.alias("change"))
     known = ops.join(stored, ["user_id", "op_id"])
     other = F.col("__v") != F.lit(schema_version)
-    answered = known.select("user_id", "op_id", F.when(other, "rejected").otherwise(F.col("__s")).alias("outcome"), F.when(other, "schemaMismatch").otherwise(F.col("__e")).alias("error"))
+    answered = known.select("user_id", "op_id", F.when(other, "rejected").otherwise(F.col("__s")).alias("outcome"), F.when(other, "schemaMismatch").otherwise(F.col("__e")).alias("error"), "change")
     return answered, ops.join(stored, ["user_id", "op_id"], "left_anti")
 
 
@@ -106,15 +142,8 @@ def wrong_type(table: TableDef, patch: Column) -> Column:
     return wrong
 
 
-def validate(table: TableDef, operations: DataFrame, canonical: DataFrame, functions: dict[str, tuple[str, tuple[str, ...]]], schema_version: int, rounds: int = 1000) -> DataFrame:
-    """operations with reject_reason (null: accepted) and no_op (an accepted delete of a row already gone).
-
-    functions: kind and writable fields by function name. operations have seq, op_id, user_id, schema_version,
-    function_name, id, value, patch and group_id; a patch or delete of another user's row is rejected in the same words
-    as one of a row that was never seen; so is a patch that would move a row to another scope. A group with a rejected
-    member is rejected whole; since that may take away rows that later operations build on, validation goes on until
-    nothing more is rejected. Each round is cut; one that has not settled after `rounds` is an error.
-    """
+def judged(table: TableDef, operations: DataFrame, canonical: DataFrame, functions: dict[str, tuple[str, tuple[str, ...]]], schema_version: int, roles: DataFrame | None = None, rule: Callable[[Column], Column] | None = None) -> DataFrame:
+    """validate() with __kind, the kind of each operation's function, and __lead, the place of its unit in the order."""
     body = F.coalesce("patch", "value")
     ops = operations.withColumn("__fields", F.coalesce(F.json_object_keys(body), F.array().cast("array<string>")))
     kind, known, allowed = F.lit(None).cast("string"), F.lit(False), F.array().cast("array<string>")
@@ -123,56 +152,46 @@ def validate(table: TableDef, operations: DataFrame, canonical: DataFrame, funct
         kind, known = F.when(hit, k).otherwise(kind), known | hit
         allowed = F.when(hit, F.array(*map(F.lit, fields)).cast("array<string>")).otherwise(allowed)
     server = F.array(*map(F.lit, table.server_fields)).cast("array<string>")
-    owner = table.scope.field if table.scope and table.scope.kind == "byUser" else None
-    held = table.scope.field if table.scope and not owner else None
-    scope = owner or held
-    rows = canonical.select(F.col("_id").alias("__i"), (~F.coalesce("_deleted", F.lit(False))).alias("__live"), (F.col(f"`{scope}`").cast("string") if scope else F.lit(None).cast("string")).alias("__owner"))
+    mine = bool(table.scope and table.scope.kind == "byUser")
+    scope = table.scope.field if table.scope else None
+    none = F.lit(None).cast("string")
+    asked = lambda side: F.get_json_object(side, f"$['{scope}']") if scope and not mine else none
+    rows = canonical.select(F.col("_id").alias("__i"), (~F.coalesce("_deleted", F.lit(False))).alias("__alive"), (F.col(f"`{scope}`").cast("string") if scope else none).alias("__holder"))
     ops = ops.withColumns({"__kind": kind, "__wrong": wrong_type(table, body)}).join(rows, F.col("id") == F.col("__i"), "left")
-    foreign = F.col("__owner").isNotNull() & (F.col("__owner") != F.col("user_id")) if owner else F.lit(False)
-    moved = F.coalesce(F.get_json_object("patch", f"$.{held}") != F.col("__owner"), F.lit(False)) if held else F.lit(False)
     fixed = (
         F.when(F.col("schema_version") != schema_version, "schemaMismatch")
         .when(~known, "unknownFunction")
         .when(F.size(F.array_intersect("__fields", server)) > 0, "serverOnlyField")
-        .when(F.size(F.array_except("__fields", allowed)) > 0, "unknownField")
+        .when(F.size(F.array_except(F.array_remove("__fields", scope), allowed) if mine else F.array_except("__fields", allowed)) > 0, "unknownField")
         .when(F.col("__wrong").isNotNull(), F.col("__wrong"))
-        .when(foreign & F.col("__kind").isin("patch", "delete") | moved & (F.col("__kind") == "patch"), F.concat(F.lit("Cannot "), F.col("__kind"), F.lit(f" {table.name}:"), F.col("id")))
     )
-    ops = cut(ops.withColumn("__reason", fixed))
-    count = -1
-    for _ in range(rounds):
-        order = Window.partitionBy("id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-        effect = F.when(F.col("__reason").isNull() & (F.col("__kind") == "insert"), True).when(F.col("__reason").isNull() & (F.col("__kind") == "delete"), False)
-        live = F.coalesce(F.last(effect, ignorenulls=True).over(order), F.col("__live"), F.lit(False))
-        seen = F.col("__i").isNotNull() | F.coalesce(F.max(effect).over(order), F.lit(False))
-        checked = ops.withColumn("__now", live).withColumn("__seen", seen)
-        late = (
-            F.when((F.col("__kind") == "insert") & F.col("__now"), F.concat(F.lit(f"Duplicate localId {table.name}:"), F.col("id")))
-            .when((F.col("__kind") == "patch") & ~F.col("__now"), F.concat(F.lit(f"Cannot patch {table.name}:"), F.col("id")))
-            .when((F.col("__kind") == "delete") & ~F.col("__seen"), F.concat(F.lit(f"Cannot delete {table.name}:"), F.col("id")))
-        )
-        checked = cut(checked.withColumn("__all", F.coalesce("__reason", late)))
-        # One row per group with a rejected member; operations outside groups take no part.
-        bad = checked.filter("group_id is not null and __all is not null").groupBy("group_id").agg(F.min_by("__all", "seq").alias("__first"))
-        checked = checked.join(bad, "group_id", "left")
-        first = F.col("__first")
-        grouped = F.when(first.startswith("groupRejected: "), first).otherwise(F.concat(F.lit("groupRejected: "), first))
-        checked = cut(checked.withColumn("__final", F.coalesce(grouped, F.col("__all"))).drop("__first"))
-        now = checked.filter("__final is not null").count()
-        if now == count:
-            break
-        count = now
-        # Members of rejected groups no longer count for what comes after; other late rejections are found again.
-        ops = checked.withColumn("__reason", F.coalesce("__reason", F.when(F.col("group_id").isNotNull(), F.col("__final")))).drop("__now", "__seen", "__all", "__final")
+    facts = {"__fixed": fixed, "__row": F.col("id"), "__label": F.concat(F.lit(f"{table.name}:"), "id"), "__known": F.col("__i").isNotNull(), "__live": F.coalesce("__alive", F.lit(False)), "__mine": F.lit(mine), "__asked": asked("value"), "__moved": asked("patch")}
+    ops = ops.withColumns(facts).drop("__i", "__alive", "__fields", "__wrong").withColumnRenamed("__kind", "kind__").withColumn("__kind", F.col("kind__"))
+    if roles is not None and scope and not mine:
+        ops = permissions(cut(ops), roles, rule)
     else:
-        raise RuntimeError(f"validation did not settle in {rounds} rounds")
-    keep = [F.col(f"`{c}`") for c in operations.columns]
-    return checked.select(*keep, F.col("__final").alias("reject_reason"), (F.col("__final").isNull() & (F.col("__kind") == "delete") & ~F.col("__now")).alias("no_op"))
+        ops = ops.withColumn("__may", F.lit(None).cast("map<string,int>"))
+    return decide(ops).withColumnRenamed("kind__", "__kind")
+
+
+def validate(table: TableDef, operations: DataFrame, canonical: DataFrame, functions: dict[str, tuple[str, tuple[str, ...]]], schema_version: int, roles: DataFrame | None = None, rule: Callable[[Column], Column] | None = None) -> DataFrame:
+    """operations with reject_reason (null: accepted) and no_op (an accepted delete of a row already gone).
+
+    functions: kind and writable fields by function name. operations have seq (no ties), op_id, user_id, schema_version,
+    function_name, id, value, patch and group_id. They are decided in sequence (see decide): each sees what the accepted ones
+    before it leave. Whose row is another user's, and what a user has no role for, is rejected in the same words as what
+    was never seen; so is a patch that would move a row to another scope. A row without a user is nobody's. A group with a
+    rejected member is rejected whole and has no effect on what comes after. An owner that a client sends is ignored.
 
+    roles(user_id, scope_value, role) and rule, a function of the role: who may write in a scope (None: all may).
+    """
+    done = judged(table, operations, canonical, functions, schema_version, roles, rule)
+    return done.select(*(F.col(f"`{c}`") for c in operations.columns), "reject_reason", "no_op")
 
-def own(table: TableDef, rows: DataFrame, user: str) -> DataFrame:
+
+def own(table: TableDef, rows: DataFrame, user: str | Column) -> DataFrame:
     """Inserted rows with the owner column forced to the user."""
-    return rows.withColumn(table.scope.field, F.lit(user)) if table.scope and table.scope.kind == "byUser" else rows
+    return rows.withColumn(table.scope.field, user if isinstance(user, Column) else F.lit(user)) if table.scope and table.scope.kind == "byUser" else rows
 
 
 def mint(rows: DataFrame, column: str, start: int) -> DataFrame:
@@ -281,11 +300,12 @@ def retired(operations: DataFrame, schema_version: int) -> DataFrame:
 
 
 def chunks(operations: DataFrame, size: int) -> DataFrame:
-    """operations(scope_key, seq, op_id, group_id) with chunk numbers of about `size`; a group is never cut."""
-    unit = F.coalesce("group_id", "op_id")
-    marked = operations.withColumn("__first", F.min("seq").over(Window.partitionBy("scope_key", unit)))
-    before = F.count("*").over(Window.partitionBy("scope_key").orderBy("__first").rangeBetween(Window.unboundedPreceding, Window.currentRow)) - F.count("*").over(Window.partitionBy("scope_key", "__first"))
-    return marked.withColumn("chunk", F.floor(before / size).cast("int")).drop("__first")
+    """operations(scope_key, seq, op_id, group_id) with chunk numbers of about `size`; a group is never cut. Units are placed
+    in two passes, so a scope with most of the operations is spread over many tasks."""
+    marked = operations.withColumn("__unit", F.coalesce("group_id", "op_id"))
+    units = marked.groupBy("scope_key", "__unit").agg(F.min("seq").alias("__first"), F.count("*").alias("__n"))
+    before = running(units, ["scope_key"], "__first", "__n", "__before").select("scope_key", "__unit", "__before")
+    return marked.join(before, ["scope_key", "__unit"]).withColumn("chunk", F.floor(F.col("__before") / size).cast("int")).drop("__unit", "__before")
 
 
 def recovery(operations: DataFrame) -> DataFrame:

@@ -16,8 +16,8 @@ from pyspark.sql import types as T
 from ..functions.json import field_kind, json_object, json_value
 from ..functions.sets import set_delta
 from ..plans.catalog import TableDef
-from ..sources.shared import cut
-from .log import append, replay_or_new, validate
+from ..sources.shared import cut, numbered
+from .log import CHANGE_FIELDS, Known, append, judged, replay_or_new, scope_of
 from .view import _keys, _patched
 
 
@@ -49,8 +49,8 @@ def merge_patch(table: TableDef, rows: DataFrame, patch: Column) -> DataFrame:
 
 
 def materialize(table: TableDef, operations: DataFrame, canonical: DataFrame) -> DataFrame:
-    """operations(seq, op_id, id, kind, value, patch, ...) whose patches hold plain values: each delta is resolved against
-    the row as the operations before it leave it, an absent field counting as empty or zero.
+    """operations(seq, id, kind, value, patch, ...) whose patches hold plain values: each delta is resolved against the row as
+    the operations before it leave it, an absent field counting as empty or zero. seq has no ties.
 
     Operations of one row are resolved in order, from one array: commit very long histories of one row in batches.
     """
@@ -58,23 +58,23 @@ def materialize(table: TableDef, operations: DataFrame, canonical: DataFrame) ->
     delta = F.exists(F.array(*(field_kind(F.col("patch"), f.name).isin("SET", "COUNTER") for f in fields if f.name in (*table.set_fields, *table.counter_fields))), lambda x: F.coalesce(x, F.lit(False))) if table.set_fields or table.counter_fields else F.lit(False)
     marked = operations.withColumn("__delta", delta)
     touched = marked.filter("__delta").select(F.col("id").alias("__t")).distinct()  # only rows that a delta meets are replayed
-    entry = F.struct("seq", "op_id", "kind", _row(table, F.col("value")).alias("value"), _row(table, F.col("patch")).alias("patch"), _keys(F.col("patch")).alias("keys"), _deltas(table, F.col("patch"), "set").alias("sets"), _deltas(table, F.col("patch"), "counter").alias("counts"))
+    entry = F.struct("seq", "kind", _row(table, F.col("value")).alias("value"), _row(table, F.col("patch")).alias("patch"), _keys(F.col("patch")).alias("keys"), _deltas(table, F.col("patch"), "set").alias("sets"), _deltas(table, F.col("patch"), "counter").alias("counts"))
     queue = marked.join(touched, F.col("id") == F.col("__t"), "left_semi").groupBy("id").agg(F.array_sort(F.collect_list(entry)).alias("ops"))
     shape = T.StructType(fields)
     base = canonical.select(F.col("_id").alias("__i"), F.struct(*(F.col(f"`{f.name}`") for f in fields)).alias("__base"))
     joined = queue.join(base, F.col("id") == F.col("__i"), "left")
-    done = T.ArrayType(T.StructType([T.StructField("op_id", T.StringType()), T.StructField("row", shape)]))
+    done = T.ArrayType(T.StructType([T.StructField("seq", operations.schema["seq"].dataType), T.StructField("row", shape)]))
     zero = F.struct(F.coalesce("__base", F.lit(None).cast(shape)).alias("row"), F.array().cast(done).alias("done"))
 
     def step(s: Column, op: Column) -> Column:
         patched = F.struct(*(_patched(table, f, s["row"], op["patch"], op["keys"], op["sets"], op["counts"]) for f in fields))
         row = F.when(op["kind"] == "patch", patched).when(op["kind"] == "delete", s["row"]).otherwise(op["value"])
-        return F.struct(row.alias("row"), F.concat(s["done"], F.array(F.struct(op["op_id"].alias("op_id"), row.alias("row")))).alias("done"))
+        return F.struct(row.alias("row"), F.concat(s["done"], F.array(F.struct(op["seq"].alias("seq"), row.alias("row")))).alias("done"))
 
-    folded = joined.select(F.explode(F.aggregate("ops", zero, step)["done"]).alias("d")).select(F.col("d.op_id").alias("__op"), F.col("d.row").alias("__after"))
+    folded = joined.select(F.explode(F.aggregate("ops", zero, step)["done"]).alias("d")).select(F.col("d.seq").alias("__op"), F.col("d.row").alias("__after"))
     keys = _keys(F.col("patch"))
     plain = json_object([(f.name, F.array_contains(keys, f.name), json_value(F.col("__after")[f.name])) for f in fields])
-    out = marked.join(folded, F.col("op_id") == F.col("__op"), "left")
+    out = marked.join(folded, F.col("seq") == F.col("__op"), "left")
     return out.withColumn("patch", F.when(F.col("__delta"), plain).otherwise(F.col("patch"))).drop("__delta", "__op", "__after")
 
 
@@ -131,30 +131,79 @@ def can(table: TableDef, rules: dict[str, Callable[[Column], Column]], role: Col
 
 @dataclass
 class Push:
-    """What a push makes: answers(op_id, outcome, error), changes of the log, and ledger rows to keep."""
+    """What a push makes: answers(user_id, op_id, outcome, error), changes of the log, ledger rows to keep (with the change
+    that each operation made), redelivered changes of operations that were answered before, and `done`: the taken
+    operations with user_id, function_name and change_id."""
 
     answers: DataFrame
     changes: DataFrame
     ledger: DataFrame
-
-
-def push(table: TableDef, operations: DataFrame, canonical: DataFrame, log: DataFrame, ledger: DataFrame, functions: dict[str, tuple[str, tuple[str, ...]]], schema_version: int, now: float, scope_key: Column) -> Push:
-    """Operations known to the ledger are answered as before and do nothing; the others are validated, their deltas resolved,
-    and appended to the log with the scope of the stored row. scope_key is a Column over operations, for inserts."""
+    redelivered: DataFrame
+    done: DataFrame
+
+
+_CHANGE = tuple(c.split(":")[0] for c in CHANGE_FIELDS.split(","))
+
+
+def _with_fields(table: TableDef, text: Column, given: dict[str, Column]) -> Column:
+    """The JSON object `text` with some fields set to JSON texts, whatever it had there."""
+    keys = _keys(text)
+    raw = lambda n: F.coalesce(F.to_json(F.try_variant_get(F.try_parse_json(text), f"$['{n}']", "variant")), F.lit("null"))
+    return json_object([(f.name, F.lit(True), given[f.name]) if f.name in given else (f.name, F.array_contains(keys, f.name), raw(f.name)) for f in table.shape.fields])
+
+
+def _forced(table: TableDef, taken: DataFrame, stamps: dict[str, int]) -> DataFrame:
+    """Accepted operations whose inserts carry their user and the next server-made numbers, in the order of the push."""
+    given = {}
+    if table.scope and table.scope.kind == "byUser":
+        given[table.scope.field] = json_value(F.col("user_id").cast(table.type_of(table.scope.field)))
+    held = {table.id_field, *([table.scope.field] if table.scope else [])}
+    if bad := sorted(c for c in stamps if c in held or c not in table.server_fields):
+        raise ValueError(f"a stamp sets server columns other than the id and the scope: {bad}")
+    if stamps:
+        number = numbered(taken.filter("kind = 'insert'").select("seq"), [], "seq", "__n").withColumnRenamed("seq", "__s")
+        taken = taken.join(number, F.col("seq") == F.col("__s"), "left").drop("__s")
+        given |= {c: json_value((F.col("__n") + F.lit(start)).cast(table.type_of(c))) for c, start in stamps.items()}
+    if not given:
+        return taken
+    return taken.withColumn("value", F.when(F.col("kind") == "insert", _with_fields(table, F.coalesce("value", F.lit("{}")), given)).otherwise(F.col("value"))).drop("__n")
+
+
+def push(
+    table: TableDef, operations: DataFrame, canonical: DataFrame, log: DataFrame | Known, ledger: DataFrame, functions: dict[str, tuple[str, tuple[str, ...]]], schema_version: int, now: float, scope_key: Column,
+    roles: DataFrame | None = None, rules: dict[str, Callable[[Column], Column]] | None = None, stamps: dict[str, int] | None = None,
+) -> Push:
+    """Operations known to the ledger are answered as before, with the changes they made then, and do nothing; the others are
+    validated, their deltas resolved, and appended to the log.
+
+    Inserts belong to the user who sends them, whatever they say, and to the scope that scope_key, a Column over operations,
+    names; patches and deletes to the scope of their row. log: the whole log, or what is known of it. With roles(user_id,
+    scope_value, role) only members write, and where rules has the table its rule decides. stamps: server columns that
+    inserts get running numbers in, with the last number given out. An operation is named by its user and op_id together.
+    """
     answered, new = replay_or_new(operations, ledger, schema_version)
-    checked = cut(validate(table, new, canonical, functions, schema_version))
-    kind = F.lit(None).cast("string")
-    for name, (k, _) in functions.items():
-        kind = F.when(F.col("function_name") == name, k).otherwise(kind)
-    taken = materialize(table, checked.filter("reject_reason is null and not no_op").withColumn("kind", kind), canonical)
-    stored = log.groupBy("table", "id").agg(F.min_by("scope_key", "change_id").alias("__scope"))
-    rows = taken.withColumns({"table": F.lit(table.name), "server_time": F.lit(float(now)), "__asked": scope_key}).join(stored, ["table", "id"], "left")
-    rows = rows.withColumn("scope_key", F.coalesce("__scope", "__asked")).select("scope_key", "table", "id", "kind", "value", "patch", "server_time", "op_id", "seq")
-    changes = append(log, rows).drop("seq")
+    checked = cut(judged(table, new, canonical, functions, schema_version, roles, (rules or {}).get(table.name)))
+    taken = checked.filter("reject_reason is null and not no_op").withColumns({"kind": F.col("__kind"), "seq": F.struct("__lead", "seq")})
+    taken = materialize(table, _forced(table, taken, stamps or {}), canonical)
+    known = log if isinstance(log, Known) else Known.of(log)
+    asked = F.last(F.when(F.col("kind") == "insert", F.col("__asked_key")), ignorenulls=True).over(Window.partitionBy("id").orderBy("seq"))
+    rows = scope_of(known, taken.withColumns({"table": F.lit(table.name), "server_time": F.lit(float(now)), "__asked_key": scope_key}).drop("scope_key"))
+    rows = rows.withColumn("scope_key", F.coalesce(asked, "scope_key", "__asked_key")).select("scope_key", "table", "id", "kind", "value", "patch", "server_time", "op_id", "seq", "user_id", "function_name")
+    done = cut(append(known, rows).drop("seq"))
+    change = F.struct(*(F.col(f"`{c}`") for c in _CHANGE)).cast(f"struct<{CHANGE_FIELDS}>")
     outcome = F.when(F.col("reject_reason").isNull(), "accepted").otherwise("rejected")
     fresh = checked.select("user_id", "op_id", F.lit(schema_version).alias("schema_version"), outcome.alias("status"), F.col("reject_reason").alias("error"))
-    answers = answered.select("op_id", "outcome", "error").union(fresh.select("op_id", F.col("status"), "error"))
-    return Push(answers, changes, fresh)
+    fresh = fresh.join(done.select("user_id", "op_id", change.alias("change")), ["user_id", "op_id"], "left")
+    answers = answered.select("user_id", "op_id", "outcome", "error").union(fresh.select("user_id", "op_id", "status", "error"))
+    again = answered.filter("change is not null and outcome = 'accepted'").select("change.*")
+    return Push(answers, done.select(*_CHANGE), fresh, again, done)
+
+
+def written(table: TableDef, canonical: DataFrame, made: Push) -> DataFrame:
+    """What a push wrote, for those who follow it: user_id, function_name and the images of each change. Operations that the
+    ledger answered are not in it, so each write is told once, with the push that first accepted it."""
+    seen = images(table, canonical, made.changes).select("change_id", "id", "kind", "before", "after")
+    return made.done.select("scope_key", "change_id", "id", "op_id", "user_id", "function_name").join(seen, ["change_id", "id"])
 
 
 def server_write(table: TableDef, writes: DataFrame, log: DataFrame, now: float, scope_key: Column) -> DataFrame:

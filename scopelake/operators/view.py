@@ -122,8 +122,10 @@ def derive_view(table: TableDef, canonical: DataFrame, operations: DataFrame) ->
 
 
 def confirmed(operations: DataFrame, changes: DataFrame) -> DataFrame:
-    """The operations that no change carries yet, stale or not."""
-    return operations.join(changes.filter("op_id is not null").select("op_id").distinct(), "op_id", "left_anti")
+    """The operations that no change carries yet, stale or not. Where both sides say whose they are, an operation is only
+    confirmed by a change of its own user, who may share op_ids with others."""
+    same = ["op_id", *(["user_id"] if "user_id" in operations.columns and "user_id" in changes.columns else [])]
+    return operations.join(changes.filter("op_id is not null").select(*same).distinct(), same, "left_anti")
 
 
 def row_deltas(old: DataFrame, new: DataFrame) -> DataFrame:

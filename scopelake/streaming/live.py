@@ -6,19 +6,21 @@ for a batch that is delivered again after a failure.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState
 
+from ..operators.push import push
 from ..operators.search import search, update_index
 from ..operators.view import row_deltas
 from ..plans.catalog import TableDef
 from ..plans.query import Query
-from ..sources.store import CHANGES, Store
+from ..sources.store import CHANGES, OPERATIONS, Store
 
 
 def change_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -42,6 +44,31 @@ def follow(changes: DataFrame, store: Store, table: TableDef, checkpoint: str, o
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def operation_stream(spark: SparkSession, path: str, columns: str = OPERATIONS, files_per_trigger: int = 1000) -> DataFrame:
+    return spark.readStream.schema(columns).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+
+
+def serve(operations: DataFrame, store: Store, table: TableDef, functions: dict[str, tuple[str, tuple[str, ...]]], schema_version: int, scope_key: Column, checkpoint: str, name: str = "serve", clock: Callable[[], float] | None = None, on_write: Callable[[DataFrame], None] | None = None, roles: DataFrame | None = None, rules: dict | None = None, available_now: bool = True) -> StreamingQuery:
+    """Pushes a stream of operations (with seq for their order within a batch) into a store. on_write gets what each batch
+    wrote, as push.written has it.
+
+    A batch is committed under its number: one that Spark delivers again after a failure is not pushed twice. Its writes are
+    handed to on_write again from the store's feed only if the process died between the commit and the call.
+    """
+
+    def batch(rows: DataFrame, number: int) -> None:
+        base, mark = store.version(), f"{name}-{number}"
+        if not store.committed(mark):
+            made = push(table, rows, store.canonical(table), store.known(), store.ledger(), functions, schema_version, clock() if clock else time.time() * 1000, scope_key, roles, rules)
+            store.commit(table, made, base=base, batch=mark)
+        if on_write and not store.committed(f"{mark}-told"):
+            on_write(store.feed(table, mark))
+            store.mark(f"{mark}-told")
+
+    writer = operations.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
 class LiveQuery:
     """The matching rows of a plan, kept up to date by row deltas; order and limit are applied when it is read, so a row
     that leaves a limited result is followed by the next one."""
@@ -59,7 +86,7 @@ class LiveQuery:
         self.store.replace(self.name, held.join(deltas.select("_id"), "_id", "left_anti").unionByName(self.query.matching(came, self.user).select(held.columns)))
 
     def rows(self) -> DataFrame:
-        return self.store.spark.read.parquet(f"{self.store.base}/{self.store._latest(self.name)[1]}")
+        return self.store.spark.read.parquet(f"{self.store.base}/{self.store._folders(self.name)[self.name]}")
 
     def result(self) -> DataFrame:
         rows = self.rows()
