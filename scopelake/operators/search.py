@@ -14,9 +14,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokenize
+from ..functions.text import ENTITIES, tokenize
 from ..plans.catalog import TableDef
-from ..sources.shared import cut
 
 
 def index(table: TableDef, rows: DataFrame) -> DataFrame:
@@ -42,30 +41,23 @@ def update_index(table: TableDef, postings: DataFrame, changed: DataFrame) -> Da
 
 
 def words(text) -> list[str]:
-    """The words of a search, as tokenize() cuts them."""
+    """The words of a search, cut as tokenize() cuts them: tags and unknown entities are spaces, known ones are decoded."""
     if text is None:
         return []
     raw = str(text)
     if re.search(r"<[a-zA-Z!/][^>]*>", raw):
         raw = re.sub(r"<[^>]*>", " ", raw)
+        raw = re.sub(rf"(?i)&(?!(?:{'|'.join(ENTITIES)});)(?:[a-z]+|#\d+);", " ", raw)
+        for name, value in ENTITIES.items():
+            raw = re.sub(f"(?i)&{name};", lambda _, v=value: v, raw)
     return [w for w in re.findall(r"[^\W_]+", raw.lower())]
 
 
-def recency(rows: DataFrame) -> Column:
-    found = [F.col(c).cast("double") for c in ("updated_at", "updatedAt") if c in rows.columns]
-    return F.coalesce(*found) if found else F.lit(None).cast("double")
-
-
-def search(table: TableDef, rows: DataFrame, postings: DataFrame, text: str, limit: int | None = None, within: Column | None = None) -> DataFrame:
-    """id, score, recency and total (matches before the limit), best first. within: a condition on rows, before ranking.
-
-    A limit of None or below 0 returns all.
-    """
+def matches(table: TableDef, postings: DataFrame, text: str) -> DataFrame:
+    """id and score of rows that hold all words of a search."""
     asked = words(text)
-    held = rows.filter(F.coalesce(within, F.lit(False))) if within is not None else rows
-    held = held.select(F.col("_id").alias("id"), recency(rows).alias("recency"))
     if not asked or not table.search_fields:
-        return held.select("id", F.lit(0).alias("score"), "recency", F.lit(0).cast("long").alias("total")).limit(0)
+        return postings.select("id", F.lit(0).alias("score")).limit(0)
     last, exact = asked[-1], asked[:-1]
     prefix = F.col("token").startswith(last)
     best = F.lit(len(table.search_fields)) - F.col("field")
@@ -75,11 +67,25 @@ def search(table: TableDef, rows: DataFrame, postings: DataFrame, text: str, lim
     score = F.when(prefix, best * F.when(F.col("token") == last, 2).otherwise(1)).otherwise(0) + times * best * 2
     hits = postings.filter(prefix | F.col("token").isin(*exact)) if exact else postings.filter(prefix)
     needed = [F.bool_or(prefix), *(F.bool_or(F.col("token") == w) for w in dict.fromkeys(exact))]
-    scored = hits.groupBy("id").agg(F.sum(score).alias("score"), F.every(F.lit(True)).alias("__t"), *(n.alias(f"__n{i}") for i, n in enumerate(needed)))
+    scored = hits.groupBy("id").agg(F.sum(score).alias("score"), *(n.alias(f"__n{i}") for i, n in enumerate(needed)))
     for i in range(len(needed)):
         scored = scored.filter(F.col(f"__n{i}"))
-    matched = cut(scored.select("id", "score").join(held, "id"))  # counted and ranked from one pass
-    total = matched.agg(F.count("*").alias("total"))
+    return scored.select("id", "score")
+
+
+def recency(rows: DataFrame) -> Column:
+    found = [F.col(c).cast("double") for c in ("updated_at", "updatedAt") if c in rows.columns]
+    return F.coalesce(*found) if found else F.lit(None).cast("double")
+
+
+def search(table: TableDef, rows: DataFrame, postings: DataFrame, text: str, limit: int | None = None, within: Column | None = None) -> DataFrame:
+    """id, score, recency and total (matches before the limit), best first. within: a condition on rows, before ranking.
+
+    A limit of None or below 0 returns all.
+    """
+    held = rows.filter(F.coalesce(within, F.lit(False))) if within is not None else rows
+    matched = matches(table, postings, text).join(held.select(F.col("_id").alias("id"), recency(rows).alias("recency")), "id")
+    total = matched.agg(F.count("*").alias("total"))  # both sides read the same exchanges
     ranked = matched.crossJoin(F.broadcast(total)).orderBy(F.desc("score"), F.desc_nulls_last("recency"), F.asc("id"))  # one row
     return ranked if limit is None or limit < 0 else ranked.limit(limit)
 

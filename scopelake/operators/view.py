@@ -129,12 +129,13 @@ def confirmed(operations: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def row_deltas(old: DataFrame, new: DataFrame) -> DataFrame:
-    """_id, kind (upsert, delete) and row of every row that came, went or changed; deleted rows count as gone."""
+    """_id, kind (upsert, delete), row and `was` (the row before) of every row that came, went or changed; deleted rows count
+    as gone."""
     cols = [c for c in new.columns if c in old.columns]
     live = [df.filter(~F.coalesce(F.col("_deleted"), F.lit(False))) if "_deleted" in df.columns else df for df in (old, new)]
     a, b = (df.select(F.col("_id").alias(k), F.struct(*(F.col(f"`{c}`") for c in cols)).alias(r)) for df, k, r in ((live[0], "i", "o"), (live[1], "j", "n")))
     both = a.join(b, F.col("i") == F.col("j"), "full").filter(~F.col("o").eqNullSafe(F.col("n")))
-    return both.select(F.coalesce("i", "j").alias("_id"), F.when(F.col("n").isNull(), "delete").otherwise("upsert").alias("kind"), F.col("n").alias("row"))
+    return both.select(F.coalesce("i", "j").alias("_id"), F.when(F.col("n").isNull(), "delete").otherwise("upsert").alias("kind"), F.col("n").alias("row"), F.col("o").alias("was"))
 
 
 def inverse_operations(table: TableDef, operations: DataFrame, before: DataFrame) -> DataFrame:

@@ -180,6 +180,10 @@ class Store:
         found = self._folders(f"canonical/{table.name}#")
         return self._rows([f for name, f in found.items() if buckets is None or int(name.rpartition("#")[2]) in buckets], self.row_schema(table))
 
+    def has_parts(self, folder: str) -> bool:
+        """Whether a folder that was written by partitions has any."""
+        return any("=" in s.getPath().getName() for s in self._fs.listStatus(self._path(folder)))
+
     def _stage(self, table: TableDef, rows: DataFrame, buckets: list[int]) -> list[tuple[str, str]]:
         """Writes all rows of some buckets, and returns their names and folders."""
         folder = f"data/canonical/{table.name}/{uuid.uuid4().hex}"

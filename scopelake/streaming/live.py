@@ -16,11 +16,12 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState
 
 from ..operators.push import push
-from ..operators.search import search, update_index
+from ..operators.search import index, matches, search
 from ..operators.view import row_deltas
 from ..plans.catalog import TableDef
-from ..plans.query import Query
+from ..sources.segments import add_segment, postings
 from ..sources.store import CHANGES, OPERATIONS, Store
+from .views import LiveCounts, LiveQuery, sides, touched_groups  # noqa: F401
 
 
 def change_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -69,58 +70,29 @@ def serve(operations: DataFrame, store: Store, table: TableDef, functions: dict[
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-class LiveQuery:
-    """The matching rows of a plan, kept up to date by row deltas; order and limit are applied when it is read, so a row
-    that leaves a limited result is followed by the next one."""
-
-    def __init__(self, store: Store, name: str, query: Query, user: str | None = None):
-        self.store, self.name, self.query, self.user = store, f"views/{name}", query, user
-
-    def reset(self, rows: DataFrame) -> None:
-        self.store.replace(self.name, self.query.matching(rows, self.user))
-
-    def apply(self, deltas: DataFrame) -> None:
-        """deltas as row_deltas makes them: rows that changed are taken out and put back if they still match."""
-        held = self.rows()
-        came = deltas.filter("kind = 'upsert'").select("row.*")
-        self.store.replace(self.name, held.join(deltas.select("_id"), "_id", "left_anti").unionByName(self.query.matching(came, self.user).select(held.columns)))
-
-    def rows(self) -> DataFrame:
-        return self.store.spark.read.parquet(f"{self.store.base}/{self.store._folders(self.name)[self.name]}")
-
-    def result(self) -> DataFrame:
-        rows = self.rows()
-        out = rows.orderBy(*self.query.sort_columns(rows))
-        return out if self.query.rows is None else out.limit(self.query.rows)
-
-    def counts(self) -> DataFrame:
-        return self.rows().groupBy(self.query.key_column().alias("key")).agg(F.count("*").alias("n"))
-
-
-def touched_groups(deltas: DataFrame, old: DataFrame, column: str) -> DataFrame:
-    """key: the groups that deltas may have changed, by the value before and after."""
-    before = old.join(deltas.select("_id"), "_id", "left_semi").select(F.col(column).cast("string").alias("key"))
-    return before.union(deltas.filter("kind = 'upsert'").select(F.col(f"row.{column}").cast("string"))).distinct()
-
-
 def reindex(store: Store, table: TableDef, deltas: DataFrame) -> None:
-    """Search postings after row deltas."""
-    columns = store.row_schema(table).fieldNames()
-    held = store.read(f"postings/{table.name}", "id string, token string, field int")
-    gone = deltas.filter("kind = 'delete'").select("_id", *(F.lit(None).cast(f.dataType).alias(f.name) for f in store.row_schema(table).fields if f.name not in ("_id", "_deleted")), F.lit(True).alias("_deleted"))
-    now = deltas.filter("kind = 'upsert'").select("_id", *(F.col("row")[c].alias(c) for c in columns if c not in ("_id", "_deleted")), F.lit(False).alias("_deleted"))
-    store.replace(f"postings/{table.name}", update_index(table, held, now.unionByName(gone)))
+    """Search postings after deltas(_id, kind, row): a segment of their own, and no other is written. Many are merged."""
+    rows = [f for f in store.row_schema(table).fields if f.name not in ("_id", "_deleted")]
+    now = deltas.filter("kind = 'upsert'").select("_id", *(F.col("row")[f.name].alias(f.name) for f in rows))
+    add_segment(store, table, index(table, now), deltas.select(F.col("_id").alias("id")))
 
 
 class LiveSearch:
-    """A search that is asked again after its postings changed, and reports only if the result did."""
+    """A search that is kept up to date, and reports only if the result changed. It is asked again only if a row that changed
+    matches it, as the row was or as it is."""
 
     def __init__(self, store: Store, table: TableDef, text: str, limit: int | None = None):
-        self.store, self.table, self.text, self.limit, self.seen = store, table, text, limit, None
+        self.store, self.table, self.text, self.limit, self.seen, self.asked = store, table, text, limit, None, 0
+
+    def concerned(self, deltas: DataFrame) -> bool:
+        """Whether deltas(_id, kind, row, was) can change the result."""
+        return any(matches(self.table, index(self.table, side), self.text).limit(1).count() for side in sides(deltas))
 
-    def refresh(self, on_change: Callable[[DataFrame], None]) -> bool:
-        postings = self.store.read(f"postings/{self.table.name}", "id string, token string, field int")
-        found = search(self.table, self.store.live(self.table).filter("not _deleted"), postings, self.text, self.limit).persist()
+    def refresh(self, on_change: Callable[[DataFrame], None], deltas: DataFrame | None = None) -> bool:
+        if deltas is not None and self.seen is not None and not self.concerned(deltas):
+            return False
+        self.asked += 1
+        found = search(self.table, self.store.live(self.table).filter("not _deleted"), postings(self.store, self.table), self.text, self.limit).persist()
         now = tuple(found.agg(F.count("*"), F.sum(F.xxhash64("id", "score", "recency").cast("decimal(38,0)"))).first())
         changed = now != self.seen
         if changed:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from scopelake.plans.catalog import TableDef
 from scopelake.plans.query import Query, schema
+from scopelake.sources import segments
 from scopelake.sources.store import OPERATIONS, Store
 from scopelake.streaming import live
 
@@ -65,7 +66,7 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(str, store.canonical(T).collect())) == sorted(map(str, whole.canonical(T).collect()))
     assert store.cursors().first().cursor == "000000000005"
     assert [r._id for r in view.result().collect()] == ["c"]
-    assert {(r.id, r.token) for r in store.read("postings/t", "id string, token string, field int").collect()} == {("a", "closed"), ("c", "open")}
+    assert {(r.id, r.token) for r in segments.postings(store, T).collect()} == {("a", "closed"), ("c", "open")}
     # The same batch again changes nothing.
     store.apply_changes(T, spark.createDataFrame(log, live.CHANGES))
     assert sorted(map(str, store.canonical(T).collect())) == sorted(map(str, whole.canonical(T).collect()))
