@@ -142,8 +142,8 @@ def wrong_type(table: TableDef, patch: Column) -> Column:
     return wrong
 
 
-def judged(table: TableDef, operations: DataFrame, canonical: DataFrame, functions: dict[str, tuple[str, tuple[str, ...]]], schema_version: int, roles: DataFrame | None = None, rule: Callable[[Column], Column] | None = None) -> DataFrame:
-    """validate() with __kind, the kind of each operation's function, and __lead, the place of its unit in the order."""
+def facts(table: TableDef, operations: DataFrame, canonical: DataFrame, functions: dict[str, tuple[str, tuple[str, ...]]], schema_version: int, roles: DataFrame | None = None, rule: Callable[[Column], Column] | None = None) -> DataFrame:
+    """operations of a table with what decide() wants to know of them, and kind__, the kind of their function."""
     body = F.coalesce("patch", "value")
     ops = operations.withColumn("__fields", F.coalesce(F.json_object_keys(body), F.array().cast("array<string>")))
     kind, known, allowed = F.lit(None).cast("string"), F.lit(False), F.array().cast("array<string>")
@@ -165,13 +165,18 @@ def judged(table: TableDef, operations: DataFrame, canonical: DataFrame, functio
         .when(F.size(F.array_except(F.array_remove("__fields", scope), allowed) if mine else F.array_except("__fields", allowed)) > 0, "unknownField")
         .when(F.col("__wrong").isNotNull(), F.col("__wrong"))
     )
-    facts = {"__fixed": fixed, "__row": F.col("id"), "__label": F.concat(F.lit(f"{table.name}:"), "id"), "__known": F.col("__i").isNotNull(), "__live": F.coalesce("__alive", F.lit(False)), "__mine": F.lit(mine), "__asked": asked("value"), "__moved": asked("patch")}
+    facts = {"__fixed": fixed, "__row": row_key(F.lit(table.name), F.col("id")), "__label": row_key(F.lit(table.name), F.col("id")), "__known": F.col("__i").isNotNull(), "__live": F.coalesce("__alive", F.lit(False)), "__mine": F.lit(mine), "__asked": asked("value"), "__moved": asked("patch")}
     ops = ops.withColumns(facts).drop("__i", "__alive", "__fields", "__wrong").withColumnRenamed("__kind", "kind__").withColumn("__kind", F.col("kind__"))
     if roles is not None and scope and not mine:
         ops = permissions(cut(ops), roles, rule)
     else:
         ops = ops.withColumn("__may", F.lit(None).cast("map<string,int>"))
-    return decide(ops).withColumnRenamed("kind__", "__kind")
+    return ops
+
+
+def judged(table: TableDef, operations: DataFrame, canonical: DataFrame, functions: dict[str, tuple[str, tuple[str, ...]]], schema_version: int, roles: DataFrame | None = None, rule: Callable[[Column], Column] | None = None) -> DataFrame:
+    """validate() with __kind, the kind of each operation's function, and __lead, the place of its unit in the order."""
+    return decide(facts(table, operations, canonical, functions, schema_version, roles, rule)).withColumnRenamed("kind__", "__kind")
 
 
 def validate(table: TableDef, operations: DataFrame, canonical: DataFrame, functions: dict[str, tuple[str, tuple[str, ...]]], schema_version: int, roles: DataFrame | None = None, rule: Callable[[Column], Column] | None = None) -> DataFrame:

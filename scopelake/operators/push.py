@@ -17,7 +17,8 @@ from ..functions.json import field_kind, json_object, json_value
 from ..functions.sets import set_delta
 from ..plans.catalog import TableDef
 from ..sources.shared import cut, numbered
-from .log import CHANGE_FIELDS, Known, append, judged, replay_or_new, scope_of
+from .decide import decide
+from .log import CHANGE_FIELDS, Known, append, facts, judged, replay_or_new, scope_of
 from .view import _keys, _patched
 
 
@@ -169,6 +170,26 @@ def _forced(table: TableDef, taken: DataFrame, stamps: dict[str, int]) -> DataFr
     return taken.withColumn("value", F.when(F.col("kind") == "insert", _with_fields(table, F.coalesce("value", F.lit("{}")), given)).otherwise(F.col("value"))).drop("__n")
 
 
+def _taken(table: TableDef, checked: DataFrame, canonical: DataFrame, stamps: dict[str, int]) -> DataFrame:
+    """The accepted operations of a table that change something, with plain values and what the server sets."""
+    taken = checked.filter("reject_reason is null and not no_op").withColumns({"kind": F.col("__kind"), "seq": F.struct("__lead", "seq"), "table": F.lit(table.name)})
+    return materialize(table, _forced(table, taken, stamps), canonical)
+
+
+def _made(checked: DataFrame, taken: DataFrame, answered: DataFrame, known: Known, schema_version: int, now: float, scope_key: Column) -> Push:
+    asked = F.last(F.when(F.col("kind") == "insert", F.col("__asked_key")), ignorenulls=True).over(Window.partitionBy("table", "id").orderBy("seq"))
+    rows = scope_of(known, taken.withColumns({"server_time": F.lit(float(now)), "__asked_key": scope_key}).drop("scope_key"))
+    rows = rows.withColumn("scope_key", F.coalesce(asked, "scope_key", "__asked_key")).select("scope_key", "table", "id", "kind", "value", "patch", "server_time", "op_id", "seq", "user_id", "function_name")
+    done = cut(append(known, rows).drop("seq"))
+    change = F.struct(*(F.col(f"`{c}`") for c in _CHANGE)).cast(f"struct<{CHANGE_FIELDS}>")
+    outcome = F.when(F.col("reject_reason").isNull(), "accepted").otherwise("rejected")
+    fresh = checked.select("user_id", "op_id", F.lit(schema_version).alias("schema_version"), outcome.alias("status"), F.col("reject_reason").alias("error"))
+    fresh = fresh.join(done.select("user_id", "op_id", change.alias("change")), ["user_id", "op_id"], "left")
+    answers = answered.select("user_id", "op_id", "outcome", "error").union(fresh.select("user_id", "op_id", "status", "error"))
+    again = answered.filter("change is not null and outcome = 'accepted'").select("change.*")
+    return Push(answers, done.select(*_CHANGE), fresh, again, done)
+
+
 def push(
     table: TableDef, operations: DataFrame, canonical: DataFrame, log: DataFrame | Known, ledger: DataFrame, functions: dict[str, tuple[str, tuple[str, ...]]], schema_version: int, now: float, scope_key: Column,
     roles: DataFrame | None = None, rules: dict[str, Callable[[Column], Column]] | None = None, stamps: dict[str, int] | None = None,
@@ -183,20 +204,40 @@ def push(
     """
     answered, new = replay_or_new(operations, ledger, schema_version)
     checked = cut(judged(table, new, canonical, functions, schema_version, roles, (rules or {}).get(table.name)))
-    taken = checked.filter("reject_reason is null and not no_op").withColumns({"kind": F.col("__kind"), "seq": F.struct("__lead", "seq")})
-    taken = materialize(table, _forced(table, taken, stamps or {}), canonical)
     known = log if isinstance(log, Known) else Known.of(log)
-    asked = F.last(F.when(F.col("kind") == "insert", F.col("__asked_key")), ignorenulls=True).over(Window.partitionBy("id").orderBy("seq"))
-    rows = scope_of(known, taken.withColumns({"table": F.lit(table.name), "server_time": F.lit(float(now)), "__asked_key": scope_key}).drop("scope_key"))
-    rows = rows.withColumn("scope_key", F.coalesce(asked, "scope_key", "__asked_key")).select("scope_key", "table", "id", "kind", "value", "patch", "server_time", "op_id", "seq", "user_id", "function_name")
-    done = cut(append(known, rows).drop("seq"))
-    change = F.struct(*(F.col(f"`{c}`") for c in _CHANGE)).cast(f"struct<{CHANGE_FIELDS}>")
-    outcome = F.when(F.col("reject_reason").isNull(), "accepted").otherwise("rejected")
-    fresh = checked.select("user_id", "op_id", F.lit(schema_version).alias("schema_version"), outcome.alias("status"), F.col("reject_reason").alias("error"))
-    fresh = fresh.join(done.select("user_id", "op_id", change.alias("change")), ["user_id", "op_id"], "left")
-    answers = answered.select("user_id", "op_id", "outcome", "error").union(fresh.select("user_id", "op_id", "status", "error"))
-    again = answered.filter("change is not null and outcome = 'accepted'").select("change.*")
-    return Push(answers, done.select(*_CHANGE), fresh, again, done)
+    return _made(checked, _taken(table, checked, canonical, stamps or {}), answered, known, schema_version, now, scope_key)
+
+
+@dataclass
+class Part:
+    """A table that takes part in a push of several: its rows, and its functions by name."""
+
+    table: TableDef
+    canonical: DataFrame
+    functions: dict[str, tuple[str, tuple[str, ...]]]
+    stamps: dict[str, int] | None = None
+
+
+def push_all(parts: list[Part], operations: DataFrame, log: DataFrame | Known, ledger: DataFrame, schema_version: int, now: float, scope_key: Column, roles: DataFrame | None = None, rules: dict[str, Callable[[Column], Column]] | None = None) -> Push:
+    """push() of operations(table, ...) on several tables, whose groups may hold operations of more than one. An operation
+    on another table is an unknown function."""
+    answered, new = replay_or_new(operations, ledger, schema_version)
+    new = cut(new)
+    known = log if isinstance(log, Known) else Known.of(log)
+    names = [p.table.name for p in parts]
+    sides = [facts(p.table, new.filter(F.col("table") == p.table.name), p.canonical, p.functions, schema_version, roles, (rules or {}).get(p.table.name)) for p in parts]
+    other = TableDef("", T.StructType([]))
+    nothing = new.sparkSession.createDataFrame([], "_id string, _deleted boolean")
+    sides.append(facts(other, new.filter(~F.coalesce(F.col("table").isin(*names), F.lit(False))), nothing, {}, schema_version))
+    every = sides[0]
+    for side in sides[1:]:
+        every = every.unionByName(side)
+    checked = cut(decide(every).withColumnRenamed("kind__", "__kind"))
+    taken = None
+    for p in parts:
+        own = _taken(p.table, checked.filter(F.col("table") == p.table.name), p.canonical, p.stamps or {})
+        taken = own if taken is None else taken.unionByName(own)
+    return _made(checked, taken, answered, known, schema_version, now, scope_key)
 
 
 def written(table: TableDef, canonical: DataFrame, made: Push) -> DataFrame:

@@ -109,7 +109,7 @@ class Manifest:
     """Registered tables, named queries and mutations, under one schema version."""
 
     def __init__(self, schema_version: int, tables: list[TableDef] = ()):
-        self.schema_version, self.tables, self.queries, self.mutations = schema_version, {}, {}, {}
+        self.schema_version, self.tables, self.queries, self.mutations, self.keyed = schema_version, {}, {}, {}, {}
         for t in tables:
             self.add(t)
 
@@ -121,6 +121,12 @@ class Manifest:
     def query(self, name: str, run: Callable[..., DataFrame]) -> None:
         self.queries[name] = run
 
+    def indexed_query(self, name: str, table: str, index: str, key: Callable[[str | None, dict], list]) -> None:
+        """A query by an index whose key is made from the signed-in user and the arguments; key sees nothing else."""
+        if index not in self.tables[table].indexes:
+            raise KeyError(f"{table} has no index {index!r}")
+        self.keyed[name] = (table, index, key)
+
     def mutation(self, name: str, table: str, kind: str, fields: tuple[str, ...] = ()) -> None:
         """A write that may set the given columns."""
         self.mutations[name] = (table, kind, tuple(fields))
@@ -129,7 +135,7 @@ class Manifest:
         if other.schema_version != self.schema_version:
             raise ValueError("modules of different schema versions")
         out = Manifest(self.schema_version, [*self.tables.values(), *other.tables.values()])
-        out.queries, out.mutations = self.queries | other.queries, self.mutations | other.mutations
+        out.queries, out.mutations, out.keyed = self.queries | other.queries, self.mutations | other.mutations, self.keyed | other.keyed
         if not out.tables:
             raise ValueError("no tables found")
         return out

@@ -61,6 +61,43 @@ class Mutation:
         return calls.select("seq", "op_id", "user_id", F.lit(name).alias("function_name"), row.alias("id"), F.lit(self.kind).alias("kind"), (body if self.kind == "insert" else none).alias("value"), (body if self.kind == "patch" else none).alias("patch"))
 
 
+@dataclass(frozen=True)
+class Step:
+    """One operation of a plan: under which mutation, on which row, with which columns (of an insert's row, or of a patch).
+    when: whether a call has this step."""
+
+    mutation: str
+    row_id: Column
+    columns: dict[str, Column] | None = None
+    when: Column | None = None
+
+
+@dataclass(frozen=True)
+class Plan:
+    """A write of several operations: steps makes them from a Call, in order. A call becomes a group, which a push accepts or
+    rejects whole; its members are numbered, and named by the call's op_id and their number. Steps may be of several
+    tables; mutations: the declared writes by name, which say what kind of operation a step is and what it may set."""
+
+    mutations: dict[str, Mutation]
+    steps: Callable[[Call], list[Step]]
+
+    def operations(self, calls: DataFrame) -> DataFrame:
+        """seq, op_id, user_id, function_name, table, id, kind, value, patch, group_id and group_index. seq orders calls and,
+        within a call, its steps."""
+        any_table = next(iter(self.mutations.values())).table
+        made = self.steps(Call(any_table, F.col("args"), F.col("user_id"), F.col("now"), F.col("local_id")))
+        none, parts = F.lit(None).cast("string"), []
+        for step in made:
+            m = self.mutations[step.mutation]
+            if extra := sorted(set(step.columns or ()) - set(m.fields)):
+                raise ValueError(f"{step.mutation} does not set {extra[0]!r}")
+            body = json_object([(n, F.lit(True), json_value(v)) for n, v in (step.columns or {}).items()])
+            part = F.struct(F.lit(step.mutation).alias("function_name"), F.lit(m.table.name).alias("table"), step.row_id.alias("id"), F.lit(m.kind).alias("kind"), (body if m.kind == "insert" else none).alias("value"), (body if m.kind == "patch" else none).alias("patch"))
+            parts.append(F.when(step.when if step.when is not None else F.lit(True), part))
+        each = calls.select("seq", "op_id", "user_id", F.posexplode(F.array_compact(F.array(*parts))).alias("group_index", "o"))
+        return each.select(F.struct("seq", "group_index").alias("seq"), F.concat_ws(":", "op_id", "group_index").alias("op_id"), "user_id", "o.*", F.col("op_id").alias("group_id"), "group_index")
+
+
 def _free(table: TableDef) -> tuple[str, ...]:
     """Columns that a client sets: not those that the server, the owner or the clock stamps."""
     owner = {table.scope.field} if table.scope and table.scope.kind == "byUser" else set()

@@ -271,7 +271,14 @@ class Database:
         return rows.filter(~F.coalesce(F.col("_deleted"), F.lit(False))) if "_deleted" in rows.columns else rows
 
     def call(self, name: str, **args) -> DataFrame:
-        """A registered query; whatever it does, it only sees rows of the user's scope."""
+        """A registered query; whatever it does, it only sees rows of the user's scope. One by an index makes its key itself:
+        without a user there is no key of theirs, and no rows."""
+        if name in self.manifest.keyed:
+            table, index, key = self.manifest.keyed[name]
+            t, rows, made = self.manifest.tables[table], self.frames[table], key(self.user, args)
+            if t.scope and t.scope.kind == "byUser":
+                return server_indexed(t, rows, index, made, self.user) if self.user is not None else rows.limit(0)
+            return indexed(t, rows, index, made, user=self.user)
         held = {n: Query(t).scope(**{t.scope.field: args[t.scope.field]}).matching(self.frames[n], self.user) if t.scope and t.scope.field in args else Query(t).matching(self.frames[n], self.user) for n, t in self.manifest.tables.items() if n in self.frames}
         return self.manifest.queries[name](held, **args)
 
