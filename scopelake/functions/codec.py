@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from .json import json_value
 
 #: The tags. Integers and odd floats are the base64 of eight bytes, the lowest first.
-INTEGER, BYTES, FLOAT, DECIMAL, DATE, TIME = "$integer", "$bytes", "$float", "$decimal", "$date", "$micros"
+INTEGER, BYTES, FLOAT, DECIMAL, DATE, TIME, LOCAL = "$integer", "$bytes", "$float", "$decimal", "$date", "$micros", "$local"
 #: Floats that JSON cannot write, by their eight bytes.
 ODD = {"NaN": "AAAAAAAA+H8=", "Infinity": "AAAAAAAA8H8=", "-Infinity": "AAAAAAAA8P8=", "-0.0": "AAAAAAAAAIA="}
 _FLOATS = (T.FloatType, T.DoubleType)
@@ -41,6 +41,8 @@ def encode(col: Column, dtype: T.DataType) -> Column:
         text = _tagged(DATE, F.unix_date(col).cast("string"))
     elif isinstance(dtype, T.TimestampType):
         text = _tagged(TIME, F.unix_micros(col).cast("string"))
+    elif isinstance(dtype, T.TimestampNTZType):
+        text = _tagged(LOCAL, col.cast("string"))
     elif isinstance(dtype, _FLOATS):
         plain = col.cast("string")
         odd = F.lit(None).cast("string")
@@ -64,7 +66,7 @@ def encode(col: Column, dtype: T.DataType) -> Column:
 
 def _wire(dtype: T.DataType) -> T.DataType:
     """The type that JSON text of a value is read as, tags and all."""
-    tag = {T.LongType: INTEGER, T.BinaryType: BYTES, T.DecimalType: DECIMAL, T.DateType: DATE, T.TimestampType: TIME}.get(type(dtype))
+    tag = {T.LongType: INTEGER, T.BinaryType: BYTES, T.DecimalType: DECIMAL, T.DateType: DATE, T.TimestampType: TIME, T.TimestampNTZType: LOCAL}.get(type(dtype))
     if tag:
         return T.StructType([T.StructField(tag, T.StringType())])
     if isinstance(dtype, _FLOATS):
@@ -89,6 +91,8 @@ def _untagged(x: Column, dtype: T.DataType) -> Column:
         return F.date_from_unix_date(x[DATE].cast("int"))
     if isinstance(dtype, T.TimestampType):
         return F.timestamp_micros(x[TIME].cast("bigint"))
+    if isinstance(dtype, T.TimestampNTZType):
+        return x[LOCAL].cast(dtype)
     if isinstance(dtype, _FLOATS):
         raw = F.get_json_object(x, f"$['{FLOAT}']")
         odd = F.lit(None).cast("string")

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .functions import keys
-from .operators import log, push
+from .functions import codec, keys
+from .operators import attachments, documents, log, push, search, view
 from .plans.catalog import TableDef, by_user, by_workspace
-from .plans.query import schema
-from .queries import _query, _read
+from .plans.mutations import Mutation, Plan, Step, functions
+from .plans.query import Query, schema
+from .queries import _TOKENS_SQL, ORDERS, _orders, _query, _read, _rows, _search_sql
+from .sources import segments
 from .sources.shared import work_path
 from .sources.store import CHANGES, LEDGER, Store
+from .streaming import live
 
 NOTES = TableDef("notes", schema(owner="string", n="bigint"), by_user("owner"), counter_fields=("n",))
 NOTE_FUNCTIONS = {"add": ("insert", ("n",)), "edit": ("patch", ("n",)), "drop": ("delete", ())}
@@ -175,3 +178,134 @@ def log_pruned(spark, sf):
         store.replace_all({f"log#{part}": own, f"heads#{part}": heads})
     store.prune(3000.0)
     return store.log().select("scope_key", F.col("id").cast("bigint").alias("event_id"))
+
+
+def _changed_orders(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Orders before, after and the deltas: a tenth goes, a tenth costs more and has another status, a tenth is new."""
+    o = _orders(spark, sf)
+    moved = F.col("o_orderkey") % 10 == 1
+    after = o.filter("o_orderkey % 10 <> 0").withColumns({"o_totalprice": F.when(moved, F.col("o_totalprice") + 1000).otherwise(F.col("o_totalprice")), "o_orderstatus": F.when(moved, "O").otherwise(F.col("o_orderstatus"))})
+    before = o.filter("o_orderkey % 10 <> 2")
+    return before, after, view.row_deltas(before, after)
+
+
+_AFTER_SQL = "(SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderkey % 10 = 1 THEN o_totalprice + 1000 ELSE o_totalprice END AS price, CASE WHEN o_orderkey % 10 = 1 THEN 'O' ELSE o_orderstatus END AS status FROM orders WHERE o_orderkey % 10 <> 0)"
+
+
+@_query(f"SELECT o_orderkey, price, position FROM (SELECT *, row_number() OVER (ORDER BY price DESC, CAST(o_orderkey AS VARCHAR)) AS position FROM {_AFTER_SQL} WHERE status = 'O') WHERE position <= 50")
+def live_topk(spark, sf):
+    """The dearest orders, kept up to date in ranges of the price: places of orders that went are filled."""
+    before, _, deltas = _changed_orders(spark, sf)
+    held = live.LiveQuery(Store(spark, work_path(spark, "views")), "dear", Query(ORDERS).scope(o_orderstatus="O").order("o_totalprice", "desc").limit(50), range_rows=2000)
+    held.reset(before)
+    held.apply(deltas)
+    return held.result().select("o_orderkey", F.col("o_totalprice").alias("price")).coalesce(1).withColumn("position", F.monotonically_increasing_id() + 1)
+
+
+@_query(f"SELECT o_orderkey, o_orderpriority AS key, row_number() OVER (PARTITION BY o_orderpriority ORDER BY price, CAST(o_orderkey AS VARCHAR)) AS position FROM {_AFTER_SQL} WHERE status = 'F'")
+def live_groups(spark, sf):
+    """Orders by priority, in order of price within each group, after deltas."""
+    before, _, deltas = _changed_orders(spark, sf)
+    held = live.LiveQuery(Store(spark, work_path(spark, "views")), "groups", Query(ORDERS).scope(o_orderstatus="F").group_by("o_orderpriority").order("o_totalprice"), range_rows=2000)
+    held.reset(before)
+    held.apply(deltas)
+    place = F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("o_totalprice", "_id"))
+    return held.result().select("o_orderkey", F.col("o_orderpriority").alias("key"), place.alias("position"))
+
+
+@_query(f"SELECT o_orderpriority AS key, count(*) AS n FROM {_AFTER_SQL} WHERE status = 'O' GROUP BY 1")
+def live_counts(spark, sf):
+    """Counts by priority: a sum of signed contributions, to which the deltas added theirs."""
+    before, _, deltas = _changed_orders(spark, sf)
+    held = live.LiveCounts(Store(spark, work_path(spark, "counts")), "orders", Query(ORDERS).scope(o_orderstatus="O").group_by("o_orderpriority"))
+    held.reset(before)
+    held.apply(deltas)
+    return held.result()
+
+
+def _segmented(spark, sf) -> tuple[Store, DataFrame]:
+    """Postings of all documents, then of an eighth that changed and an eighth that went, each in a segment of its own."""
+    rows = _rows(spark, sf, "documents", "doc_id").select("_id", "doc_id", "text", "source", F.lit(False).alias("_deleted"))
+    store, past = Store(spark, work_path(spark, "segments")), rows.limit(0)
+    for now in (rows, rows.withColumn("text", F.when(F.col("doc_id") % 8 == 1, "license of the changed text").otherwise(F.col("text"))), rows.filter("doc_id % 8 <> 2").withColumn("text", F.when(F.col("doc_id") % 8 == 1, "license of the changed text").otherwise(F.col("text")))):
+        live.reindex(store, _DOCS, view.row_deltas(past, now))
+        past = now
+    return store, past
+
+
+_DOCS = TableDef("documents", schema(doc_id="bigint", text="string", source="string"), search_fields=("text", "source"))
+_SEGMENT_SQL = _search_sql("licens", ["the"]).replace("FROM documents WHERE true", "FROM (SELECT doc_id, source, CASE WHEN doc_id % 8 = 1 THEN 'license of the changed text' ELSE text END AS text FROM documents WHERE doc_id % 8 <> 2)")
+
+
+@_query(_SEGMENT_SQL)
+def search_segments(spark, sf):
+    """A search over three segments: what the latest says of a row holds."""
+    store, rows = _segmented(spark, sf)
+    found = search.search(_DOCS, rows, segments.postings(store, _DOCS), "the licens")
+    return found.select(F.col("id").cast("bigint").alias("doc_id"), F.col("score").cast("long").alias("score"), "total")
+
+
+@_query(f"SELECT doc_id, CAST(count(*) AS BIGINT) AS n_tokens FROM (SELECT DISTINCT doc_id, token FROM (SELECT doc_id, unnest({_TOKENS_SQL.format('text')}) AS token FROM (SELECT doc_id, CASE WHEN doc_id % 8 = 1 THEN 'license of the changed text' ELSE text END AS text FROM documents WHERE doc_id % 8 <> 2) UNION ALL SELECT doc_id, unnest({_TOKENS_SQL.format('source')}) FROM documents WHERE doc_id % 8 <> 2)) GROUP BY doc_id")
+def search_merged(spark, sf):
+    """The same segments after they were merged into one."""
+    store, _ = _segmented(spark, sf)
+    assert segments.merge(store, _DOCS)
+    return segments.postings(store, _DOCS).groupBy(F.col("id").cast("bigint").alias("doc_id")).agg(F.count("*").alias("n_tokens"))
+
+
+@_query("SELECT CAST(user_id AS VARCHAR) AS doc, CAST(event_id AS VARCHAR) AS id, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN big AND event_id % 7 <> 0 THEN 0 ELSE 1 END, lpad(CAST(event_id AS VARCHAR), 12, '0')) AS position FROM (SELECT *, sum(CASE WHEN event_id % 7 <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id) > 5 AS big FROM events)")
+def document_log(spark, sf):
+    """Events as updates of documents by user: those with more than five confirmed ones are put into a snapshot, in the order
+    of their log, and what is not confirmed stays behind it."""
+    e = _read(spark, sf, "events")
+    updates = e.select(F.col("user_id").cast("string").alias("doc"), keys.change_id(F.col("event_id")).alias("id"), F.encode(F.col("event_id").cast("string"), "utf-8").alias("update"), (F.col("event_id") % 7 != 0).alias("confirmed"), F.lit(None).cast("array<string>").alias("covers"))
+    big = updates.filter("confirmed").groupBy("doc").count().filter("count > 5")
+    made = documents.snapshots(updates, big, F.lit("!"))
+    left = documents.prune(updates.unionByName(made.withColumn("confirmed", F.lit(True))))
+    place = F.row_number().over(Window.partitionBy("doc").orderBy("id", "place"))
+    return documents.unfolded(left).select("doc", F.decode("update", "utf-8").alias("id"), place.alias("position"))
+
+
+_FILES = TableDef("files", schema(owner="string", storageId="string"), by_user("owner"))
+
+
+@_query("SELECT event_id, user_id % 5 <> 0 AND event_type <> 'error' AS ok, CASE WHEN user_id % 5 <> 0 AND event_type NOT IN ('error', 'view') THEN 's' || event_id END AS storage_id FROM events")
+def attachments_finalized(spark, sf):
+    """Uploads of files: of others' files, of those that are gone, of those that carry the id already, and of the rest."""
+    e = _read(spark, sf, "events")
+    row, place = F.col("event_id").cast("string"), F.concat(F.lit("s"), "event_id")
+    rows = e.select(row.alias("_id"), F.when(F.col("user_id") % 5 == 0, "other").otherwise(F.col("user_id").cast("string")).alias("owner"), F.when(F.col("event_type") == "view", place).alias("storageId"), F.lit(1).cast("long").alias("_version"), (F.col("event_type") == "error").alias("_deleted"))
+    uploads = e.select(F.col("event_id").alias("seq"), row.alias("id"), place.alias("storage_id"), F.col("user_id").cast("string").alias("user_id"))
+    answers, changes = attachments.finalize(_FILES, "storageId", uploads, rows, spark.createDataFrame([], CHANGES), 1.0, F.lit("w"))
+    written = changes.select("id", F.get_json_object("patch", "$.storageId").alias("storage_id"))
+    return answers.select("id", "ok").join(written, "id", "left").select(F.col("id").cast("bigint").alias("event_id"), "ok", "storage_id")
+
+
+_LISTS = TableDef("lists", schema(owner="string", n="bigint"), by_user("owner"))
+_ITEMS = TableDef("items", schema(owner="string", list="string"), by_user("owner"))
+_WRITES = {"open": Mutation(_LISTS, "insert", ("n",)), "grow": Mutation(_LISTS, "patch", ("n",)), "put": Mutation(_ITEMS, "insert", ("list",))}
+
+
+@_query("SELECT event_id, k AS group_index, CASE WHEN event_type = 'error' THEN 'groupRejected: Cannot patch lists:none' END AS error FROM events, (SELECT unnest([0, 1, 2]) AS k) WHERE k < 2 OR event_type IN ('error', 'click')")
+def plan_groups(spark, sf):
+    """Calls that open a list, put an item into it and, some of them, grow a list: of two tables, accepted or rejected whole."""
+
+    def steps(c):
+        kind = c.arg("kind")
+        return [Step("open", c.local_id, {"n": F.lit(1)}), Step("put", F.concat(c.local_id, F.lit("/0")), {"list": c.local_id}), Step("grow", F.when(kind == "error", "none").otherwise(c.local_id), {"n": F.lit(2)}, when=kind.isin("error", "click"))]
+
+    calls = _read(spark, sf, "events").select(F.col("event_id").alias("seq"), F.col("event_id").cast("string").alias("op_id"), F.lit("u").alias("user_id"), F.concat(F.lit("l"), "event_id").alias("local_id"), F.to_json(F.struct(F.col("event_type").alias("kind"))).alias("args"), F.lit(1.0).alias("now"))
+    ops = Plan(_WRITES, steps).operations(calls).withColumn("schema_version", F.lit(1))
+    of = lambda t: {n: f for n, f in functions(_WRITES).items() if _WRITES[n].table is t}
+    parts = [push.Part(t, _no_rows(spark, t), of(t)) for t in (_LISTS, _ITEMS)]
+    made = push.push_all(parts, ops, spark.createDataFrame([], CHANGES), spark.createDataFrame([], LEDGER), 1, 5.0, F.concat(F.lit("u:"), "user_id"))
+    name = F.split("op_id", ":")
+    return made.answers.select(name[0].cast("bigint").alias("event_id"), name[1].cast("int").alias("group_index"), "error")
+
+
+@_query("SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_shipdate, md5(l_comment) AS digest FROM (SELECT *, l_returnflag || l_linestatus AS l_comment FROM lineitem)")
+def lossless_values(spark, sf):
+    """Rows to text and back: integers, floats, times and bytes are what they were."""
+    rows = _read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_shipdate", F.encode(F.concat("l_returnflag", "l_linestatus"), "utf-8").alias("raw"))
+    back = codec.decode_rows(codec.encode_rows(rows), rows.schema)
+    return back.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_shipdate", F.md5("raw").alias("digest"))

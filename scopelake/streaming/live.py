@@ -72,8 +72,7 @@ def serve(operations: DataFrame, store: Store, table: TableDef, functions: dict[
 
 def reindex(store: Store, table: TableDef, deltas: DataFrame) -> None:
     """Search postings after deltas(_id, kind, row): a segment of their own, and no other is written. Many are merged."""
-    rows = [f for f in store.row_schema(table).fields if f.name not in ("_id", "_deleted")]
-    now = deltas.filter("kind = 'upsert'").select("_id", *(F.col("row")[f.name].alias(f.name) for f in rows))
+    now = deltas.filter("kind = 'upsert'").select("_id", *(F.col("row")[f].alias(f) for f in table.search_fields))
     add_segment(store, table, index(table, now), deltas.select(F.col("_id").alias("id")))
 
 

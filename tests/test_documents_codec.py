@@ -20,7 +20,7 @@ from scopelake.sources.store import CHANGES, LEDGER, Store
 
 
 def test_codec_round_trip(spark):
-    shape = "a bigint, b binary, c double, d float, e string, f boolean, g int, h decimal(20,4), i date, j timestamp, k array<bigint>, l struct<x:binary,y:array<double>>, m map<string,bigint>"
+    shape = "a bigint, b binary, c double, d float, e string, f boolean, g int, h decimal(20,4), i date, j timestamp, k array<bigint>, l struct<x:binary,y:array<double>>, m map<string,bigint>, n timestamp_ntz"
     rng = random.Random(4)
     odd = [math.nan, math.inf, -math.inf, -0.0, 0.0, 1e308, 5e-324, 0.1, 3.0]
     def one():
@@ -29,7 +29,7 @@ def test_codec_round_trip(spark):
         raw = lambda: bytearray(rng.randbytes(rng.choice([0, 1, 3, 100])))
         return (
             maybe(number()), maybe(raw()), maybe(rng.choice(odd)), maybe(rng.choice([math.nan, math.inf, 0.5, -0.0])), maybe(rng.choice(['q"uo\\te', "é\n ", "", "{", '{"$integer":"x"}'])), maybe(True), maybe(-5), maybe(Decimal("1234567890123456.7891")),
-            maybe(dt.date(1969, 12, 30)), maybe(dt.datetime(2024, 5, 1, 12, 0, 0, 123456)), maybe([number(), None]), maybe((raw(), [rng.choice(odd), None])), maybe({"a b": number(), '"': None}),
+            maybe(dt.date(1969, 12, 30)), maybe(dt.datetime(2024, 5, 1, 12, 0, 0, 123456)), maybe([number(), None]), maybe((raw(), [rng.choice(odd), None])), maybe({"a b": number(), '"': None}), maybe(dt.datetime(2024, 3, 31, 2, 30, 0, 7)),
         )
 
     df = spark.createDataFrame([one() for _ in range(300)], shape)
