@@ -29,40 +29,44 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-#: Labelled URLs: hosts with paths of each kind, written by hand.
+#: Labelled URLs: hosts with paths of each kind, written by hand and made up; what hosts of a web archive are like is not known here.
 LABELLED = {
     "block": """
-        ads.example.com/track ad-tracker.example.org/px adserver.example.net/click ads-network.example.com/en/banner
-        track-ads.example.org/de/1 pop-ads.example.net/fr/2 clicktrack.example.com/go banner-ads.example.org/en/44
-        free-bets.example.org/en/1 betting-odds.example.com/de/7 bets-online.example.net/en/sports bet-bonus.example.org/es/3
-        casino.example.com/play online-casino.example.net/en/slots casino-bonus.example.org/fr/5 win-casino.example.com/de/12
-        poker-win.example.net/en/9 jackpot-slots.example.org/es/8 roulette-win.example.com/en/3 lottery-winner.example.net/fr/6
-        pills.example.com/buy cheap-meds.example.org/en/viagra pharmacy-pills.example.net/de/21 diet-pills.example.com/fr/2
-        cheap-viagra.example.org/en/4 cialis-cheap.example.com/es/9 no-prescription-pills.example.net/en/77 cheap-replica.example.org/en/5
-        adult.example.com/en/1 adult-chat.example.net/fr/3 xxx-videos.example.org/en/2 adult-xxx.example.com/de/4
-        porn-tube.example.net/en/11 sexcam.example.org/es/5 hot-adult.example.com/en/6 escort-girls.example.net/fr/8
-        spam.example.com/en/1 spam-links.example.org/de/2 link-farm.example.net/en/3 spamfarm.example.com/fr/4
-        seo-farm.example.org/en/5 linkfarm.example.net/es/6 content-farm.example.com/en/7 spam-blog.example.org/en/8
-        free-download-crack.example.net/en/keygen warez.example.com/en/1 torrent-crack.example.org/de/2 serial-keygen.example.net/fr/3
-        payday-loan.example.com/en/1 fast-cash-loans.example.org/en/2 crypto-giveaway.example.net/en/3 free-money.example.com/es/4
-        malware.example.net/en/run phishing-login.example.org/en/verify fake-bank.example.com/de/login free-iphone.example.net/en/win
+        www.mediabuy-ads.com/track ad-tracker.metrics.io/px adserver.clickgate.net/click m.promo-ads.biz/en/banner banner-ads.delivery.org/en/44
+        track-ads.affiliate.info/de/1 popup-ads.gateway.net/fr/2 clicktrack.redirector.com/go adclick.syndicate.co/out.html ad-exchange.bidder.net/rtb
+        www.free-bets.sports-win.org/en/1 betting-odds.live-scores.com/de/7 bets-online.bookie.net/en/sports blog.bet-bonus.club/es/3 bigbet24.com/en/odds
+        casino.luckyspin.com/play www.online-casino.royal.net/en/slots m.casino-bonus.vegas.org/fr/5 win-casino.jackpot.club/de/12 mega-slots.casino/es/spins
+        poker-win.tables.net/en/9 jackpot-slots.fortune.org/es/8 roulette-win.red.com/en/3 lottery-winner.prize.info/fr/6 live-dealer-casino.bet/en/join
+        pills.discount-rx.com/buy www.cheap-meds.org/en/viagra pharmacy-pills.online.net/de/21 blog.diet-pills.biz/fr/2 miracle-slimming.shop/en/order
+        cheap-viagra.store.org/en/4 cialis-cheap.express.com/es/9 no-prescription-pills.net/en/77 cheap-replica-watches.biz/en/5 rolex-replica.store/fr/sale
+        adult.cams-live.com/en/1 m.adult-chat.net/fr/3 www.xxx-videos.org/en/2 adult-xxx.zone/de/4 nude-cams.online/en/show
+        porn-tube.videos.net/en/11 sexcam.girls.org/es/5 hot-adult.clips.com/en/6 escort-girls.city.net/fr/8 free-porn.sex/de/watch
+        spam.bulkmail.com/en/1 www.spam-links.org/de/2 link-farm.seo.net/en/3 backlinks-cheap.biz/fr/4 buy-backlinks.rank.info/en/packages
+        www.seo-farm.org/en/5 linkfarm.pagerank.net/es/6 buy-followers.social.biz/en/7 blog.spam-post.org/en/8 cheap-traffic.clicks.top/de/buy
+        free-download-crack.soft.net/en/keygen warez.full-version.com/en/1 torrent-crack.games.org/de/2 serial-keygen.apps.net/fr/3 cracked-software.top/es/patch
+        www.payday-loan.com/en/1 fast-cash-loans.credit.org/en/2 crypto-giveaway.wallet.net/en/3 free-money.claim.com/es/4 double-your-bitcoin.win/en/now
+        malware.update-now.net/en/run phishing-login.secure.org/en/verify fake-bank.account.com/de/login free-iphone.winner.net/en/win your-prize-claim.click/fr/gift
     """,
     "allow": """
-        www.example.com/ en.example.org/wiki/History docs.example.org/en/guide news.example.com/en/2024/story blog.example.net/en/31
-        www.theriver.example.org/en/476 blog.thornton.example.com/de/12 m.thethings.example.net/fr/50 library.example.org/es/12044
-        museum.example.org/de/55 www.university.example.net/en/research science.example.com/en/nature weather.example.org/fr/7
-        recipes.example.com/en/soup garden.example.net/de/flowers travel.example.org/es/spain music.example.com/fr/8
-        thehouse.example.com/en/3665 www.tiontest.example.org/en/9788 blog.interest.example.net/en/21852 m.station.example.org/de/44816
-        nationthe.example.com/fr/12502 ththe.example.net/es/24149 blog.thesh.example.org/en/3628 www.thing.example.com/en/5082
-        therly.example.net/de/50884 m.there.example.org/en/25616 ondor.example.com/en/21410 blog.erand.example.net/de/29942
-        thand.example.org/en/38740 www.ofthe.example.com/fr/1066 m.inthat.example.net/en/18815 blog.ention.example.org/es/35334
-        theble.example.com/en/7867 thewh.example.net/fr/46174 www.reston.example.org/de/495 edition.example.com/en/51
-        city.example.org/en/council parks.example.net/en/maps school.example.com/de/class theatre.example.org/fr/plays
-        books.example.com/en/review history.example.net/es/roma math.example.org/en/algebra open-source.example.net/en/code
-        python-docs.example.org/en/tutorial health-advice.example.com/en/sleep sports-news.example.net/en/final local-paper.example.org/de/1
-        photo-archive.example.com/fr/2 job-board.example.net/en/3 film-review.example.org/es/4 data-portal.example.com/en/5
-        example.net/about example.org/contact example.com/en/terms shop.example.com/en/shoes m.handmade.example.net/de/9
-        forum.example.org/en/topic/1 blog.thandor.example.com/en/2 www.thation.example.net/en/3 m.thering.example.org/en/4
+        www.riverside-library.org/catalog/12044 en.encyclopedia.org/wiki/History docs.buildtools.dev/en/guide news.herald-tribune.com/en/2024/story blog.gardenpath.net/en/31
+        www.state-university.edu/en/research science.magazine.com/en/nature weather.office.gov/fr/7 museum.modern-art.org/de/55 library.cityhall.gov/es/12044
+        recipes.homecooking.com/en/soup garden.flowers.net/de/roses travel.lonely-road.org/es/spain music.orchestra.com/fr/8 kitchen.bread-and-salt.net/en/rye
+        city.council.gov/en/minutes parks.national.gov/en/maps school.primary.edu/de/class theatre.playhouse.org/fr/plays county.records.us/en/deeds
+        books.reviewer.com/en/review history.ancient.net/es/roma math.lectures.edu/en/algebra opensource.code.org/en/projects philosophy.institute.edu/de/kant
+        python.documentation.org/en/tutorial health.clinic-advice.org/en/sleep sports.daily-news.com/en/final local-paper.press.org/de/1 hospital.regional.org/fr/visits
+        photo.archive.com/fr/2 jobs.board.net/en/3 film.review-weekly.org/es/4 data.portal.gov/en/5 statistics.bureau.eu/de/population
+        www.company-home.com/about ngo-relief.org/contact legal.terms.com/en/terms shop.shoemaker.com/en/shoes handmade.pottery.net/de/9
+        forum.motorcycles.org/en/topic/1 blog.stonemason.com/en/2 www.mountain-club.net/en/3 m.railway-times.org/en/4 birdwatch.society.uk/en/species
+        www.johnson-family.name/en/tree blog.anne-writes.com/de/12 m.northern-lights.net/fr/50 www.harbor.org/en/476 chess.federation.org/es/games
+        astronomy.observatory.edu/en/873 www.vineyard.fr/fr/1600 geology.survey.gov/en/4062 linguistics.dept.edu/en/5130 opera.house.at/de/214
+        www.carpenter.co.uk/en/7130 village.news.ie/en/836 translation.bureau.eu/de/7989 knitting.patterns.net/en/6593 www.lighthouse.org/es/9659
+        cycling.routes.org/fr/4081 the-bakery.com/fr/3603 aquarium.bay.org/en/1299 www.poetry-review.com/en/2043 marathon.training.net/de/7492
+        orchard.fruit.org/de/6886 physics.papers.org/en/3315 wiki.homelab.net/de/2143 www.old-maps.org/en/9230 m.ferry-timetable.com/de/1529
+        choir.parish.org/en/6884 documentary.channel.net/en/8105 embroidery.guild.org/fr/5446 www.coastguard.gov/en/9991 blog.fisherman.net/de/7176
+        tide-tables.com/en/8 antiques.market.net/en/31 surveyor.office.org/fr/7 windmill.museum.net/de/90 harvest.almanac.com/en/12
+        dentist.family-care.com/en/visit letters.editor.org/en/4 stamps.collector.net/en/77 gallery.ceramics.org/en/21 tram.timetable.net/fr/9
+        hiking.trails.com/en/5 quilts.heritage.org/en/64 notary.office.net/es/33 ballet.company.com/fr/41 plumber.services.net/en/18
+        archive.newspaper.net/de/953 firebrigade.town.org/en/3798 mobile.bus-lines.net/en/5756 tailor.mainstreet.com/en/8157 www.brewery.de/de/8652
     """,
 }
 

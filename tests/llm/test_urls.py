@@ -1,5 +1,8 @@
 import re
 
+import numpy as np
+from pyspark.ml.feature import HashingTF
+
 from scopelake.llm import urls
 
 
@@ -43,6 +46,33 @@ def test_model_learns_and_holds_out(spark):
     assert all((r.score >= 0.5) == (r.label == 1) for r in urls.fit(rows).score(urls.with_parts(unseen)).collect())
 
 
+def plain_grams(host, path):
+    return [mark + whole[i : i + n] for mark, whole in (("h", f"^{host}$"), ("p", f"^{path}$")) for n in urls.NGRAMS for i in range(len(whole) - n + 1)]
+
+
+def test_scores_against_a_plain_regression(spark):
+    """Features and scores computed plainly, and the fitted weights are where the penalised loss is flat."""
+    tf = HashingTF(numFeatures=urls.BUCKETS, binary=True)
+    rows = [(r.url, r.label) for r in urls.labelled_urls(spark).collect()]
+    model = urls.fit(urls.labelled_urls(spark))
+    weights, bias = model.stages.stages[1].coefficients.toArray(), model.stages.stages[1].intercept
+
+    def features(url):
+        host, path, _ = brute(url)
+        x = np.zeros(urls.BUCKETS)
+        x[[tf.indexOf(g) for g in plain_grams(host, path)]] = 1
+        return x
+
+    some = [(i, u) for i, u in enumerate([u for u, _ in rows[:20]] + ["http://m.unseen.example.org/en/7", None, "x"])]
+    got = {r.page_id: r.score for r in urls.judge(spark.createDataFrame(some, "page_id long, url string"), model).collect()}
+    for i, u in some:
+        assert abs(got[i] - 1 / (1 + np.exp(-(features(u) @ weights + bias)))) < 1e-9, u
+    x, y = np.array([features(u) for u, _ in rows]), np.array([label for _, label in rows])
+    p = 1 / (1 + np.exp(-(x @ weights + bias)))
+    slope = x.T @ (p - y) / len(y) + 1e-2 * weights
+    assert np.abs(slope).max() < 1e-3 and abs((p - y).mean()) < 1e-3
+
+
 def test_empty(spark):
     model = urls.fit(urls.labelled_urls(spark))
     assert urls.judge(spark.createDataFrame([], "page_id long, url string"), model).count() == 0
