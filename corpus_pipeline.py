@@ -3,6 +3,13 @@ weights, and what is left is encoded.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet in the shared folder and reads
 it again as the docs of the next, so a lost executor never costs more than the stage at work.
+
+Edge cases, as the stages have them: a null text counts as empty; it is scored and mixed like any text, all empty texts are
+copies of each other, and one is encoded to no ids. Rows without an id are scored, and stay where their group has no
+other; rows repeated under one id are copies. Documents that no label names are scored all the same; without labels of
+both classes nothing is toxic, and without quality labels documents are mixed by equal posteriors. Very long texts are
+whole everywhere. An empty table runs through to an empty result. Further columns are kept up to the last stage, which
+returns doc_id, lang and source with the ids.
 """
 
 from __future__ import annotations

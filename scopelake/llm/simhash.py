@@ -174,7 +174,8 @@ def near_duplicates(docs: DataFrame, distance: int = 2, shingle: int = 3, text:
 
 def kept(docs: DataFrame, distance: int = 2, shingle: int = 3, text: str = "text", id_col: str = "doc_id", bucket: int = BUCKET) -> DataFrame:
     """docs with one row of each group: of the smallest id (a row without an id stays only where its group has none), of
-    rows of that id the one whose text has the smallest hash, and any one of rows that are equal in both.
+    rows of that id the one whose text has the smallest hash, and any one of rows that are equal in both. Ids may be of any
+    type that sorts.
 
     The hash, not the text, is what is compared: rows are told apart by id and hash.
     """
@@ -186,8 +187,8 @@ def kept(docs: DataFrame, distance: int = 2, shingle: int = 3, text: str = "text
     firsts = cut(fps.groupBy("fp").agg(F.min(order).alias("first")))
     group = firsts.join(_components(firsts.select("fp"), distance, bucket), "fp").groupBy("component").agg(F.min("first").alias("first"))
     keys = ["__none", "__id", "__h"]
-    stay = group.select(F.col("first.none").alias("__none"), F.coalesce("first.id", F.lit(0)).alias("__id"), F.col("first.h").alias("__h"))
+    stay = group.select(F.col("first.none").alias("__none"), F.coalesce(F.col("first.id").cast("string"), F.lit("")).alias("__id"), F.col("first.h").alias("__h"))
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    found = docs.select(F.col(id_col).isNull().alias("__none"), F.coalesce(F.col(id_col), F.lit(0)).alias("__id"), hashed.alias("__h"), whole.alias("__row")).join(stay, keys)
+    found = docs.select(F.col(id_col).isNull().alias("__none"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("__id"), hashed.alias("__h"), whole.alias("__row")).join(stay, keys)
     # Rows that are equal in id and text: the join has brought them together.
     return found.groupBy(*keys).agg(F.first("__row").alias("__row")).select("__row.*")

@@ -50,3 +50,10 @@ def test_stages_keep_the_columns(spark, folder):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(50), base).columns == docs.columns
     assert toxicity.without_toxic(docs.limit(0), spark.read.parquet(f"{base}/labels.parquet")).count() == 0
+
+
+def test_an_empty_table_runs_through(spark, tmp_path):
+    base = str(tmp_path)
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{base}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{base}/labels.parquet")
+    assert corpus_pipeline.run(spark, base).collect() == []

@@ -104,3 +104,9 @@ def test_split_buckets_lose_nothing(spark):
     want = brute_components(fps)
     assert groups(spark, fps) == want
     assert groups(spark, fps, bucket=60) == want
+
+
+def test_kept_takes_any_id(spark):
+    rows = [("b", "one two three four five"), ("a", "one two three four five"), (None, "one two three four five"), (None, "other words altogether here"), ("c", "")]
+    got = simhash.kept(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted((r.doc_id or "-", r.text) for r in got) == [("-", "other words altogether here"), ("a", "one two three four five"), ("c", "")]
