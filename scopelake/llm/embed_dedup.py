@@ -7,8 +7,9 @@ reach the count that such pairs miss with probability MISS at most; closer pairs
 
 Distribution: equal vectors of a label are one representative with a weight. A label of at most BLOCK representatives is
 one group. Larger labels are dealt to groups in several tables: a table's group is named by the cells, CELL wide, that a
-few more random projections of a vector fall in. The number of projections follows the logarithm of the largest label, so
-groups of unrelated vectors stay about BLOCK rows, and the number of tables is the least for which a pair at the threshold
+few more random projections of a vector fall in. The number of projections follows the logarithm of the largest label and how
+alike its vectors are on the whole (embeddings of a model share a direction), so groups of unrelated vectors stay about
+BLOCK rows, and the number of tables is the least for which a pair at the threshold
 shares no group with probability MISS at most; so rows shuffled grow nearly in proportion to the input, not with the
 square of a label. A pair is counted in the first table that brings it together. A group that is larger all the same
 (copies with noise) is split, and its parts are compared with each other: such a group's pairs mostly are links, which
@@ -108,9 +109,12 @@ class Tables:
     offsets: np.ndarray
 
     @classmethod
-    def plan(cls, dim: int, largest: int, block: int, cosine: float, miss: float = MISS) -> Tables:
-        """Width 0 and one table if the largest label fits a block: then its label names the group."""
-        width = max(0, math.ceil(math.log(largest / block) / -math.log(same_cell(math.sqrt(2))))) if largest > block else 0
+    def plan(cls, dim: int, largest: int, block: int, cosine: float, miss: float = MISS, likeness: float = 0.0) -> Tables:
+        """Width 0 and one table if the largest label fits a block: then its label names the group. likeness: the mean cosine
+        of unrelated vectors; the nearer they are to each other, the more projections it takes to tell them apart."""
+        near = math.sqrt(max(0.0, 2 - 2 * cosine))
+        apart = max(math.sqrt(2 - 2 * min(1.0, likeness)), 1.05 * near)
+        width = max(0, math.ceil(math.log(largest / block) / -math.log(same_cell(apart)))) if largest > block else 0
         together = same_cell(math.sqrt(max(0.0, 2 - 2 * cosine))) ** width
         count = 1 if together >= 1 else math.ceil(math.log(miss) / math.log(1 - together))
         return cls(count, width, gaussian(dim, count * width, seed=17), np.random.default_rng(18).uniform(0, CELL, count * width))
@@ -136,6 +140,23 @@ def _units(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
+def likeness(reps: DataFrame, dim: int, block: int) -> float:
+    """The greatest mean cosine of two vectors of a label of more than `block`: the squared length of its mean unit vector,
+    from sums of every vector of reps(label, v). 0 if the directions of a label cancel out."""
+
+    def sums(frames):
+        for f in frames:
+            units = _units(_matrix(f["v"], dim))
+            for label, at in f.groupby("label").indices.items():
+                yield pd.DataFrame({"label": [label], "n": [len(at)], "s": [units[at].sum(0)]})
+
+    label = reps.schema["label"].dataType.simpleString()
+    parts = reps.select("label", "v").mapInPandas(sums, f"label {label}, n bigint, s array<double>")
+    whole = parts.select("label", "n", F.posexplode("s").alias("at", "x")).groupBy("label", "at").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
+    means = whole.groupBy("label").agg(F.max("n").alias("n"), F.sum((F.col("x") / F.col("n")) ** 2).alias("c")).filter(F.col("n") > block)
+    return means.agg(F.coalesce(F.max("c"), F.lit(0.0))).first()[0]
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = 0.93, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of vectors(vec_id, embedding, label)."""
     kind = vectors.schema["embedding"].dataType.simpleString()
@@ -147,7 +168,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, block: int = BLOCK
     # Representatives get a number of their own; the checkpoint fixes it.
     reps = cut(live.groupBy("label", "v").agg(F.min("vec_id").alias("low"), F.count("*").alias("weight")).withColumn("rep", F.monotonically_increasing_id()))
     largest = reps.groupBy("label").count().agg(F.max("count")).first()[0]
-    tables, directions = Tables.plan(dim, largest, block, cosine), gaussian(dim, PROJECTIONS, seed=11)
+    alike = likeness(reps, dim, block) if largest > block else 0.0
+    tables, directions = Tables.plan(dim, largest, block, cosine, likeness=alike), gaussian(dim, PROJECTIONS, seed=11)
 
     def name(frames):
         for f in frames:

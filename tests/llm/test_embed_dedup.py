@@ -102,3 +102,39 @@ def test_planted_links_in_the_tables(spark):
     for block in (8192, 20):
         got = {x.vec_id: x.n_links for x in E.near_duplicates(df, block=block).collect()}
         assert got.keys() == want.keys() and sum(got[k] == want[k] for k in want) >= 0.99 * len(want) and sum(got.values()) >= 0.99 * sum(want.values())
+
+
+def shared_direction(n, dim=64, seed=6, cosine=0.5):
+    """Unit vectors that share a direction, so that two of them have this cosine on average, and near copies of the first 50."""
+    r = np.random.default_rng(seed)
+    x = r.standard_normal((n, dim))
+    x[:, 0] = 0
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x = np.sqrt(1 - cosine) * x
+    x[:, 0] = np.sqrt(cosine)
+    noise = r.standard_normal((50, dim))
+    return np.concatenate([x, x[:50] + 0.25 * noise / np.linalg.norm(noise, axis=1)[:, None]])
+
+
+def test_vectors_that_share_a_direction(spark):
+    """Their likeness is found, groups stay small, rows dealt grow about as the input, and planted links are all there."""
+    dealt = []
+    for n in (2000, 10_000):
+        x = shared_direction(n)
+        reps = spark.createDataFrame([("a", [float(c) for c in v]) for v in x], "label string, v array<double>")
+        alike = E.likeness(reps, 64, 100)
+        assert abs(alike - 0.5) < 0.03 and E.likeness(reps, 64, 1 << 20) == 0
+        tables = E.Tables.plan(64, len(x), 400, 0.93, likeness=alike)
+        codes = tables.groups(x)
+        sizes = np.concatenate([np.unique(c, return_counts=True)[1] for c in codes.T])
+        plain = E.Tables.plan(64, len(x), 400, 0.93)
+        worst = max(np.unique(c, return_counts=True)[1].max() for c in plain.groups(x).T)
+        assert (sizes**2).sum() / sizes.sum() < 1200 and sizes.max() < worst
+        dealt.append(sizes[sizes > 1].sum())
+    assert dealt[1] / dealt[0] < 5**1.5
+    x = shared_direction(2000)
+    df = spark.createDataFrame([(i, [float(c) for c in v], 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    want = (u @ u.T >= 0.93).sum(1) - 1
+    got = {r.vec_id: r.n_links for r in E.near_duplicates(df, block=400).collect()}
+    assert want.sum() >= 100 and sum(got[i] == want[i] for i in range(len(x))) >= 0.999 * len(x)
