@@ -78,6 +78,27 @@ def rebalance(count: int) -> list[str]:
     return out
 
 
+def rank_at(position: int, count: int) -> str:
+    """rebalance(count)[position], by the halves that lead there alone."""
+    a, b, low, high = 0, count, None, None
+    while True:
+        mid = (a + b) // 2
+        rank = between(low, high)
+        if mid == position:
+            return rank
+        a, b, low, high = (a, mid, low, rank) if position < mid else (mid + 1, b, rank, high)
+
+
+def rebalanced_column(position: Column, count: Column) -> Column:
+    """rank_at() of two columns: new ranks of lists of any length, each row by itself."""
+
+    @F.pandas_udf("string")
+    def run(at: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([rank_at(int(i), int(k)) for i, k in zip(at, n)], dtype=object)
+
+    return run(position, count)
+
+
 def is_valid_rank_column(col: Column) -> Column:
     return F.coalesce(col.rlike(r"\A[0-9A-Za-z]*[1-9A-Za-z]\z"), F.lit(False))
 

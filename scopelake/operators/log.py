@@ -246,8 +246,8 @@ def bootstrap(log: DataFrame, versions: DataFrame, scope: str, limit: int, after
     read and is handed back for the others; after the last page has_more says whether the log went on meanwhile."""
     last = log.filter(F.col("scope_key") == scope).agg(F.max("change_id")).first()[0] or EMPTY_CURSOR
     end_cursor = end_cursor or last
-    rest = snapshot_page(versions, scope, after, limit + 1).count()
-    return snapshot_page(versions, scope, after, limit), end_cursor, rest > limit or last > end_cursor
+    found = cut(snapshot_page(versions, scope, after, limit + 1))  # read once: the page and whether more follows are of one state
+    return found.orderBy("row_key").limit(max(0, limit)), end_cursor, found.count() > limit or last > end_cursor
 
 
 def scope_states(cursors: DataFrame, roles: DataFrame, operations: DataFrame) -> DataFrame:

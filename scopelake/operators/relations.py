@@ -47,6 +47,24 @@ def attach(base: DataFrame, name: str, relation: Relation, target: DataFrame, th
     return _attach(base, name, found.select("__k", F.transform("__s", lambda x: x["__r"]).alias("__rel")), F.col("_id"), "__k", True)
 
 
+def flat(base: DataFrame, relation: Relation, target: DataFrame, through: DataFrame | None = None) -> DataFrame:
+    """One row for each related row: _base, the id of the base row, `place`, by which the related rows of a base row sort (with
+    _id), and the target's columns. For keys with any number of related rows: nothing is collected, and a hot key is left
+    to Spark's skew joins."""
+    if relation.kind == "one":
+        links = base.select(F.col("_id").alias("_base"), F.col(f"`{relation.fk}`").alias("__t"), F.lit(0).cast("string").alias("place"))
+    elif relation.kind == "many":
+        found = target.withColumn("place", F.col(tie(target)).cast("string")) if tie(target) == "_id" else target.withColumn("place", F.format_string("%019d", F.col("_seq")))
+        return found.join(base.select(F.col("_id").alias("_base")), F.col(f"`{relation.fk}`") == F.col("_base"))
+    elif relation.kind == "many_to_many":
+        at = F.col(tie(through))
+        links = through.groupBy(F.col(f"`{relation.local_key}`").alias("_base"), F.col(f"`{relation.target_key}`").alias("__t")).agg(F.min(F.format_string("%019d", at) if tie(through) == "_seq" else at).cast("string").alias("place"))
+        links = links.join(base.select(F.col("_id").alias("_base")), "_base", "left_semi")
+    else:
+        links = base.select(F.col("_id").alias("_base"), F.posexplode(F.col(f"`{relation.fk}`")).alias("__p", "__t")).withColumn("place", F.format_string("%019d", F.col("__p").cast("long"))).drop("__p")
+    return links.join(target, F.col("__t") == F.col("_id")).drop("__t")
+
+
 def members_only(df: DataFrame, scope_column: str, membership: DataFrame, user: str) -> DataFrame:
     """Rows of scopes in which the user has a role; membership(user_id, scope_value, role)."""
     mine = membership.filter((F.col("user_id") == user) & F.col("role").isNotNull()).select("scope_value")

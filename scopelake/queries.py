@@ -348,4 +348,4 @@ def op_history(spark, sf):
 
 
 from . import queries_sync  # noqa: E402, F401  registers its queries here
-from . import queries_server  # noqa: E402, F401, I001  these too
+from . import queries_more, queries_server  # noqa: E402, F401, I001  these too

@@ -78,3 +78,8 @@ def test_ranks(spark):
 def test_keys(spark):
     row = spark.range(1).select(keys.change_id(F.lit(7)).alias("c"), keys.scope_key("byUser", F.lit("me")).alias("u"), keys.scope_value(F.lit("byWorkspace:a:b")).alias("v"), keys.scope_kind(F.lit("byWorkspace:a:b")).alias("k"), keys.row_key(F.lit("t"), F.lit("i")).alias("r")).first()
     assert tuple(row) == ("000000000007", "u:me", "a:b", "byWorkspace", "t:i")
+
+
+def test_ranks_by_position():
+    for n in (1, 2, 7, 100):
+        assert [ranks.rank_at(i, n) for i in range(n)] == ranks.rebalance(n)
