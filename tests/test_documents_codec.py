@@ -57,10 +57,16 @@ def test_document_log(spark):
     df = spark.createDataFrame(rows + rng.sample(rows, 20), UPDATES)
     want = lambda d: [content[d, i] for dd, i in sorted(content) if dd == d]
     key = lambda df: sorted(map(tuple, df.collect()))
-    read = lambda df: {d: [bytes(r.update) for r in documents.unfolded(df).filter(F.col("doc") == d).orderBy("id", "place").collect()] for d in ("d0", "d1", "d2", "d3")}
+
+    def read(df):
+        out = {d: [] for d in ("d0", "d1", "d2", "d3")}
+        for r in sorted(documents.unfolded(df).collect(), key=lambda r: (r.doc, r.id, r.place)):
+            out[r.doc].append(bytes(r.update))
+        return out
+
     assert read(df) == {d: want(d) for d in ("d0", "d1", "d2", "d3")}
     docs = spark.createDataFrame([("d0",), ("d1",)], "doc string")
-    made = documents.snapshots(df, docs, F.concat(F.lit("~"), F.md5(F.concat_ws(",", "covers"))))
+    made = documents.snapshots(df, docs, F.concat(F.lit("~"), F.md5(F.concat_ws(",", "covers")))).persist()
     crashed = df.unionByName(made)  # not confirmed: nothing goes
     assert documents.prune(crashed).count() == crashed.count()
     confirmed = df.unionByName(made.withColumn("confirmed", F.lit(True)))
@@ -68,14 +74,15 @@ def test_document_log(spark):
     for state in (later, documents.prune(later)):
         got = read(state)
         assert all(sorted(got[d]) == sorted(want(d) + ([b"late"] if d == "d0" else [])) for d in got)
-    pruned = documents.prune(later)
+    pruned = documents.prune(later).persist()
     unconfirmed = {d: sum(not c for dd, _, _, c, _ in rows if dd == d) for d in ("d0", "d1")}
     left = {r.doc: r["count"] for r in documents.ordered(pruned).groupBy("doc").count().collect()}
     assert left["d0"] == unconfirmed["d0"] + 2 and left["d1"] == unconfirmed["d1"] + 1
     # A snapshot of a snapshot gives everything back too.
     again = documents.snapshots(pruned, docs, F.concat(F.lit("~~"), "doc")).withColumn("confirmed", F.lit(True))
     twice = documents.prune(pruned.unionByName(again))
-    assert all(sorted(read(twice)[d]) == sorted(want(d) + ([b"late"] if d == "d0" else [])) for d in ("d0", "d1"))
+    got = read(twice)
+    assert all(sorted(got[d]) == sorted(want(d) + ([b"late"] if d == "d0" else [])) for d in ("d0", "d1"))
     quiet = spark.createDataFrame([("a", f"{k}", bytearray(b"x"), True, None) for k in range(5)] + [("b", f"{k}", bytearray(b"x"), k > 0, None) for k in range(5)] + [("c", "0", bytearray(b"x" * 50), True, None)], UPDATES)
     assert key(documents.due(quiet, 5, 50)) == [("a",), ("c",)]
 

@@ -182,18 +182,18 @@ def test_kept_numbers_equal_those_of_the_whole_log(spark, tmp_path, monkeypatch)
 
     monkeypatch.setattr(module, "PARTS", 2)
     s, rng, whole = Store(spark, str(tmp_path), "n", buckets=2), random.Random(3), spark.createDataFrame([], CHANGES)
-    for n in range(4):
+    for n in range(3):
         ops = [{"seq": i, "op": f"{n}.{i}", "user": rng.choice(["u1", "u2"]), "fn": rng.choice(["add", "edit", "drop"]), "id": f"r{rng.randrange(6)}"} for i in range(12)]
         base, made = send(spark, s, ops, now=float(n))
         plain = push.push(TODOS, frame(spark, ops), s.canonical(TODOS), whole, s.ledger(), FUNCTIONS, 1, float(n), F.concat(F.lit("u:"), "user_id"))
         assert sorted(map(str, made.changes.collect())) == sorted(map(str, plain.changes.collect()))
         assert s.commit(TODOS, made, base=base)
         whole = s.log()
-    assert len(s._folders("rows#")) <= 3 and len(s._folders("log#")) == 4
+    assert len(s._folders("rows#")) <= 2 and len(s._folders("log#")) == 3
     ends = lambda df: {r.scope_key: r.c for r in df.groupBy("scope_key").agg(F.max("change_id").alias("c")).collect()}
     last, n = ends(s.log()), s.log().count()
     known = sorted(map(str, s.known().rows.collect()))
-    assert s.prune(3.0) == 3 and s.log().count() < n and ends(s.log()) == last and sorted(map(str, s.known().rows.collect())) == known
+    assert s.prune(2.0) == 2 and s.log().count() < n and ends(s.log()) == last and sorted(map(str, s.known().rows.collect())) == known
 
 
 def test_served_stream_tells_each_write_once(spark, tmp_path):

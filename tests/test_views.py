@@ -50,7 +50,7 @@ def test_views_equal_a_rebuild(spark, tmp_path, query):
     s = Store(spark, str(tmp_path), "v")
     view, counts = live.LiveQuery(s, "q", query, range_rows=4), live.LiveCounts(s, "q", query)
     past = None
-    for rows in steps(3):
+    for rows in steps(3, rounds=2, size=9):
         now = table(spark, rows)
         if past is None:
             view.reset(now), counts.reset(now)
@@ -98,7 +98,7 @@ def test_grouped_views_have_no_limit(spark, tmp_path):
 def test_segments_equal_a_new_index(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(segments, "SEGMENTS", 3)
     s, past = Store(spark, str(tmp_path), "s"), None
-    for rows in steps(5, rounds=5):
+    for rows in steps(5, rounds=3):
         now = table(spark, rows)
         deltas = row_deltas(past if past is not None else now.limit(0), now)
         before = s._folders("postings/t#")
