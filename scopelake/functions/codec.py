@@ -94,7 +94,7 @@ def _untagged(x: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.TimestampNTZType):
         return x[LOCAL].cast(dtype)
     if isinstance(dtype, _FLOATS):
-        raw = F.get_json_object(x, f"$['{FLOAT}']")
+        raw = F.when(x.startswith("{"), F.get_json_object(x, f"$['{FLOAT}']"))  # plain numbers need no parser
         odd = F.lit(None).cast("string")
         for name, text in ODD.items():
             odd = F.when(raw == text, name).otherwise(odd)
@@ -108,10 +108,14 @@ def _untagged(x: Column, dtype: T.DataType) -> Column:
     return x
 
 
+def _read(text: Column, dtype: T.DataType) -> Column:
+    """The tagged value of JSON text."""
+    return F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), T.StructType([T.StructField("v", _wire(dtype))]))["v"]
+
+
 def decode(text: Column, dtype: T.DataType) -> Column:
     """The value of JSON text that encode() made; null for "null" and for text that is not JSON."""
-    whole = T.StructType([T.StructField("v", _wire(dtype))])
-    return _untagged(F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), whole)["v"], dtype)
+    return _untagged(_read(text, dtype), dtype)
 
 
 def encode_rows(rows: DataFrame, column: str = "json") -> DataFrame:
@@ -120,4 +124,7 @@ def encode_rows(rows: DataFrame, column: str = "json") -> DataFrame:
 
 
 def decode_rows(texts: DataFrame, schema: T.StructType, column: str = "json") -> DataFrame:
-    return texts.select(decode(F.col(column), schema).alias("__r")).select("__r.*")
+    """The columns of whole rows. A generator stands between reading and untagging: Spark does not merge expressions across
+    it, so each text is read once and not once for each place where a column is used."""
+    read = texts.select(F.inline(F.array(_read(F.col(column), schema))))
+    return read.select(*(_untagged(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in schema.fields))
