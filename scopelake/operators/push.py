@@ -6,9 +6,13 @@ by the server itself, and write rules.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,34 +53,97 @@ def merge_patch(table: TableDef, rows: DataFrame, patch: Column) -> DataFrame:
     return staged.withColumns({f.name: _patched(table, f, *parts) for f in fields}).drop("__row", "__patch", "__keys", "__sets", "__counts")
 
 
+def _element(x):
+    """What stands for an element where elements are compared: null is null, NaN is NaN."""
+    return "NaN" if isinstance(x, float) and x != x else repr(x) if isinstance(x, (dict, list)) else x
+
+
+def _set_after(current: list | None, add: list | None, remove: list | None) -> list | None:
+    """sets.apply_set_delta() of plain lists."""
+    if current is None and add is None and remove is None:
+        return None
+    gone, kept = set(map(_element, remove or [])), {}
+    for x in [*(current or []), *(add or [])]:
+        if (e := _element(x)) not in gone:
+            kept.setdefault(e, x)
+    return list(kept.values())
+
+
+def _number(kind: T.DataType, x: float):
+    """A sum as a column of the kind holds it, as a cast makes it."""
+    if isinstance(kind, T.IntegralType):
+        return math.trunc(x)
+    if isinstance(kind, T.DecimalType):
+        return Decimal(repr(x)).quantize(Decimal(1).scaleb(-kind.scale), ROUND_HALF_UP)
+    return float(np.float32(x)) if isinstance(kind, T.FloatType) else x
+
+
+def _resolver(kinds: list[T.DataType]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Runs down operations sorted by row and seq with the delta fields of one row, and gives them out after each delta."""
+
+    def after(kind: T.DataType, current, delta):
+        if isinstance(kind, T.ArrayType):
+            return _set_after(current, delta["add"], delta["remove"])
+        return _number(kind, float(current or 0) + delta)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fields = range(len(kinds))
+        row, state = object(), []
+        for batch in batches:
+            ids, wanted = batch.column("id").to_pylist(), batch.column("__delta").to_pylist()
+            has, plain, deltas = ([batch.column(f"__{c}{j}").to_pylist() for j in fields] for c in "hpd")
+            at, out = [], [[] for _ in fields]
+            for i, own in enumerate(ids):
+                if own != row:
+                    row, state = own, [None] * len(kinds)
+                for j in fields:
+                    if has[j][i]:
+                        state[j] = plain[j][i] if deltas[j][i] is None else after(kinds[j], state[j], deltas[j][i])
+                if wanted[i]:
+                    at.append(i)
+                    for j in fields:
+                        out[j].append(state[j])
+            arrays = [pa.array(values, batch.column(f"__p{j}").type) for j, values in enumerate(out)]
+            yield pa.RecordBatch.from_arrays([batch.column("__op").take(pa.array(at, pa.int64())), *arrays], names=["__op", *(f"__p{j}" for j in fields)])
+
+    return run
+
+
 def materialize(table: TableDef, operations: DataFrame, canonical: DataFrame) -> DataFrame:
     """operations(seq, id, kind, value, patch, ...) whose patches hold plain values: each delta is resolved against the row as
     the operations before it leave it, an absent field counting as empty or zero. seq has no ties.
 
-    Operations of one row are resolved in order, from one array: commit very long histories of one row in batches.
+    Only rows that a delta meets take part. Their operations are sorted by row and read once, holding the set and counter
+    fields of one row and no history, so a row with a long history costs no more memory than others.
     """
-    fields = list(table.shape.fields)
-    delta = F.exists(F.array(*(field_kind(F.col("patch"), f.name).isin("SET", "COUNTER") for f in fields if f.name in (*table.set_fields, *table.counter_fields))), lambda x: F.coalesce(x, F.lit(False))) if table.set_fields or table.counter_fields else F.lit(False)
-    marked = operations.withColumn("__delta", delta)
-    touched = marked.filter("__delta").select(F.col("id").alias("__t")).distinct()  # only rows that a delta meets are replayed
-    entry = F.struct("seq", "kind", _row(table, F.col("value")).alias("value"), _row(table, F.col("patch")).alias("patch"), _keys(F.col("patch")).alias("keys"), _deltas(table, F.col("patch"), "set").alias("sets"), _deltas(table, F.col("patch"), "counter").alias("counts"))
-    queue = marked.join(touched, F.col("id") == F.col("__t"), "left_semi").groupBy("id").agg(F.array_sort(F.collect_list(entry)).alias("ops"))
-    shape = T.StructType(fields)
-    base = canonical.select(F.col("_id").alias("__i"), F.struct(*(F.col(f"`{f.name}`") for f in fields)).alias("__base"))
-    joined = queue.join(base, F.col("id") == F.col("__i"), "left")
-    done = T.ArrayType(T.StructType([T.StructField("seq", operations.schema["seq"].dataType), T.StructField("row", shape)]))
-    zero = F.struct(F.coalesce("__base", F.lit(None).cast(shape)).alias("row"), F.array().cast(done).alias("done"))
-
-    def step(s: Column, op: Column) -> Column:
-        patched = F.struct(*(_patched(table, f, s["row"], op["patch"], op["keys"], op["sets"], op["counts"]) for f in fields))
-        row = F.when(op["kind"] == "patch", patched).when(op["kind"] == "delete", s["row"]).otherwise(op["value"])
-        return F.struct(row.alias("row"), F.concat(s["done"], F.array(F.struct(op["seq"].alias("seq"), row.alias("row")))).alias("done"))
-
-    folded = joined.select(F.explode(F.aggregate("ops", zero, step)["done"]).alias("d")).select(F.col("d.seq").alias("__op"), F.col("d.row").alias("__after"))
-    keys = _keys(F.col("patch"))
-    plain = json_object([(f.name, F.array_contains(keys, f.name), json_value(F.col("__after")[f.name])) for f in fields])
-    out = marked.join(folded, F.col("seq") == F.col("__op"), "left")
-    return out.withColumn("patch", F.when(F.col("__delta"), plain).otherwise(F.col("patch"))).drop("__delta", "__op", "__after")
+    fields = [f for f in table.shape.fields if f.name in (*table.set_fields, *table.counter_fields)]
+    if not fields:
+        return operations
+    patch, keys = F.col("patch"), _keys(F.col("patch"))
+    kinds = [field_kind(patch, f.name).isin("SET", "COUNTER") for f in fields]
+    marked = operations.withColumn("__delta", F.exists(F.array(*kinds), lambda x: F.coalesce(x, F.lit(False))))
+    touched = marked.filter("__delta").select(F.col("id").alias("__t")).distinct()
+    whole, part = ~F.col("kind").isin("patch", "delete"), F.col("kind") == "patch"
+    sets, counts = _deltas(table, patch, "set"), _deltas(table, patch, "counter")
+    value, own = _row(table, F.col("value")), _row(table, patch)
+    columns = {}
+    for j, f in enumerate(fields):
+        columns |= {f"__h{j}": whole | (part & F.array_contains(keys, f.name)), f"__p{j}": F.when(whole, value[f.name]).otherwise(own[f.name])}
+        columns[f"__d{j}"] = F.when(part, (sets if f.name in table.set_fields else counts)[f.name])
+    ops = marked.join(touched, F.col("id") == F.col("__t"), "left_semi").withColumns(columns).select("id", F.lit(1).alias("__turn"), F.col("seq").alias("__op"), "__delta", *columns)
+    types = {f.name: f.dataType for f in ops.schema.fields}
+    base = canonical.join(touched, F.col("_id") == F.col("__t"), "left_semi").select(
+        F.col("_id").alias("id"), F.lit(0).alias("__turn"), F.lit(None).cast(types["__op"]).alias("__op"), F.lit(False).alias("__delta"),
+        *(c for j, f in enumerate(fields) for c in (F.lit(True).alias(f"__h{j}"), F.col(f"`{f.name}`").alias(f"__p{j}"), F.lit(None).cast(types[f"__d{j}"]).alias(f"__d{j}"))),
+    )
+    schema = T.StructType([T.StructField("__op", types["__op"]), *(T.StructField(f"__p{j}", f.dataType) for j, f in enumerate(fields))])
+    # A window asks for each row's operations in one task, sorted; a repartition() may be optimized away above a union.
+    turn = F.row_number().over(Window.partitionBy("id").orderBy("__turn", "__op"))
+    after = base.unionByName(ops).withColumn("__turn", turn).mapInArrow(_resolver([f.dataType for f in fields]), schema)
+    at = {f.name: F.col(f"__p{j}") for j, f in enumerate(fields)}
+    plain = json_object([(f.name, F.array_contains(keys, f.name), json_value(at.get(f.name, own[f.name]))) for f in table.shape.fields])
+    out = marked.join(after, F.col("seq") == F.col("__op"), "left")
+    return out.withColumn("patch", F.when(F.col("__delta"), plain).otherwise(patch)).drop("__delta", *schema.names)
 
 
 def field_deltas(table: TableDef, operations: DataFrame, live: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scopelake.operators import log, push
 from scopelake.operators.view import fold
@@ -213,3 +214,76 @@ def test_served_stream_tells_each_write_once(spark, tmp_path):
     # A batch that comes again after its commit is not pushed twice.
     _, made = send(spark, s, [{"seq": 0, "op": "z", "user": "u1", "fn": "add", "id": "z"}])
     assert not s.commit(TODOS, made, batch="serve-1") and s.log().count() == 2
+
+
+_BOARD = schema(title="string", tags="array<string>", marks="array<double>", n="bigint", x="double").add("d", T.DecimalType(10, 2))
+BOARD = TableDef("board", _BOARD, set_fields=("tags", "marks"), counter_fields=("n", "x", "d"))
+
+
+def _resolved(rows, ops):
+    """materialize() one operation after the other: seq -> patch with plain values, of patches that hold a delta."""
+    rows, out = {k: dict(v) for k, v in rows.items()}, {}
+    for seq, row, kind, body in ops:
+        now = rows.setdefault(row, {})
+        if kind in ("insert", "replace"):
+            rows[row] = dict(body)
+        elif kind == "patch":
+            hit = False
+            for f, v in body.items():
+                if isinstance(v, dict) and "__lfSet" in v:
+                    add, gone = v["__lfSet"].get("add") or [], v["__lfSet"].get("remove") or []
+                    hit, kept = True, []
+                    for e in [*(now.get(f) or []), *add]:
+                        if e not in gone and e not in kept:
+                            kept.append(e)
+                    now[f] = kept
+                elif isinstance(v, dict) and "__lfCounter" in v:
+                    hit, total = True, (now.get(f) or 0) + v["__lfCounter"]
+                    now[f] = int(total) if f == "n" else total
+                else:
+                    now[f] = v
+            if hit:
+                out[seq] = {f: now[f] for f in body}
+    return out
+
+
+def test_deltas_equal_a_serial_interpreter(spark):
+    """Sets and counters of several types over stored, new, deleted and replaced rows, one of which has most operations."""
+    rng = random.Random(4)
+    tags, rows = [*"abcdef", None], {f"r{i}": {"title": "t", "tags": rng.choice([None, [], ["a", "b"]]), "marks": [0.5], "n": rng.choice([None, 5]), "x": 1.5, "d": None} for i in range(4)}
+
+    def field(f):
+        if f == "title":
+            return rng.choice(["u", "v", None])
+        pool = tags if f == "tags" else [0.5, 1.25, -2.0, None]
+        some = lambda: [rng.choice(pool) for _ in range(rng.randrange(3))]
+        if f in ("tags", "marks"):
+            return rng.choice([{"__lfSet": {"add": some(), "remove": some()}}, {"__lfSet": {"add": some()}}, some(), None])
+        return rng.choice([{"__lfCounter": rng.choice([2, -3, 0.25, -0.75])}, 4, None])
+
+    ops = []
+    for seq in range(3000):
+        row, kind = rng.choice(["r0", "r0", "r0", "r1", "r2", "new", "z"]), rng.choice(["patch"] * 12 + ["insert", "replace", "delete"])
+        names = rng.sample(["title", "tags", "marks", "n", "x", "d"], rng.randrange(1, 4)) if row != "z" else ["title"]
+        body = {f: v for f in names if not isinstance(v := field(f), dict)} if kind in ("insert", "replace") else {f: field(f) for f in names} if kind == "patch" else None
+        ops.append((seq, row, kind, body))
+    frame = spark.createDataFrame([(s, r, k, json.dumps(b) if k in ("insert", "replace") else None, json.dumps(b) if k == "patch" else None) for s, r, k, b in ops], "seq bigint, id string, kind string, value string, patch string")
+    canonical = spark.createDataFrame([(k, v["title"], v["tags"], v["marks"], v["n"], v["x"], v["d"], False) for k, v in rows.items()], "_id string, title string, tags array<string>, marks array<double>, n bigint, x double, d decimal(10,2), _deleted boolean")
+    got = {r.seq: r for r in push.materialize(BOARD, frame, canonical).collect()}
+    want = _resolved(rows, ops)
+    assert len(got) == 3000 and len(want) > 1000
+    for seq, _, kind, body in ops:
+        if seq in want:
+            assert json.loads(got[seq].patch) == want[seq], (seq, got[seq].patch, want[seq])
+        else:
+            assert got[seq].patch == (json.dumps(body) if kind == "patch" else None)
+    assert push.materialize(BOARD, frame.limit(0), canonical).count() == 0
+
+
+def test_long_history_of_one_row(spark):
+    """A counter that one push counts up fifty thousand times."""
+    n = 50_000
+    ops = spark.range(n).selectExpr("id as seq", "'r' as id", "'patch' as kind", "cast(null as string) as value", """'{"n":{"__lfCounter":1}}' as patch""")
+    empty = spark.createDataFrame([], "_id string, title string, tags array<string>, marks array<double>, n bigint, x double, d decimal(10,2), _deleted boolean")
+    made = push.materialize(BOARD, ops, empty)
+    assert made.filter("patch = format_string('{\"n\":%d}', seq + 1)").count() == n
