@@ -171,11 +171,8 @@ def log_pruned(spark, sf):
         F.col("event_type").alias("scope_key"), keys.change_id(F.col("event_id") + 1).alias("change_id"), F.lit("t").alias("table"), F.col("event_id").cast("string").alias("id"), F.lit("insert").alias("kind"), F.lit("{}").alias("value"), F.lit(None).cast("string").alias("patch"),
         F.lit(1).cast("long").alias("version"), F.col("event_id").cast("double").alias("server_time"), F.lit(None).cast("string").alias("op_id"),
     )
-    last = e.agg(F.max("event_id")).first()[0]
-    for part in range(last // 4096 + 1):
-        own = changes.filter(F.floor(F.col("server_time") / 4096) == part)
-        heads = log.Known.of(own).heads
-        store.replace_all({f"log#{part}": own, f"heads#{part}": heads})
+    changes, part = changes.filter("server_time is not null"), F.floor(F.col("server_time") / 4096)
+    store.replace_all({"heads#all": log.Known.of(changes).heads}, None, lambda: store.stage_parts("log", changes, part))
     store.prune(3000.0)
     return store.log().select("scope_key", F.col("id").cast("bigint").alias("event_id"))
 

@@ -18,7 +18,7 @@ import time
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -158,6 +158,14 @@ class Store:
         """The rows of a table that steps add parts to."""
         return self._rows(list(self._folders(f"{name}#").values()), schema)
 
+    def stage_parts(self, name: str, rows: DataFrame, part: Column) -> list[tuple[str, str]]:
+        """Writes rows as many parts of a growing table, one for each value of `part`, in one job that reads them once; returns
+        their names and folders, for replace_all to name."""
+        folder = f"data/{name}/{uuid.uuid4().hex}"
+        rows.withColumn("__part", part).repartition("__part").sortWithinPartitions("__part").write.partitionBy("__part").parquet(f"{self.base}/{folder}")
+        found = sorted(n for s in self._fs.listStatus(self._path(folder)) if (n := s.getPath().getName()).startswith("__part="))
+        return [(f"{name}#{n.removeprefix('__part=')}", f"{folder}/{n}") for n in found]
+
     def _fold_parts(self, name: str, schema: str, fold: Callable[[DataFrame], DataFrame]) -> None:
         """Writes many parts of a state table as one; what is in them stays the same."""
         base = self.version()
@@ -288,14 +296,16 @@ class Store:
         base, held = self.version(), self._folders("log#")
         if not held:
             return 0
-        rows = self.log().withColumn("__folder", F.regexp_extract(F.col("_metadata.file_path"), "(data/log/[^/]+/[0-9a-f]+)/", 1))
+        rows = self.log().withColumn("__folder", F.regexp_extract(F.col("_metadata.file_path"), "(data/log/.+)/[^/]+$", 1))
         old = [r.f for r in rows.groupBy(F.col("__folder").alias("f")).agg(F.max("server_time").alias("t")).filter(F.col("t") < horizon).collect()]  # a row for each part
         if not old:
             return 0
         newest = self.known().heads
-        stay = self._rows(old, CHANGES).join(newest, "scope_key").filter(F.col("change_id").cast("bigint") == F.col("last")).drop("last")
-        gone = [(n, "") for n, f in held.items() if f in old]
-        self.replace_all({f"log#{uuid.uuid4().hex}": stay.select(*self.log().columns)}, None, lambda: [*gone, (_HEAD, "")], base)
+        aged = self._rows(old, CHANGES)
+        stay = aged.join(newest, "scope_key").filter(F.col("change_id").cast("bigint") == F.col("last")).drop("last")
+        past = set(old)
+        gone = [(n, "") for n, f in held.items() if f in past]
+        self.replace_all({f"log#{uuid.uuid4().hex}": stay.select(*aged.columns)}, None, lambda: [*gone, (_HEAD, "")], base)
         return len(gone)
 
     def live(self, table: TableDef) -> DataFrame:

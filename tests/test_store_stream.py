@@ -120,3 +120,20 @@ def test_live_search(spark, tmp_path):
     s.apply_changes(T, spark.createDataFrame([change(2, "b", "insert", 1, {"status": "opened"})], live.CHANGES))
     live.reindex(s, T, deltas())
     assert found.refresh(report) and seen == [["a"], ["a", "b"]]
+
+
+def test_parts_of_a_log_come_in_one_step(spark, tmp_path, monkeypatch):
+    """However many parts a log has, they are written by one step, and pruned by one."""
+    from scopelake.queries import QUERIES
+
+    steps, once = [], Store.replace_all
+    monkeypatch.setattr(Store, "replace_all", lambda self, *a, **k: steps.append(1) or once(self, *a, **k))
+    rows = [(p * 700 + k, "even" if p % 2 else "odd") for p in range(12) for k in (0, 699)]
+    spark.createDataFrame([*rows, (None, "none"), (40_000, "late"), (2_000, "once")], "event_id bigint, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.event_id for r in QUERIES["log_pruned"](spark, str(tmp_path)).collect()}
+    assert got == {i for i, _ in rows} | {40_000, 2_000} and len(steps) <= 2
+    s = Store(spark, str(tmp_path), "parts")
+    log = spark.createDataFrame([(*change(i + 1, str(i), "insert", 1, {})[:8], float(i), None) for i in range(100)], live.CHANGES)
+    s.replace_all({"heads#all": log.groupBy("scope_key").agg(F.max(F.col("change_id").cast("bigint")).alias("last"))}, None, lambda: s.stage_parts("log", log, F.floor(F.col("server_time") / 10)))
+    assert len(s._folders("log#")) == 10 and s.prune(50.0) == 5 and s.log().count() == 50 and s.vacuum() == 5 and s.log().count() == 50
+    assert s.prune(1000.0) == 5 and [r.change_id for r in s.log().collect()] == ["000000000100"]
