@@ -90,11 +90,10 @@ def append(log: DataFrame | Known, new: DataFrame) -> DataFrame:
 
     Of a whole log what is known is aggregated; a Known names it, and then only that is joined to the batch."""
     known = log if isinstance(log, Known) else Known.of(log)
-    last = known.heads.select("scope_key", F.col("last").alias("__last"))
     rows = known.rows.select("table", "id", F.col("version").alias("__version"))
-    placed = numbered(new, ["scope_key"], "seq", "__number").join(last, "scope_key", "left").join(rows, ["table", "id"], "left")
+    placed = numbered(new, ["scope_key"], "seq", "__number", known.heads).join(rows, ["table", "id"], "left")
     version = F.row_number().over(Window.partitionBy("table", "id").orderBy("seq")) + F.coalesce("__version", F.lit(0))
-    return placed.withColumns({"change_id": change_id(F.col("__number") + F.coalesce("__last", F.lit(0))), "version": version.cast("long")}).drop("__last", "__version", "__number")
+    return placed.withColumns({"change_id": change_id(F.col("__number")), "version": version.cast("long")}).drop("__version", "__number")
 
 
 def scope_of(log: DataFrame | Known, rows: DataFrame) -> DataFrame:

@@ -35,8 +35,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def numbered(df: DataFrame, keys: list[str], order: str, column: str) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], order: str, column: str, after: DataFrame | None = None) -> DataFrame:
     """df with a dense number 1, 2, ... in `column`, by `order` within `keys` (none: over all rows); `order` has no ties.
+    after(keys, last): what the numbers of a key go on from; it is joined to the counts, of which there are a few for each
+    key, and not to the rows, of which one key may hold most.
 
     In two passes: rows are range-partitioned and counted per partition, and each partition adds the counts before it, so
     one key that holds most rows is still spread over many tasks.
@@ -47,6 +49,9 @@ def numbered(df: DataFrame, keys: list[str], order: str, column: str) -> DataFra
     sizes = placed.groupBy(*keys, "__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
     before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row per key and partition
     offsets = sizes.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__part").alias("__p"), "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    if after is not None:
+        base = after.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("last").alias("__last"))
+        offsets = offsets.join(base, [f"__k{i}" for i in range(len(keys))], "left").withColumn("__before", F.col("__before") + F.coalesce("__last", F.lit(0))).drop("__last")
     same = F.col("__part") == F.col("__p")
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))

@@ -180,3 +180,23 @@ def test_push_images_and_rules(spark):
     assert [x[0] for x in roles.select(push.can(notes, rule, F.col("role"))).collect()] == [False, False, True]
     assert all(x[0] for x in roles.select(push.can(TODOS, {"todos": lambda r: r > 99}, F.col("role"))).collect())
     assert all(x[0] for x in roles.select(push.can(notes, {}, F.col("role"))).collect())
+
+
+def test_rows_of_one_scope_are_not_brought_together_for_numbering(spark):
+    """What is known of a scope is joined to counts, so that no task gets all rows of a scope."""
+    import re
+
+    from scopelake.sources.store import CHANGES
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        known = spark.createDataFrame([("w", f"{5:012d}", "t", "r1", "insert", None, None, 3, 0.0, None)], CHANGES)
+        new = spark.range(200).selectExpr("if(id < 199, 'w', 'v') as scope_key", "'t' as `table`", "concat('r', id % 50) as id", "id as seq")
+        made = log.append(known, new)
+        plan = made._jdf.queryExecution().executedPlan().toString().splitlines()
+        below = [plan[i + 1] for i, line in enumerate(plan[:-1]) if re.search(r"Exchange hashpartitioning\(scope_key#\d+, ", line)]
+        assert below and all("HashAggregate" in line for line in below)
+        got = {r.seq: (r.change_id, r.version) for r in made.collect()}
+        assert got == {i: (f"{i + 6:012d}" if i < 199 else f"{1:012d}", i // 50 + 1 + 3 * (i % 50 == 1)) for i in range(200)}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
