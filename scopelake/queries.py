@@ -179,7 +179,8 @@ def _postings(spark: SparkSession, sf: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf)
     if key not in _POSTINGS:
         path = work_path(spark, "postings")
-        search.store(search.index(LABELLED, _rows(spark, sf, "documents", "doc_id")), path)
+        rows = search.sliced(_rows(spark, sf, "documents", "doc_id").select("_id", *LABELLED.search_fields))
+        search.store(search.index(LABELLED, rows), path)
         _POSTINGS[key] = path
     return spark.read.parquet(_POSTINGS[key])
 

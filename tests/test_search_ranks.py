@@ -83,3 +83,14 @@ def test_keys(spark):
 def test_ranks_by_position():
     for n in (1, 2, 7, 100):
         assert [ranks.rank_at(i, n) for i in range(n)] == ranks.rebalance(n)
+
+
+def test_postings_are_not_moved(spark, tmp_path):
+    """Each row makes its postings by itself; stored ones are sorted within the slices that rows were dealt to."""
+    df = rows(spark, ("a", "red red blue", "blue green", None, "w"), ("b", None, "red", None, "w"))
+    made = search.index(T, df)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    want = [("a", "blue", 0), ("a", "green", 1), ("a", "red", 0), ("b", "red", 1)]
+    assert sorted((r.id, r.token, r.field) for r in made.collect()) == want
+    stored = search.store(search.index(T, search.sliced(df)), str(tmp_path / "p"))
+    assert sorted((r.id, r.token, r.field) for r in stored.collect()) == want
