@@ -223,8 +223,9 @@ def live_counts(spark, sf):
 def _segmented(spark, sf) -> tuple[Store, DataFrame]:
     """Postings of all documents, then of an eighth that changed and an eighth that went, each in a segment of its own."""
     rows = _rows(spark, sf, "documents", "doc_id").select("_id", "doc_id", "text", "source", F.lit(False).alias("_deleted"))
-    store, past = Store(spark, work_path(spark, "segments")), rows.limit(0)
-    for now in (rows, rows.withColumn("text", F.when(F.col("doc_id") % 8 == 1, "license of the changed text").otherwise(F.col("text"))), rows.filter("doc_id % 8 <> 2").withColumn("text", F.when(F.col("doc_id") % 8 == 1, "license of the changed text").otherwise(F.col("text")))):
+    store, past = Store(spark, work_path(spark, "segments")), rows
+    segments.add_segment(store, _DOCS, search.index(_DOCS, search.sliced(rows)), rows.select(F.col("_id").alias("id")))
+    for now in (rows.withColumn("text", F.when(F.col("doc_id") % 8 == 1, "license of the changed text").otherwise(F.col("text"))), rows.filter("doc_id % 8 <> 2").withColumn("text", F.when(F.col("doc_id") % 8 == 1, "license of the changed text").otherwise(F.col("text")))):
         live.reindex(store, _DOCS, view.row_deltas(past, now))
         past = now
     return store, past

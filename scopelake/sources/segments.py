@@ -1,6 +1,6 @@
 """Search postings in segments of a store.
 
-A segment holds the postings of some rows, sorted by token, and which rows it speaks of. What a later segment says of a
+A segment holds the postings of some rows, each of its files sorted by token, and which rows it speaks of. What a later segment says of a
 row, or that it is gone, holds; so an update writes its own segment and no other. Many segments are merged into one.
 """
 
@@ -22,6 +22,10 @@ def _parts(store: Store, name: str) -> dict[int, str]:
     return {int(n.rpartition("#")[2]): f for n, f in store._folders(f"{name}#").items()}
 
 
+def has_segments(store: Store, table: TableDef) -> bool:
+    return bool(_parts(store, f"postings/{table.name}"))
+
+
 def _numbered(store: Store, name: str, shape: str) -> DataFrame:
     """The rows of all parts, with the number of their part."""
     out = store.spark.createDataFrame([], f"{shape}, seq bigint")
@@ -52,7 +56,8 @@ def add_segment(store: Store, table: TableDef, found: DataFrame, rows: DataFrame
 
 
 def _by_token(found: DataFrame) -> DataFrame:
-    return found.repartitionByRange("token", "id").sortWithinPartitions("token", "id").select("id", "token", F.col("field").cast("int").alias("field"))
+    """Each slice sorted by itself: no posting is moved for it."""
+    return found.sortWithinPartitions("token", "id").select("id", "token", F.col("field").cast("int").alias("field"))
 
 
 def merge(store: Store, table: TableDef) -> bool:

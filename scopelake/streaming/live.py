@@ -19,7 +19,8 @@ from ..operators.push import push
 from ..operators.search import index, matches, search
 from ..operators.view import row_deltas
 from ..plans.catalog import TableDef
-from ..sources.segments import add_segment, postings
+from ..sources.segments import add_segment, has_segments, postings
+from ..sources.shared import cut
 from ..sources.store import CHANGES, OPERATIONS, Store
 from .views import LiveCounts, LiveQuery, sides, touched_groups  # noqa: F401
 
@@ -72,6 +73,8 @@ def serve(operations: DataFrame, store: Store, table: TableDef, functions: dict[
 
 def reindex(store: Store, table: TableDef, deltas: DataFrame) -> None:
     """Search postings after deltas(_id, kind, row): a segment of their own, and no other is written. Many are merged."""
+    if has_segments(store, table):  # the first speaks of all rows there are and does not list them, so its deltas are read once
+        deltas = cut(deltas.select("_id", "kind", F.struct(*(F.col("row")[f].alias(f) for f in table.search_fields)).alias("row")))
     now = deltas.filter("kind = 'upsert'").select("_id", *(F.col("row")[f].alias(f) for f in table.search_fields))
     add_segment(store, table, index(table, now), deltas.select(F.col("_id").alias("id")))
 
