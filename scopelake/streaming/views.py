@@ -13,14 +13,18 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.values import ordered, sort_key
 from ..operators import relations
 from ..plans.query import Query
+from ..sources.shared import cut
 from ..sources.store import Store
 
 #: About how many rows a range holds.
 RANGE_ROWS = 50_000
+#: Sorted partitions that a new view is cut from at most.
+PARTITIONS = 256
 
 
 def _compare(a: Column, b: Column, down: bool) -> Column:
@@ -64,34 +68,49 @@ class LiveQuery:
         return sorted(self.store.spark.read.parquet(f"{self.store.base}/{folders[f'{self.name}/ranges']}").collect(), key=lambda r: r.position)  # a row for each range
 
     def _place(self, rows: DataFrame, held: list) -> DataFrame:
-        """rows with __range, the position of the range they belong to."""
-        keys = self._keys(rows)
-        place = F.lit(0)
-        if len(held) > 1:
-            typed = rows.select(*(k.alias(f"k{i}") for i, (k, _) in enumerate(keys))).schema
-            lows = F.array(*(F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r.low, typed))) for r in held[1:]))
-
-            def passed(low: Column) -> Column:
-                at = F.lit(0)
-                for i, (k, down) in reversed(list(enumerate(keys))):
-                    one = _compare(k, low[f"k{i}"], down)
-                    at = F.when(one == 0, at).otherwise(one)
-                return at >= 0
-
-            place = F.size(F.filter(lows, passed))
-        return rows.withColumn("__range", place.cast("int"))
+        """rows with __range, the position of the range they belong to: how many lower bounds, but for the first, do not come
+        after the row. Rows and bounds are sorted together and counted in two passes, whatever the number of ranges."""
+        if len(held) < 2:
+            return rows.withColumn("__range", F.lit(0))
+        keys, down = [k for k, _ in self._keys(rows)], [d for _, d in self._keys(rows)]
+        names = [f"__k{i}" for i in range(len(keys))]
+        own = rows.withColumns({n: k for n, k in zip(names, keys)}).withColumn("__low", F.lit(0))
+        typed = own.select(*names).schema
+        plain = [T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.StringType) else f.dataType) for f in typed]
+        lows = self.store.spark.createDataFrame([tuple(r.low) for r in held[1:]], T.StructType(plain)).withColumns({f.name: F.col(f.name).cast(f.dataType) for f in typed}).withColumn("__low", F.lit(1))
+        order = [*(sort_key(F.col(n), d) for n, d in zip(names, down)), F.desc("__low")]
+        both = own.unionByName(lows, allowMissingColumns=True).repartitionByRange(*order).sortWithinPartitions(*order)
+        both = cut(both.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}))
+        sums = both.groupBy("__part").agg(F.sum("__low").alias("__n"))  # a row for each partition
+        before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        inside = F.sum("__low").over(Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0))
+        counted = both.withColumn("__inside", inside).filter("__low = 0")
+        placed = counted.join(F.broadcast(sums.select("__part", before.alias("__before"))), "__part")
+        return placed.withColumn("__range", (F.col("__before") + F.col("__inside")).cast("int")).drop(*names, "__low", "__part", "__at", "__before", "__inside")
 
     def _folder_rows(self, ids: list[str]) -> DataFrame:
         held = self.store._folders(f"{self.name}#")
         return self.store.spark.read.parquet(*(f"{self.store.base}/{held[f'{self.name}#{i}']}" for i in ids))
 
+    def _ranged_rows(self, held: list, positions: list[int]) -> DataFrame:
+        """The rows of some ranges with __range: the folder that a row lies in tells it."""
+        folders = self.store._folders(f"{self.name}#")
+        at = self.store.spark.createDataFrame([("/".join(folders[f"{self.name}#{held[p].range_id}"].rsplit("/", 2)[1:]), p) for p in positions], "__folder string, __range int")
+        rows = self._folder_rows([held[p].range_id for p in positions])
+        rows = rows.withColumn("__folder", F.regexp_extract(F.col("_metadata.file_path"), "([0-9a-f]+/__[a-z]+=[0-9]+)/[^/]+$", 1))
+        return rows.join(F.broadcast(at), "__folder").drop("__folder")
+
     # Writing
 
     def _deal(self, rows: DataFrame, position: str | None, parts: int) -> tuple[list[tuple], list[tuple[str, str]]]:
         """Writes rows by ranges, and returns their (range_id, n, low) in order and the names and folders. position: a column
         that has them dealt already; else they are dealt to about `parts` ranges of the order."""
         if position is None:
-            rows = rows.repartitionByRange(parts, *self._sorted(rows)).withColumn("__range", F.spark_partition_id())
+            # Many ranges are cut from fewer sorted partitions: Spark asks for a sample of the rows for each of these.
+            rows = rows.repartitionByRange(min(parts, PARTITIONS), *self._sorted(rows)).sortWithinPartitions(*self._sorted(rows))
+            whole = F.monotonically_increasing_id()
+            share = F.pmod(whole, F.lit(1 << 33)) / self.range_rows if parts > PARTITIONS else F.lit(0)
+            rows = rows.withColumn("__range", F.spark_partition_id().cast("long") * (1 << 20) + F.floor(share))
             position = "__range"
         folder = f"data/{self.name}/{uuid.uuid4().hex}"
         rows.repartition(position).sortWithinPartitions(position, *self._sorted(rows)).write.partitionBy(position).parquet(f"{self.store.base}/{folder}")
@@ -127,12 +146,14 @@ class LiveQuery:
         """Takes deltas(_id, kind, row, was) in, and returns the positions of the ranges that were written: none if no
         delta is a row of the view, before or after."""
         base, held = self.store.version(), self._held()
-        was, now = (self._place(self.query.matching(side, self.user), held) for side in sides(deltas))
-        touched = sorted({r[0] for r in was.select("__range").union(now.select("__range")).distinct().collect()})  # positions
+        was, now = (self.query.matching(side, self.user) for side in sides(deltas))
+        both = cut(self._place(was.withColumn("__new", F.lit(False)).unionByName(now.withColumn("__new", F.lit(True)), allowMissingColumns=True), held))
+        touched = sorted(r[0] for r in both.select("__range").distinct().collect())  # positions
         if not touched:
             return []
-        kept = self._folder_rows([held[p].range_id for p in touched]).join(deltas.select("_id"), "_id", "left_anti")
-        rows = self._place(kept, held).unionByName(now.select(*kept.columns, "__range"))
+        kept = self._ranged_rows(held, touched).join(deltas.select("_id"), "_id", "left_anti")
+        rows = kept.unionByName(both.filter("__new").select(*kept.columns))
+        kept = kept.drop("__range")
         size = Window.partitionBy("__range")
         at = F.row_number().over(size.orderBy(*self._sorted(rows))) - 1
         # A range that has grown to twice its size is cut into parts.

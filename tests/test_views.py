@@ -140,3 +140,25 @@ def test_deltas_tell_the_row_before(spark):
     past, now = table(spark, {"a": ("open", 1.0, "x"), "b": ("open", 1.0, "x")}), table(spark, {"a": ("shut", 1.0, "x"), "c": ("open", 1.0, "x")})
     got = {r._id: (r.kind, r.was and r.was.status, r.row and r.row.status) for r in row_deltas(past, now).collect()}
     assert got == {"a": ("upsert", "open", "shut"), "b": ("delete", "open", None), "c": ("upsert", None, "open")}
+
+
+def test_many_ranges_are_found_by_sorting(spark, tmp_path, monkeypatch):
+    """Places are not looked up in an expression that lists all ranges, and a view of more ranges than sorted partitions is
+    whole."""
+    from scopelake.streaming import views
+
+    monkeypatch.setattr(views, "PARTITIONS", 2)
+    s, rows = Store(spark, str(tmp_path), "m"), {f"r{k:03d}": ("open", float(k % 7) if k % 9 else None, "x") for k in range(90)}
+    now = table(spark, rows).persist()
+    q = Query(T).filter({"status": "open"}).order("rank", "desc")
+    view = live.LiveQuery(s, "a view", q, range_rows=5)
+    view.reset(now)
+    held = view._held()
+    assert len(held) >= 18 and sum(r.n for r in held) == 90
+    assert len(view._place(now, held)._jdf.queryExecution().optimizedPlan().toString()) < 4000
+    placed = {r._id: r["__range"] for r in view._place(now, held).collect()}
+    lies = {r._id: r["__range"] for r in view._ranged_rows(held, list(range(len(held)))).collect()}
+    assert placed == lies and len(lies) == 90
+    after = table(spark, {i: (r if int(i[1:]) % 3 else ("open", 3.0, "y")) for i, r in rows.items() if i > "r004"} | {"r900": ("open", None, "z")})
+    assert view.apply(row_deltas(now, after))
+    assert [r._id for r in view.result().collect()] == [r._id for r in q.to_df({"t": after}).collect()]
