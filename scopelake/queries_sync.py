@@ -311,7 +311,8 @@ def rank_between(spark, sf):
     """A rank strictly between two made from the part's key."""
     low, high = F.concat(F.lit("a"), F.format_string("%08d", "p_partkey"), F.lit("1")), F.concat(F.lit("a"), F.format_string("%08d", "p_partkey"), F.lit("2"))
     made = ranks.rank_between_column(low, high)
-    return _read(spark, sf, "part").select("p_partkey", (made > low).alias("above"), (made < high).alias("below"))
+    rows = _read(spark, sf, "part").select("p_partkey").repartition(spark.sparkContext.defaultParallelism, "p_partkey")  # a small file is one task
+    return rows.select("p_partkey", (made > low).alias("above"), (made < high).alias("below"))
 
 
 @_query("SELECT p_partkey, p_name FROM part WHERE p_partkey % 7 = 3")

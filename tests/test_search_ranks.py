@@ -94,3 +94,32 @@ def test_postings_are_not_moved(spark, tmp_path):
     assert sorted((r.id, r.token, r.field) for r in made.collect()) == want
     stored = search.store(search.index(T, search.sliced(df)), str(tmp_path / "p"))
     assert sorted((r.id, r.token, r.field) for r in stored.collect()) == want
+
+
+def test_ranks_in_whole_numbers(spark, tmp_path):
+    """between() against fractions; the query spreads the rows of one small file over the cores."""
+    from fractions import Fraction
+
+    from scopelake.queries import QUERIES
+
+    value = lambda s: sum(Fraction(ranks.DIGITS.index(c), 62 ** (i + 1)) for i, c in enumerate(s))
+
+    def plain(low, high):
+        a, b, scale = value(low or ""), value(high) if high else Fraction(1), 1
+        while True:
+            scale *= 62
+            first, last = int(a * scale) + 1, int(b * scale) - (b * scale == int(b * scale))
+            if first <= last:
+                return Fraction((first + last + 1) // 2, scale)
+
+    r = random.Random(4)
+    for _ in range(3000):
+        low, high = ("".join(r.choices("01Azz", k=r.randrange(7))) or None for _ in range(2))
+        if high and value(low or "") >= value(high):
+            with pytest.raises(ValueError):
+                ranks.between(low, high)
+        else:
+            assert value(ranks.between(low, high)) == plain(low, high)
+    spark.range(10).selectExpr("id as p_partkey").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    made = QUERIES["rank_between"](spark, str(tmp_path))
+    assert made.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and made.filter("above and below").count() == 10
