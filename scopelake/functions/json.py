@@ -28,4 +28,6 @@ def field_kind(text: Column, name: str) -> Column:
 
     at = f"$['{name}']"
     plain = kind(at)
-    return F.when(kind(f"{at}['__lfSet']").startswith("OBJECT"), "SET").when(kind(f"{at}['__lfCounter']").isNotNull(), "COUNTER").otherwise(F.regexp_extract(plain, "^[A-Z]+", 0))
+    # Only an object can be a delta, so other values are looked up once.
+    delta = F.when(kind(f"{at}['__lfSet']").startswith("OBJECT"), "SET").when(kind(f"{at}['__lfCounter']").isNotNull(), "COUNTER").otherwise("OBJECT")
+    return F.when(plain.startswith("OBJECT"), delta).otherwise(F.regexp_extract(plain, "^[A-Z]+", 0))

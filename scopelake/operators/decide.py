@@ -3,7 +3,8 @@
 A unit is a single operation or a group; units come in the order of their first operation, the operations of a group in
 their own order. A group is staged: its members see each other's effects, and if one is rejected none of them happens.
 
-Operations of different rows never meet unless a group holds both. So rows and groups form a graph whose components are
+Operations of different rows never meet unless a group holds both, and units of different rows or of a row that no
+operation can change do not either. So rows that can change and groups form a graph whose components are
 decided apart from each other: Spark brings each component together, sorted, and a state machine runs down the sorted
 rows of a partition. It holds the rows of one component (whether known, live and whose) and the group at hand, no history.
 The operations of one component, or of one row, are a sequence by nature and are read by one task.
@@ -11,6 +12,7 @@ The operations of one component, or of one row, are a sequence by nature and are
 
 from __future__ import annotations
 
+import json
 from collections import deque
 from collections.abc import Iterator
 
@@ -30,18 +32,40 @@ def group_key() -> Column:
     return F.when(F.col("group_id").isNotNull(), F.concat_ws("\u0001", F.lit("g"), "user_id", "group_id"))
 
 
+def _changes_row() -> Column:
+    """Whether an operation could change its row as it is stored: a row with no such operation stays as it is."""
+    return F.coalesce(((F.col("__kind") == "insert") & ~F.col("__live")) | ((F.col("__kind") == "delete") & F.col("__live")), F.lit(False))
+
+
 def in_units(ops: DataFrame) -> DataFrame:
-    """ops(seq, user_id, group_id) with __unit, the group if there is one, and __lead, the place of its first operation."""
-    marked = ops.withColumn("__unit", group_key())
-    first = marked.filter("__unit is not null").groupBy("__unit").agg(F.min("seq").alias("__first"))
-    return marked.join(first, "__unit", "left").withColumn("__lead", F.coalesce("__first", "seq")).drop("__first")
+    """ops(seq, user_id, group_id) with __unit, the group if there is one, and __node, a number for it or else for the row.
+    Two of one number are only decided by one task."""
+    return ops.withColumn("__unit", group_key()).withColumn("__node", F.xxhash64(F.coalesce("__unit", F.concat(F.lit("r\u0001"), "__row"))))
 
 
 def with_component(ops: DataFrame) -> DataFrame:
-    """ops(__unit, __row) with __component: of the rows and groups that hang together, the smallest name."""
-    linked = components(ops.filter("__unit is not null").select(F.col("__unit").alias("a"), F.concat(F.lit("r\u0001"), "__row").alias("b")))
-    rows = linked.filter(F.col("node").startswith("r\u0001")).select(F.substring("node", 3, 1 << 30).alias("__row"), F.col("component").alias("__c"))
-    return ops.join(rows, "__row", "left").withColumn("__component", F.coalesce("__c", F.concat(F.lit("r\u0001"), "__row"))).drop("__c")
+    """in_units(ops) with __lead, the place of a unit's first operation, and __component, a number for the rows and groups
+    that hang together; sorted by component, units in their order.
+
+    A row ties the units that touch it only if it can change. Few rows are touched by several units as a rule: these are
+    found by an aggregation of numbers, and only they make edges, from each group to the smallest of the row.
+    """
+    units = ops.withColumn("__key", F.xxhash64("__row"))
+    group = F.when(F.col("__unit").isNotNull(), F.col("__node"))
+    rows = units.groupBy("__key").agg(F.min(group).alias("__first"), F.max(group).alias("__last"), F.max(F.col("__unit").isNull()).alias("__single"), F.max(_changes_row()).alias("__changes"))
+    ties = cut(rows.filter("__changes and __first is not null and (__first <> __last or __single)").select("__key", "__first", "__single"))
+    tied, single = ties.agg(F.count("*"), F.count_if("__single")).first()
+    if single:  # single operations go where the groups of their row go
+        units = units.join(ties.filter("__single").select("__key", F.col("__first").alias("__at")), "__key", "left").withColumn("__node", F.when(F.col("__unit").isNull(), F.coalesce("__at", "__node")).otherwise(F.col("__node"))).drop("__at")
+    unit = Window.partitionBy("__node", "__unit").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lead = F.when(F.col("__unit").isNull(), F.col("seq")).otherwise(F.first("seq").over(unit))
+    placed = units.repartition("__node").withColumn("__lead", lead).drop("__key")
+    if not tied:
+        return placed.withColumn("__component", F.col("__node")).sortWithinPartitions("__node", "__unit", "seq")
+    edges = units.filter("__unit is not null").select("__key", "__node").join(ties.select("__key", "__first"), "__key").filter("__node <> __first")
+    linked = components(edges.select(F.col("__node").alias("a"), F.col("__first").alias("b"))).select(F.col("node").alias("__node"), F.col("component").alias("__c"))
+    placed = placed.join(linked, "__node", "left").withColumn("__component", F.coalesce("__c", "__node")).drop("__c")
+    return placed.repartition("__component").sortWithinPartitions("__component", "__lead", "seq")
 
 
 class Machine:
@@ -75,10 +99,17 @@ class Machine:
         self.staged = {}
 
 
-def _decisions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches, sorted by component and unit, with the reason and whether nothing changes; held while a group is open."""
-    names = ["__row", "__label", "__kind", "__known", "__live", "__holder", "user_id", "__mine", "__asked", "__moved"]
-    held: deque = deque()  # batch, reasons, no-ops
+_ASKED = ("__row", "__label", "__kind", "__known", "__live", "__holder", "user_id", "__mine", "__asked", "__moved", "__may", "__fixed", "__unit", "__component")
+
+
+def _plain(column: pa.Array) -> list:
+    """The texts, truth values or whole numbers of a column as to_pylist() gives them, without an object for each between."""
+    return [None] * len(column) if column.null_count == len(column) else column.to_numpy(zero_copy_only=False).tolist()
+
+
+def _decisions(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+    """The reason and whether nothing changes, for batches of _ASKED sorted by component and unit; held while a group is open."""
+    held: deque = deque()  # reasons, no-ops
     machine, component, unit = Machine(), None, None
     members: list[tuple[list, list, int]] = []
     failed: str | None = None
@@ -94,10 +125,9 @@ def _decisions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         failed, members, unit = None, [], None
 
     for batch in batches:
-        n = batch.num_rows
-        columns = [batch.column(c).to_pylist() for c in names]
-        may = [None if m is None else dict(m) for m in batch.column("__may").to_pylist()]
-        fixed, units, parts = (batch.column(c).to_pylist() for c in ("__fixed", "__unit", "__component"))
+        *columns, may, fixed, units, parts = map(_plain, batch)
+        n = len(units)
+        may = [None if m is None else json.loads(m) for m in may]
         reasons, nothing = [None] * n, [False] * n
         for i in range(n):
             if unit is not None and units[i] != unit:
@@ -112,17 +142,16 @@ def _decisions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 members.append((reasons, nothing, i))
                 failed = why if failed is None else failed
-        held.append((batch, reasons, nothing))
-        while held and not (unit is not None and any(r is held[0][1] for r, _, _ in members)):
+        held.append((reasons, nothing))
+        while held and not (unit is not None and members[0][0] is held[0][0]):
             yield _out(*held.popleft())
     close()
     while held:
         yield _out(*held.popleft())
 
 
-def _out(batch: pa.RecordBatch, reasons: list, nothing: list) -> pa.RecordBatch:
-    kept = [c for c in batch.schema.names if not c.startswith("__") or c == "__lead"]
-    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(reasons, pa.string()), pa.array(nothing, pa.bool_())], names=[*kept, "reject_reason", "no_op"])
+def _out(reasons: list, nothing: list) -> pa.Array:
+    return pa.StructArray.from_arrays([pa.array(reasons, pa.string()), pa.array(nothing, pa.bool_())], names=["reject_reason", "no_op"])
 
 
 def decide(ops: DataFrame) -> DataFrame:
@@ -133,14 +162,18 @@ def decide(ops: DataFrame) -> DataFrame:
     insert asks for; __moved: the scope that a patch sets; __may: by scope, 1 if the user may write, 0 without a role, -1
     if the rule says no (null: no rules).
     """
-    units = in_units(ops)
+    # Roles go as text: Arrow writers measure a batch after each row, which for a column of null maps takes a pass over its rows.
+    units = in_units(ops.withColumn("__may", F.to_json("__may")))
     # Without groups a row is a component, and the graph is not asked.
-    grouped = units.filter("__unit is not null").limit(1).count()
-    placed = with_component(cut(units)) if grouped else units.withColumn("__component", F.col("__row"))
-    placed = placed.repartition("__component").sortWithinPartitions("__component", "__lead", "seq")
-    kept = [f for f in placed.schema if not f.name.startswith("__") or f.name == "__lead"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "reject_reason string", "no_op boolean"])
-    return placed.mapInArrow(_decisions, schema)
+    if units.filter("__unit is not null").limit(1).count():
+        placed = with_component(units)
+    else:
+        placed = units.withColumns({"__component": F.col("__row"), "__lead": F.col("seq")}).repartition("__component").sortWithinPartitions("__component", "seq")
+    # Only what is asked goes through Python, the rest of a row waits for its answer. The answers depend on the order of the
+    # rows, so Spark must not take the function for one that it may move or repeat.
+    answer = F.arrow_udf(_decisions, "struct<reject_reason:string,no_op:boolean>").asNondeterministic()
+    kept = [c for c in placed.columns if not c.startswith("__") or c == "__lead"]
+    return placed.withColumn("__answer", answer(*_ASKED)).select(*(F.col(f"`{c}`") for c in kept), "__answer.reject_reason", "__answer.no_op")
 
 
 def permissions(ops: DataFrame, roles: DataFrame, rule) -> DataFrame:

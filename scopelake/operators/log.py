@@ -91,9 +91,11 @@ def append(log: DataFrame | Known, new: DataFrame) -> DataFrame:
     Of a whole log what is known is aggregated; a Known names it, and then only that is joined to the batch."""
     known = log if isinstance(log, Known) else Known.of(log)
     rows = known.rows.select("table", "id", F.col("version").alias("__version"))
-    placed = numbered(new, ["scope_key"], "seq", "__number", known.heads).join(rows, ["table", "id"], "left")
+    # Versions come first: rows are dealt by table and id before a push asks for this, and need not be dealt so again.
     version = F.row_number().over(Window.partitionBy("table", "id").orderBy("seq")) + F.coalesce("__version", F.lit(0))
-    return placed.withColumns({"change_id": change_id(F.col("__number")), "version": version.cast("long")}).drop("__version", "__number")
+    placed = new.join(rows, ["table", "id"], "left").withColumn("version", version.cast("long")).drop("__version")
+    numbers = numbered(placed, ["scope_key"], "seq", "__number", known.heads).withColumn("change_id", change_id(F.col("__number")))
+    return numbers.select(*(F.col(f"`{c}`") for c in placed.columns if c != "version"), "change_id", "version")
 
 
 def scope_of(log: DataFrame | Known, rows: DataFrame) -> DataFrame:
@@ -132,12 +134,15 @@ def wrong_type(table: TableDef, patch: Column) -> Column:
     counter field must be an array or a number.
     """
     wrong = F.lit(None).cast("string")
+    # A text without the letters of a delta, and without escapes that could stand for them, holds none.
+    delta = patch.contains("__lf") | patch.contains("\\")
     for f in reversed(table.shape.fields):
         kind = field_kind(patch, f.name)
         array, number = isinstance(f.dataType, T.ArrayType), is_number(f.dataType)
         no_array = (kind == "SET") & F.lit(not array) | (~kind.isin("SET", "ARRAY", "VOID") & F.lit(f.name in table.set_fields))
         no_number = (kind == "COUNTER") & F.lit(not number) | (~kind.isin("COUNTER", "VOID", "BIGINT", "DECIMAL", "DOUBLE", "FLOAT") & F.lit(f.name in table.counter_fields))
-        wrong = F.when(no_array, f'non-array field "{f.name}"').when(no_number, f'non-number field "{f.name}"').otherwise(wrong)
+        look = F.lit(True) if f.name in (*table.set_fields, *table.counter_fields) else delta
+        wrong = F.when(look & no_array, f'non-array field "{f.name}"').when(look & no_number, f'non-number field "{f.name}"').otherwise(wrong)
     return wrong
 
 
