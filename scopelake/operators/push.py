@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from ..functions.json import field_kind, json_object, json_value
 from ..functions.sets import set_delta
+from ..functions.values import is_number
 from ..plans.catalog import TableDef
 from ..sources.shared import cut, numbered
 from .decide import decide
@@ -40,7 +41,14 @@ def _deltas(table: TableDef, text: Column, kind: str) -> Column:
 
 def _row(table: TableDef, text: Column) -> Column:
     """The plain values of a JSON row or patch; a field that holds a delta reads null."""
-    return F.struct(*(F.from_json(text, T.StructType([f]))[f.name].alias(f.name) for f in table.shape.fields))
+
+    def plain(f: T.StructField) -> Column:
+        value = F.from_json(text, T.StructType([f]))[f.name]
+        kinds = [k for k, names, fits in (("__lfSet", table.set_fields, isinstance(f.dataType, T.ArrayType)), ("__lfCounter", table.counter_fields, is_number(f.dataType))) if f.name in names and fits]
+        # An object where an array or a number belongs costs Spark's reader an exception, so a delta is looked for first.
+        return F.when(F.get_json_object(text, f"$.{f.name}.{kinds[0]}").isNull(), value) if kinds else value
+
+    return F.struct(*(plain(f).alias(f.name) for f in table.shape.fields))
 
 
 def merge_patch(table: TableDef, rows: DataFrame, patch: Column) -> DataFrame:
@@ -153,22 +161,28 @@ def field_deltas(table: TableDef, operations: DataFrame, live: DataFrame) -> Dat
     if not fields:
         return operations
     now = live.select(F.col("_id").alias("__i"), F.struct(*(F.col(f"`{f.name}`") for f in fields)).alias("__now"))
-    joined = operations.join(now, F.col("id") == F.col("__i"), "left")
-    patch = F.col("patch")
+    # What is read from a patch is a column of its own: as a part of what compares elements it would be read again for each.
+    read, patch = {"__keys": _keys(F.col("patch"))}, F.col("patch")
+    for j, f in enumerate(fields):
+        read |= {f"__k{j}": field_kind(patch, f.name), f"__w{j}": F.from_json(patch, T.StructType([f]))[f.name]}
+    joined = operations.join(now, F.col("id") == F.col("__i"), "left").withColumns(read)
     parts = []
     for f in table.shape.fields:
-        kind, raw = field_kind(patch, f.name), json_value(F.from_json(patch, T.StructType([f]))[f.name])
+        raw = json_value(F.from_json(patch, T.StructType([f]))[f.name])
         text = F.to_json(F.try_variant_get(F.try_parse_json(patch), f"$['{f.name}']", "variant"))
         value = F.coalesce(text, raw)
+        if f in fields:
+            j = fields.index(f)
+            kind, want, old = F.col(f"__k{j}"), F.col(f"__w{j}"), F.col("__now")[f.name]
         if f.name in table.set_fields:
-            add, remove = set_delta(F.col("__now")[f.name], F.from_json(patch, T.StructType([f]))[f.name])
+            add, remove = set_delta(old, want)
             value = F.when((kind == "ARRAY") & F.col("__i").isNotNull(), F.concat(F.lit('{"__lfSet":{"add":'), json_value(add), F.lit(',"remove":'), json_value(remove), F.lit("}}"))).otherwise(value)
         elif f.name in table.counter_fields:
-            step = F.from_json(patch, T.StructType([f]))[f.name] - F.coalesce(F.col("__now")[f.name], F.lit(0))
+            step = want - F.coalesce(old, F.lit(0))
             value = F.when(kind.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT") & F.col("__i").isNotNull(), F.concat(F.lit('{"__lfCounter":'), json_value(step), F.lit("}"))).otherwise(value)
-        parts.append((f.name, F.array_contains(_keys(patch), f.name), value))
-    hit = (F.col("kind") == "patch") & F.arrays_overlap(_keys(patch), F.array(*(F.lit(f.name) for f in fields)))
-    return joined.withColumn("patch", F.when(hit, json_object(parts)).otherwise(patch)).drop("__i", "__now")
+        parts.append((f.name, F.array_contains("__keys", f.name), value))
+    hit = (F.col("kind") == "patch") & F.arrays_overlap("__keys", F.array(*(F.lit(f.name) for f in fields)))
+    return joined.withColumn("patch", F.when(hit, json_object(parts)).otherwise(patch)).drop("__i", "__now", *read)
 
 
 def images(table: TableDef, canonical: DataFrame, changes: DataFrame) -> DataFrame:
